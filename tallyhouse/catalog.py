@@ -1,11 +1,341 @@
-"""The registered queries of the core library."""
+"""The registered queries of the core library, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyhouse.functions import columns as C
+from tallyhouse.operators import aggregate as A, filters as L, quality as V, ranking as R, results as S
+from tallyhouse.operators.dimensions import Dimension, lookup
+from tallyhouse.plans import adapters as D, questions as Q
+from tallyhouse.streaming import jobs as J
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The model's entities in SQL.
+TA = "ta as (select o_orderkey transaction_id, c_nationkey store_id, o_custkey user_id, o_totalprice final_amount, o_orderdate + to_minutes(cast(o_orderkey * 37 % 1440 as bigint)) created_at from orders join customer on o_custkey = c_custkey)"
+TB = "tb as (select event_id transaction_id, cast(event_id % 25 as integer) store_id, case when event_type = 'error' then 0 else user_id end user_id, value final_amount, date_trunc('second', ts) created_at from events)"
+IT = "it as (select l_orderkey transaction_id, l_partkey item_id, cast(trunc(l_quantity) as bigint) quantity, l_extendedprice subtotal, l_shipdate created_at from lineitem)"
+FA = "fa as (select * from ta where year(created_at) in (1997, 1998) and cast(created_at as time) between time '06:00:00' and time '23:00:00')"
+FB = "fb as (select * from tb where year(created_at) in (2024, 2025))"
+HALF = "year(created_at) || case when month(created_at) <= 6 then '-H1' else '-H2' end"
+MONTH = "strftime(created_at, '%Y-%m')"
+TPV = f"tpv as (select {HALF} year_half_created_at, store_id, cast(sum(cast(final_amount as decimal(18,6))) as double) tpv from fa group by all)"
+TOT = f"tot as (select {MONTH} year_month_created_at, item_id, cast(sum(quantity) as bigint) sellings_qty, cast(sum(cast(subtotal as decimal(18,6))) as double) profit_sum from it where year(created_at) in (1997, 1998) group by all)"
+CNT = "cnt as (select store_id, user_id, count(*) purchases_qty from fb group by all)"
+BORN = "cast(date '1960-01-01' + cast(c_custkey * 13 % 16000 as integer) as varchar)"
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _clients(ranked: str) -> str:
+    return f"select user_id, store_id, coalesce(n_name, 'Unknown Store') store_name, coalesce({BORN}, 'Unknown Birthday') birthdate, purchases_qty from ({ranked}) left join customer on user_id = c_custkey left join nation on store_id = n_nationkey where user_id > 0"
+
+
+def _best(function: str, where: str = "user_id > 0", tie: str = ", user_id", n: int = 3) -> str:
+    return f"select * from (select *, {function}() over (partition by store_id order by purchases_qty desc{tie}) r from cnt where {where}) where r <= {n}"
+
+
+def _items(metric: str, n: int = 1) -> str:
+    return f"with {IT}, {TOT} select year_month_created_at, item_id, coalesce(p_name, 'Unknown Item') item_name, {metric} from (select *, row_number() over (partition by year_month_created_at order by {metric} desc, item_id) r from tot) left join part on item_id = p_partkey where r <= {n}"
+
+
+Q1_SQL = f"with {TA}, {FA} select transaction_id, store_id, user_id, final_amount, created_at from fa where final_amount >= 250000"
+Q3_SQL = f"with {TA}, {FA}, {TPV} select year_half_created_at, store_id, coalesce(n_name, 'Unknown Store') store_name, tpv from tpv left join nation on store_id = n_nationkey"
+
+
+@query(Q1_SQL)
+def q1_amount_filter(s, d):
+    return Q.amount_filter(D.order_transactions(s, d), D.ORDERS)
+
+
+@query(Q1_SQL)
+def q1_dedup(s, d):
+    t = D.order_transactions(s, d)
+    return Q.amount_filter(t.unionByName(t), D.ORDERS)
+
+
+@query(_items("sellings_qty"))
+def q2_top_qty(s, d):
+    return Q.top_items(D.items(s, d), D.menu(s, d), "sellings_qty", D.ORDERS)
+
+
+@query(_items("profit_sum"))
+def q2_top_profit(s, d):
+    return Q.top_items(D.items(s, d), D.menu(s, d), "profit_sum", D.ORDERS)
+
+
+@query(_items("sellings_qty", 3))
+def q2_topn_3(s, d):
+    return Q.top_items(D.items(s, d), D.menu(s, d), "sellings_qty", replace(D.ORDERS, top_items=3))
+
+
+@query(Q3_SQL)
+def q3_tpv(s, d):
+    return R.order_tpv(Q.payment_value(D.order_transactions(s, d), D.stores(s, d), D.ORDERS))
+
+
+@query(f"select year_half_created_at, cast(store_id as varchar) store_id, store_name, tpv, cast(substr(year_half_created_at, 1, 4) as integer) as year, 'H' || right(year_half_created_at, 1) semester from ({Q3_SQL})")
+def q3_tpv_normalized(s, d):
+    return Q.normalized_payment_value(Q.payment_value(D.order_transactions(s, d), D.stores(s, d), D.ORDERS))
+
+
+def _top_clients(s, d, **change):
+    return Q.top_clients(D.event_transactions(s, d), D.users(s, d), D.stores(s, d), replace(D.EVENTS, **change))
+
+
+@query(f"with {TB}, {FB}, {CNT} {_clients(_best('row_number'))}")
+def q4_top_clients(s, d):
+    return R.order_clients(_top_clients(s, d))
+
+
+@query(f"with {TB}, {FB}, {CNT} {_clients(_best('rank', tie=''))}")
+def q4_ties_rank(s, d):
+    return _top_clients(s, d, ties="rank")
+
+
+@query(f"with {TB}, {FB}, {CNT} {_clients(_best('dense_rank', tie=''))}")
+def q4_ties_dense(s, d):
+    return _top_clients(s, d, ties="dense_rank")
+
+
+@query(f"with {TB}, {FB}, {CNT} {_clients(_best('row_number', where='true'))}")
+def q4_compat_anonymous(s, d):
+    return _top_clients(s, d, compat_anonymous=True)
+
+
+@query(f"with {TA} select transaction_id, created_at from ta where year(created_at) in (1996, 1999)")
+def flt_year_set(s, d):
+    return D.order_transactions(s, d).where(L.year_in("created_at", (1996, 1999))).select("transaction_id", "created_at")
+
+
+@query(f"with {TA} select transaction_id, created_at from ta where cast(created_at as time) between time '06:00:00' and time '23:00:00'")
+def flt_time(s, d):
+    return D.order_transactions(s, d).where(L.time_between("created_at", "06:00:00", "23:00:00")).select("transaction_id", "created_at")
+
+
+@query(f"with {TA} select transaction_id, final_amount from ta where final_amount >= 250000")
+def flt_amount(s, d):
+    return D.order_transactions(s, d).where(L.amount_at_least("final_amount", 250000.0)).select("transaction_id", "final_amount")
+
+
+@query(f"with {TB}, {FB}, {CNT} select store_id, user_id, purchases_qty from cnt where user_id > 0 and purchases_qty > 0")
+def flt_valid_rank_rows(s, d):
+    counts = A.purchase_counts(D.event_transactions(s, d).where(L.year_in("created_at", D.EVENTS.years)))
+    return L.rankable(counts)
+
+
+@query(f"with {TA} select store_id, count(*) n from ta where store_id is not null group by all")
+def flt_has_key(s, d):
+    return L.has_key(D.order_transactions(s, d), "store_id").groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TB}, {FB}, {CNT} select * from cnt")
+def agg_purchase_count(s, d):
+    return A.purchase_counts(D.event_transactions(s, d).where(L.year_in("created_at", D.EVENTS.years)))
+
+
+@query(f"with {TA}, {FA}, {TPV} select * from tpv")
+def agg_tpv(s, d):
+    t = D.order_transactions(s, d)
+    t = L.keep(t, L.year_in("created_at", D.ORDERS.years), L.time_between("created_at", "06:00:00", "23:00:00"))
+    return A.payment_value(t).withColumn("tpv", F.col("tpv").cast("double"))
+
+
+@query(f"with {IT}, {TOT} select * from tot")
+def agg_items_both(s, d):
+    return A.item_totals(D.items(s, d).where(L.year_in("created_at", D.ORDERS.years))).withColumn("profit_sum", F.col("profit_sum").cast("double"))
+
+
+@query(f"with {IT}, {TOT} select * from tot")
+def agg_mergeable_rollup(s, d):
+    rows = D.items(s, d).where(L.year_in("created_at", D.ORDERS.years)).withColumn("day", F.to_date("created_at"))
+    daily = rows.groupBy("day", C.year_month("created_at").alias("year_month_created_at"), "item_id").agg(F.sum("quantity").alias("sellings_qty"), A.money_sum("subtotal").alias("profit_sum"))
+    return A.merge_partials(daily, ["year_month_created_at", "item_id"], ["sellings_qty", "profit_sum"]).withColumn("profit_sum", F.col("profit_sum").cast("double"))
+
+
+@query(f"with {IT}, {TOT} select year_month_created_at, cast(item_id as integer) item_id, sellings_qty from tot")
+def agg_nested_merge(s, d):
+    totals = A.item_totals(D.items(s, d).where(L.year_in("created_at", D.ORDERS.years)))
+    half = totals.withColumn("part", F.pmod("item_id", F.lit(64)))
+    months = half.groupBy("part", "year_month_created_at").agg(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), F.col("sellings_qty").cast("string")))).alias("m"))
+    nested = months.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("year_month_created_at", "m"))).alias("bundle"))
+    return A.merge_nested(nested, "bundle", "sellings_qty").withColumn("sellings_qty", F.col("sellings_qty").cast("bigint"))
+
+
+@query(f"with {TA} select transaction_id, store_id, case when n_nationkey < 20 then n_name else 'Unknown Store' end store_name from ta left join nation on store_id = n_nationkey")
+def join_default_miss(s, d):
+    some = Dimension(D.table(s, d, "nation").where("n_nationkey < 20"), "n_nationkey", "n_name", "Unknown Store")
+    return lookup(D.order_transactions(s, d).select("transaction_id", "store_id"), some, "store_id", "store_name")
+
+
+@query(f"with {TA} select transaction_id, store_id, 'new ' || n_name store_name from ta left join nation on store_id = n_nationkey")
+def join_last_write_wins(s, d):
+    nation = D.table(s, d, "nation").select("n_nationkey", "n_name")
+    twice = nation.withColumn("seq", F.lit(1)).unionByName(nation.select("n_nationkey", F.concat(F.lit("new "), "n_name").alias("n_name"), F.lit(2).alias("seq")))
+    return lookup(D.order_transactions(s, d).select("transaction_id", "store_id"), Dimension(twice, "n_nationkey", "n_name", "Unknown Store", order=("seq",)), "store_id", "store_name")
+
+
+@query(f"with {TA} select transaction_id, {HALF} year_half from ta")
+def fn_year_half(s, d):
+    return D.order_transactions(s, d).select("transaction_id", C.year_half("created_at").alias("year_half"))
+
+
+@query(f"with {TA} select transaction_id, {MONTH} year_month, cast(year(created_at) as integer) as year, cast(month(created_at) as integer) as month from ta")
+def fn_year_month(s, d):
+    m = C.normalized_month(F.concat_ws("-", F.year("created_at").cast("string"), F.month("created_at").cast("string")))
+    return D.order_transactions(s, d).select("transaction_id", m["text"].alias("year_month"), m["year"].alias("year"), m["month"].alias("month"))
+
+
+@query("select n_nationkey, cast((cast('0x' || md5(cast(n_nationkey as varchar)) as uhugeint)) % 7 as integer) shard from nation")
+def fn_shard_id(s, d):
+    return D.table(s, d, "nation").select("n_nationkey", C.shard_id("n_nationkey", 7).alias("shard"))
+
+
+@query("select event_id, coalesce(try_cast(payload as double), 0.0) as number, cast(coalesce(trunc(try_cast(payload as double)), 0) as bigint) as whole from (select event_id, case event_id % 4 when 0 then cast(value as varchar) when 1 then cast(event_id as varchar) when 2 then 'abc' else '' end payload from events)")
+def fn_safe_casts(s, d):
+    text = F.when(F.pmod("event_id", F.lit(4)) == 0, F.col("value").cast("string")).when(F.pmod("event_id", F.lit(4)) == 1, F.col("event_id").cast("string")).when(F.pmod("event_id", F.lit(4)) == 2, "abc").otherwise("")
+    return D.table(s, d, "events").select("event_id", C.safe_double(text).alias("number"), C.safe_long(text).alias("whole"))
+
+
+@query(f"""select 'TPV_SUMMARY' result_type, year_half_created_at, store_name, tpv, null::varchar item_name, null::bigint sellings_qty from ({Q3_SQL})
+union all select 'TOP_ITEMS_BY_QUANTITY', null, null, null, item_name, sellings_qty from ({_items("sellings_qty")})""")
+def res_union_tagged(s, d):
+    return S.tagged({S.TPV: q3_tpv(s, d), S.BY_QUANTITY: q2_top_qty(s, d)}).select("result_type", "year_half_created_at", "store_name", "tpv", "item_name", "sellings_qty")
+
+
+@query(f"select 'TPV_SUMMARY' result_type, count(*) n from ({Q3_SQL}) union all select 'TOP_ITEMS_BY_PROFIT', count(*) from ({_items('profit_sum')}) union all select 'AMOUNT_FILTER_TRANSACTIONS', count(*) from ({Q1_SQL})")
+def res_classify(s, d):
+    rows = q3_tpv(s, d).unionByName(q2_top_profit(s, d), allowMissingColumns=True).unionByName(q1_amount_filter(s, d).select("transaction_id", "final_amount"), allowMissingColumns=True)
+    return S.classified(rows).groupBy("result_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TA} select cast(store_id as varchar) client_id, case when store_id % 2 = 0 then 'AMOUNT_FILTER_TRANSACTIONS,TOP_CLIENTS_BIRTHDAYS,TOP_ITEMS_BY_PROFIT,TOP_ITEMS_BY_QUANTITY,TPV_SUMMARY' else 'AMOUNT_FILTER_TRANSACTIONS,TPV_SUMMARY' end seen, store_id % 2 = 0 complete from ta group by store_id")
+def res_completion(s, d):
+    t = D.order_transactions(s, d)
+    kinds = F.when(F.pmod("store_id", F.lit(2)) == 0, F.array(*map(F.lit, S.TYPES))).otherwise(F.array(F.lit(S.AMOUNT), F.lit(S.TPV)))
+    return S.completion(t.select(F.col("store_id").cast("string").alias("client_id"), F.explode(kinds).alias("result_type")))
+
+
+@query(f"select transaction_id || ' - ' || cast(cast(round(cast(final_amount as decimal(18,6)), 2) as decimal(18,2)) as varchar) line from ({Q1_SQL})")
+def snk_lines_q1(s, d):
+    return S.lines_amount(q1_amount_filter(s, d))
+
+
+@query(f"select year_month_created_at || ' - ' || item_name || ' - ' || sellings_qty line from ({_items('sellings_qty')})")
+def snk_lines_q2(s, d):
+    return S.lines_items(q2_top_qty(s, d), "sellings_qty")
+
+
+@query(f"select 'Sucursal ' || store_id || ' ' || year_half_created_at || ' ' || store_name || ': $' || cast(cast(round(cast(tpv as decimal(18,6)), 2) as decimal(18,2)) as varchar) line from ({Q3_SQL})")
+def snk_lines_q3(s, d):
+    return S.lines_tpv(q3_tpv(s, d))
+
+
+@query(f"select store_name || ' - ' || birthdate line from (select *, row_number() over (partition by store_name order by birthdate) r from (with {TB}, {FB}, {CNT} {_clients(_best('rank', tie=''))})) where r <= 3")
+def snk_lines_q4_cap(s, d):
+    return S.lines_clients(q4_ties_rank(s, d))
+
+
+@query(f"select count(*) n, cast(sum(tpv) > 0 as boolean) positive from ({Q3_SQL})")
+def snk_envelope(s, d):
+    value = S.envelopes(q3_tpv(s, d), S.TPV)
+    rows = value.select(F.explode(F.from_json("value", "type string, results array<struct<tpv double>>")["results"]).alias("r"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("r.tpv") > 0).alias("positive"))
+
+
+@query(f"select 'Q1' label, false ok, count(*) mismatches, cast(0 as bigint) size_difference from ({Q1_SQL}) where transaction_id % 10 = 0")
+def val_q1_report(s, d):
+    right = q1_amount_filter(s, d).select("transaction_id", "final_amount")
+    wrong = right.withColumn("final_amount", F.col("final_amount") + F.when(F.pmod("transaction_id", F.lit(10)) == 0, 1.0).otherwise(0.001))
+    return V.report({"Q1": (V.mismatches(wrong, right, ["transaction_id"], "final_amount", atol=0.01), wrong, right)})
+
+
+@query(f"with {TB}, {FB}, {CNT} select store_id, user_id from cnt where user_id > 0 and user_id % 2 = 0 except select store_id, user_id from ({_best('rank', tie='')})")
+def val_q4_membership(s, d):
+    counts = agg_purchase_count(s, d)
+    return V.outside_top(counts.where("user_id > 0 and user_id % 2 = 0").select("store_id", "user_id"), counts)
+
+
+def _stream(s, d, name):
+    # A pattern, since the source takes a plain path for a folder while a table may be one file.
+    return J.file_stream(s, f"{d}/{name}.parque[t]", D.table(s, d, name).schema)
+
+
+def _events(stream):
+    return stream.select(
+        F.col("event_id").alias("transaction_id"), F.pmod("event_id", F.lit(25)).cast("int").alias("store_id"), F.when(F.col("event_type") == "error", F.lit(0)).otherwise(F.col("user_id")).cast("bigint").alias("user_id"),
+        F.col("value").alias("final_amount"), F.col("ts").alias("created_at"),
+    )
+
+
+@query(f"with {TB} select {HALF} year_half_created_at, store_id, cast(sum(cast(final_amount as decimal(18,6))) as double) tpv from tb where year(created_at) in (2024, 2025) and cast(created_at as time) between time '06:00:00' and time '23:00:00' group by all")
+def stream_tpv_available_now(s, d):
+    folder = J.fresh_folder(s, "tpv")
+    J.run_available(J.running_payment_value(_events(_stream(s, d, "events")), D.EVENTS), folder, "update")
+    return J.latest(s, folder, ["year_half_created_at", "store_id"]).withColumn("tpv", F.col("tpv").cast("double"))
+
+
+@query("select event_id from events")
+def stream_dedup(s, d):
+    folder = J.fresh_folder(s, "dedup")
+    stream = _stream(s, d, "events").select("event_id", F.col("ts").alias("created_at"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    J.run_available(J.without_repeats(stream, ["event_id"]).select("event_id"), folder)
+    return s.read.parquet(f"{folder}/out").select("event_id")
+
+
+@query(f"with {TB}, {FB}, {CNT} {_best('row_number')}".replace("select * from (select *", "select store_id, user_id, purchases_qty from (select *"))
+def stream_top_clients(s, d):
+    folder = J.fresh_folder(s, "clients")
+    rank = lambda batch: R.top_n(batch.where("user_id > 0"), ["store_id"], "purchases_qty", 3, then=["user_id"])
+    J.run_available(J.running_purchase_counts(_events(_stream(s, d, "events")), D.EVENTS), folder, "complete", rank)
+    rows = s.read.parquet(f"{folder}/out")
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").select("store_id", "user_id", "purchases_qty")
+
+
+def _control(s, d, reset: bool):
+    """Events as messages of 5 clients with a marker from each of 3 senders; with reset, what an earlier half said is void."""
+    e = _stream(s, d, "events").select("event_id", "value", F.pmod("event_id", F.lit(5)).cast("string").alias("client_id"))
+    data = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.floor("value").cast("double").alias("amount"), (F.col("event_id") * 10).alias("seq"))
+    again = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.lit(1e6).alias("amount"), (F.col("event_id") * 10 + 1).alias("seq"))
+    late = F.lit(10**15).cast("bigint")
+    marks = [F.struct(F.lit("EOF").alias("kind"), F.concat(F.lit(f"eof{k}-"), F.col("client_id")).alias("message_uuid"), F.lit(0.0).alias("amount"), late.alias("seq")) for k in (0, 1, 2)]
+    rows = [data, again, *marks]
+    if reset:
+        rows.append(F.struct(F.lit("CLIENT_RESET").alias("kind"), F.lit("").alias("message_uuid"), F.lit(0.0).alias("amount"), F.lit(3005).cast("bigint").alias("seq")))
+    return e.select("client_id", F.explode(F.array(*rows)).alias("r")).select("client_id", "r.*")
+
+
+def _completed(s, d, reset: bool):
+    folder = J.fresh_folder(s, "barrier")
+    J.run_available(J.completed(_control(s, d, reset), 3), folder)
+    return s.read.parquet(f"{folder}/out").select("client_id", "amount", "n_rows")
+
+
+@query("select cast(event_id % 5 as varchar) client_id, sum(floor(value)) amount, count(*) n_rows from events group by all")
+def stream_barrier(s, d):
+    return _completed(s, d, False)
+
+
+@query("select cast(event_id % 5 as varchar) client_id, sum(floor(value)) amount, count(*) n_rows from events where event_id * 10 > 3005 group by all")
+def stream_reset(s, d):
+    return _completed(s, d, True)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
