@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur more than once, by suffix arrays.
 
-Every string of `length` bytes holds an anchor: of its 256-byte grams, the one of least hash. Equal strings have equal
+Every string of `length` bytes holds an anchor: of its 192-byte grams, the one of least hash. Equal strings have equal
 anchors at equal places, so a string can only repeat within the group of its anchor's gram. Anchors whose gram occurs
 once drop out at once. An anchor answers for the strings for which it is the least one; together they cover a region of
 the text. Regions that are equal as a whole repeat as a whole, and need counting only. What is left is decided by suffix
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyhouse.llm.common import durable, ids_and_texts
 from tallyhouse.llm.minhash import _mix
 
-LENGTH, GRAM = 400, 256
+LENGTH, GRAM = 400, 192
 #: Starts of strings looked at in one step; distinct regions sorted together at most; bytes on either side that split larger groups.
 STEP, TOGETHER, BESIDE = 60_000, 400, 3
 
