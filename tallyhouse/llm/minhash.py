@@ -26,6 +26,10 @@ BANDS, ROWS = 48, 6
 RING = 1 << 20
 #: Pivots that a bucket adds in the second round; later rounds add four times as many as the round before.
 PIVOTS = 16
+#: Pivots of the commonest group, in each of the rounds between.
+ENVOYS, ENVOY_ROUNDS = 4, 2
+#: Pairs whose ids may be broadcast: under 10 MB.
+FEW_PAIRS = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -106,35 +110,32 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of (a, b), the pairs whose full sets have 100 * intersection >= percent * union.
 
-    Only the texts in some pair travel. Both joins are plain equi-joins, so that a text in very many pairs is split.
+    Each text is sent to the pairs that it is in, once for each; a text in very many pairs is written by one task but
+    read by many. The list of pairs is broadcast where it is counted to be short, else texts and lists are shuffled.
     """
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = texts.join(used, "doc_id", "left_semi")
+    sides = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
+    if pairs.count() <= FEW_PAIRS:
+        sides = F.broadcast(sides)
+    sent = texts.join(sides, "doc_id").select("a", "b", "doc_id", "text").repartition("a", "b").sortWithinPartitions("a", "b")
 
     def run(batches):
         import pyarrow as pa
 
+        last = None  # ids and set of a pair's first side
         for batch in batches:
-            held: dict[int, np.ndarray] = {}
-
-            def full_set(i, text):
-                if i not in held:
-                    if len(held) > 1000:
-                        held.clear()
-                    held[i] = shingles(text, width)
-                return held[i]
-
             good = []
             for row in range(batch.num_rows):
-                a, b = (full_set(batch.column(k)[row].as_py(), batch.column(k + 2)[row].as_py()) for k in (0, 1))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                a, b, doc = (batch.column(k)[row].as_py() for k in (0, 1, 2))
+                own = shingles(batch.column(3)[row].as_py(), width)
+                if last is not None and last[:2] == (a, b) and last[2] != doc:
+                    both = len(np.intersect1d(last[3], own, assume_unique=True))
+                    if 100 * both >= percent * (len(last[3]) + len(own) - both):
+                        good.append((a, b))
+                else:
+                    last = (a, b, doc, own)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return sent.mapInArrow(run, "a long, b long").distinct()
 
 
 def _grouped(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -176,17 +177,24 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = durable(_similar(tested, texts, width, percent))
     label = durable(components(links))
     take = PIVOTS
-    # Of two members in two groups, one at least is outside its bucket's commonest group: these are the further pivots.
+    # Next, a few members of each bucket's commonest group meet those outside it, which joins most of what belongs together.
+    # Then, since of two members in two groups one at least is outside the commonest, all outsiders become pivots in turn.
+    turn = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
+    turns = 0
     while True:
         here = durable(_grouped(members, label))
-        turn = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-        waiting = here.where("group <> commonest").join(pivoted, ["bucket", "rep"], "left_anti")
-        pivots = durable(waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take).drop("turn"))
+        envoys = turns < ENVOY_ROUNDS
+        waiting = here.where(F.col("group") == F.col("commonest") if envoys else F.col("group") != F.col("commonest")).join(pivoted, ["bucket", "rep"], "left_anti")
+        pivots = durable(waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= (ENVOYS if envoys else take)).drop("turn"))
+        turns += 1
         if pivots.isEmpty():
+            if envoys:
+                continue
             break
         pairs = durable(_pairs(here, pivots, percent).join(tested, ["a", "b"], "left_anti"))
         pivoted = pivoted.unionByName(pivots.select("bucket", "rep"))
-        take *= 4
+        if not envoys:
+            take *= 4
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
