@@ -325,7 +325,7 @@ def merged(spans) -> list[tuple[int, int]]:
 def _left(text: str | None, spans) -> tuple[bytes, bytes, list[tuple[int, int]]]:
     """The text's bytes, those that stay, and the merged spans."""
     data = _bytes(text)
-    cuts = merged((x["start"], x["end"]) for x in spans or [])
+    cuts = merged((x["start"], x["end"]) for x in (() if spans is None else spans))
     at, parts = 0, []
     for s, e in cuts:
         parts.append(data[at:s])
