@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyhouse.llm.bpe import lengths
+from tallyhouse.llm.common import durable
 
 #: Neighbouring lengths summed by one task.
 STRIDE = 256
@@ -64,5 +65,8 @@ def length_quantiles(limits_df: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """limits() of every whole text of docs by the byte-level tokenizer; null and empty texts have length 0."""
-    return limits(histogram(lengths(docs, path)))
+    """limits() of every whole text of docs by the byte-level tokenizer; null and empty texts have length 0.
+
+    The histogram, a row for each distinct length, is read twice and kept in between: texts are encoded once.
+    """
+    return limits(durable(histogram(lengths(docs, path))))
