@@ -32,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and edges with a null end are left out; repeated and reversed edges count once. No edges give no rows.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
-    now = durable(now)
     while True:
         now = durable(_small_star(_large_star(now)))
-        n, vertices = now.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
-        if n == vertices and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # Done when every vertex is either linked once, to a lesser one, or is such a lesser one.
+        ends = now.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())

@@ -26,8 +26,8 @@ BANDS, ROWS = 48, 6
 RING = 1 << 20
 #: Pivots that a bucket adds in the second round; later rounds add four times as many as the round before.
 PIVOTS = 16
-#: Pivots of the commonest group, in each of the rounds between.
-ENVOYS, ENVOY_ROUNDS = 4, 2
+#: Pivots of the commonest group, in the round between.
+ENVOYS = 6
 #: Pairs whose ids may be broadcast: under 10 MB.
 FEW_PAIRS = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -174,32 +174,33 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pivoted = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n"), "rep").alias("p")).select("bucket", "p.rep", "p.n")
     tested = durable(_pairs(alone, pivoted.withColumn("group", F.col("rep")), percent))
     pivoted = durable(pivoted.select("bucket", "rep"))
-    links = durable(_similar(tested, texts, width, percent))
-    label = durable(components(links))
+    label = durable(components(durable(_similar(tested, texts, width, percent))))
     take = PIVOTS
     # Next, a few members of each bucket's commonest group meet those outside it, which joins most of what belongs together.
     # Then, since of two members in two groups one at least is outside the commonest, all outsiders become pivots in turn.
     turn = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-    turns = 0
+    envoys = True
     while True:
+        # Buckets that lie in one group by now need no more rounds: groups only grow.
         here = durable(_grouped(members, label))
-        envoys = turns < ENVOY_ROUNDS
+        members = here.select("bucket", "rep", "n")
         waiting = here.where(F.col("group") == F.col("commonest") if envoys else F.col("group") != F.col("commonest")).join(pivoted, ["bucket", "rep"], "left_anti")
         pivots = durable(waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= (ENVOYS if envoys else take)).drop("turn"))
-        turns += 1
+        meeting, envoys = envoys, False
         if pivots.isEmpty():
-            if envoys:
+            if meeting:
                 continue
             break
         pairs = durable(_pairs(here, pivots, percent).join(tested, ["a", "b"], "left_anti"))
         pivoted = pivoted.unionByName(pivots.select("bucket", "rep"))
-        if not envoys:
+        if not meeting:
             take *= 4
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        links = links.unionByName(durable(_similar(pairs, texts, width, percent)))
-        label = durable(components(links))
+        # A group's links to its least member stand for all those that made it.
+        stars = label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+        label = durable(components(stars.unionByName(durable(_similar(pairs, texts, width, percent)))))
     out = seen.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left").join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
