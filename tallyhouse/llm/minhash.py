@@ -5,7 +5,8 @@ the whole signature. Bands of coordinates propose candidates, and every link is
 
 Equal sets are folded first. Within a bucket, members are first compared with one pivot only, so a bucket of n copies
 costs n comparisons; links join members to groups. What is still apart is compared with further pivots until every pair
-of a bucket that lies in two groups has been compared. No partner or candidate is ever left out.
+of a bucket that lies in two groups has been compared. No partner or candidate is ever left out, but texts are sent only
+for pairs that can be similar: parities of shingles by hash bound from below in how many shingles two sets differ.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from tallyhouse.llm.components import components
 BANDS, ROWS = 48, 6
 #: Places of the ring.
 RING = 1 << 20
-#: Pivots that a bucket adds in the second round; later rounds add four times as many as the round before.
-PIVOTS = 16
+#: Pivots that a bucket adds in the first round of outsiders; later rounds add four times as many as the round before.
+PIVOTS = 64
 #: Pivots of the commonest group, in the round between.
 ENVOYS = 6
+#: 64-bit words of parities.
+PARITY_WORDS = 8
 #: Pairs whose ids may be broadcast: under 10 MB.
 FEW_PAIRS = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -79,19 +82,29 @@ def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of the hashes' remainders, whether an odd number of them has it, as bits of 64-bit words.
+
+    The bits in which two sets' parities differ are at most as many as the members that only one of them has.
+    """
+    bits = 64 * PARITY_WORDS
+    return np.packbits((np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64)
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands): set_id is a 128-bit digest of the shingle set, null if empty; a number for each band."""
+    """(doc_id, n_shingles, set_id, bands, parity): set_id is a 128-bit digest of the shingle set, null if empty; a number for each band."""
 
     def run(batches):
         import pyarrow as pa
 
         salt = np.arange(BANDS, dtype=np.uint64)
         for b in batches:
-            n, sets, bands = [], [], []
+            n, sets, bands, parity = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
                 sets.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                parity.append(parities(s).tolist())
                 if len(s):
                     rows = signature(s).reshape(BANDS, ROWS).astype(np.uint64)
                     key = salt
@@ -101,10 +114,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 else:
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "n_shingles", "set_id", "bands"]
+                [b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary()), pa.array(parity, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "bands", "parity"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary, parity array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -147,9 +161,14 @@ def _grouped(members: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _pairs(here: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot and another member of its bucket, of another group and near enough in size to be similar."""
-    p = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("group").alias("pg"))
+    """Pairs of a pivot and another member of its bucket, of another group and near enough in size, and parities if known, to be similar."""
+    known = [F.col("parity").alias("pp")] if "parity" in here.columns else []
+    p = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("group").alias("pg"), *known)
     near = (F.col("group") != F.col("pg")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    if known:
+        # 100 * intersection >= percent * union, written with the number of members that only one set has.
+        apart = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("pp")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+        near &= (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pn"))
     return here.join(p, "bucket").where(near).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
@@ -162,7 +181,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = ids_and_texts(docs)
     seen = durable(sketch(docs, width))
-    reps = seen.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    reps = seen.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.col("bands").substr(k * 8 + 1, F.lit(8))))
     spread = reps.select("rep", "n", F.explode(buckets).alias("bucket"))
     many = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -182,8 +201,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     envoys = True
     while True:
         # Buckets that lie in one group by now need no more rounds: groups only grow.
-        here = durable(_grouped(members, label))
-        members = here.select("bucket", "rep", "n")
+        here = _grouped(members, label)
+        here = durable(here if "parity" in here.columns else here.join(reps.select("rep", "parity"), "rep"))
+        members = here.select("bucket", "rep", "n", "parity")
         waiting = here.where(F.col("group") == F.col("commonest") if envoys else F.col("group") != F.col("commonest")).join(pivoted, ["bucket", "rep"], "left_anti")
         pivots = durable(waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= (ENVOYS if envoys else take)).drop("turn"))
         meeting, envoys = envoys, False
