@@ -304,22 +304,33 @@ def stream_top_clients(s, d):
     return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").select("store_id", "user_id", "purchases_qty")
 
 
-def _control(s, d, reset: bool):
-    """Events as messages of 5 clients with a marker from each of 3 senders; with reset, what an earlier half said is void."""
+def _messages(s, d):
+    """Events as messages of 5 clients, each sent again with another amount."""
     e = _stream(s, d, "events").select("event_id", "value", F.pmod("event_id", F.lit(5)).cast("string").alias("client_id"))
-    data = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.floor("value").cast("double").alias("amount"), (F.col("event_id") * 10).alias("seq"))
-    again = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.lit(1e6).alias("amount"), (F.col("event_id") * 10 + 1).alias("seq"))
+    data = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.floor("value").cast("double").alias("amount"), (F.col("event_id") * 10).cast("bigint").alias("seq"))
+    again = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.lit(1e6).alias("amount"), (F.col("event_id") * 10 + 1).cast("bigint").alias("seq"))
+    return e.select("client_id", F.explode(F.array(data, again)).alias("r")).select("client_id", "r.*")
+
+
+def _control(s, d, reset: bool):
+    """A marker from each of 3 senders for every client, once; with reset, what an earlier half said is void."""
+    clients = D.table(s, d, "events").select(F.pmod("event_id", F.lit(5)).cast("string").alias("client_id")).distinct()
     late = F.lit(10**15).cast("bigint")
-    marks = [F.struct(F.lit("EOF").alias("kind"), F.concat(F.lit(f"eof{k}-"), F.col("client_id")).alias("message_uuid"), F.lit(0.0).alias("amount"), late.alias("seq")) for k in (0, 1, 2)]
-    rows = [data, again, *marks]
+    rows = [F.struct(F.lit("EOF").alias("kind"), F.lit(f"eof{k}").alias("message_uuid"), F.lit(0.0).alias("amount"), late.alias("seq")) for k in (0, 1, 2)]
     if reset:
         rows.append(F.struct(F.lit("CLIENT_RESET").alias("kind"), F.lit("").alias("message_uuid"), F.lit(0.0).alias("amount"), F.lit(3005).cast("bigint").alias("seq")))
-    return e.select("client_id", F.explode(F.array(*rows)).alias("r")).select("client_id", "r.*")
+    return clients.select("client_id", F.explode(F.array(*rows)).alias("r")).select("client_id", "r.*")
 
 
 def _completed(s, d, reset: bool):
     folder = J.fresh_folder(s, "barrier")
-    J.run_available(J.completed(_control(s, d, reset), 3), folder)
+    control = _control(s, d, reset)
+    control.where("false").write.parquet(f"{folder}/control")
+    stream = _messages(s, d).unionByName(J.file_stream(s, f"{folder}/control", control.schema))
+    J.run_barrier(stream, folder, 3)
+    # All data came; now the senders say so, and the stream goes on where it stopped.
+    control.write.mode("append").parquet(f"{folder}/control")
+    J.run_barrier(stream, folder, 3)
     return s.read.parquet(f"{folder}/out").select("client_id", "amount", "n_rows")
 
 

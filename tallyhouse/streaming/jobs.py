@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyhouse.config import QueryConfig
 from tallyhouse.operators import aggregate as A, filters as L
@@ -58,54 +57,45 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("_r")).select(*keys, "_r.*").drop("batch")
 
 
-class Barrier(StatefulProcessor):
-    """Sums amounts of each client and sends them once `needed` distinct completion markers came.
+def completed(control: DataFrame, needed: int) -> DataFrame:
+    """(client_id, since, until) of clients with `needed` distinct markers after their last reset, in the order of seq.
 
-    Rows: kind data, EOF or CLIENT_RESET, in the order of seq. A reset forgets what came before it; a marker or batch
-    whose message_uuid was seen is skipped.
+    control: rows of kind EOF or CLIENT_RESET. since: seq of the last reset; until: seq of the marker that completes.
     """
+    resets = control.where("kind = 'CLIENT_RESET'").groupBy("client_id").agg(F.max("seq").alias("since"))
+    marks = control.where("kind = 'EOF'").join(resets, "client_id", "left").withColumn("since", F.coalesce("since", F.lit(-(2**63))))
+    marks = marks.where("seq > since").groupBy("client_id", "since", "message_uuid").agg(F.min("seq").alias("until"))
+    turn = Window.partitionBy("client_id").orderBy("until", "message_uuid")
+    return marks.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") == needed).select("client_id", "since", "until")
 
-    def __init__(self, needed: int):
-        self.needed = needed
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "amount double, rows long, sent boolean")
-        self.seen = handle.getMapState("seen", "message_uuid string", "kind string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        amount, n, sent = self.total.get() if self.total.exists() else (0.0, 0, False)
-        markers = sum(v[0] == "EOF" for _, v in self.seen.iterator())
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            if r.kind == "CLIENT_RESET":
-                self.seen.clear()
-                amount, n, sent, markers = 0.0, 0, False, 0
-                continue
-            if self.seen.containsKey((r.message_uuid,)):
-                continue
-            self.seen.updateValue((r.message_uuid,), (r.kind,))
-            if r.kind == "EOF":
-                markers += 1
-                if markers >= self.needed and not sent:
-                    out.append((key[0], float(amount), int(n)))
-                    sent = True
-            else:
-                amount, n = amount + float(r.amount), n + 1
-        self.total.update((float(amount), int(n), bool(sent)))
-        if out:
-            yield pd.DataFrame(out, columns=["client_id", "amount", "n_rows"])
-
-    def close(self) -> None:
-        pass
-
-
-def completed(df: DataFrame, needed: int) -> DataFrame:
-    """(client_id, amount, n_rows) of clients whose markers are complete; rows (client_id, kind, message_uuid, amount, seq)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return df.groupBy("client_id").transformWithStateInPandas(Barrier(needed), "client_id string, amount double, n_rows long", "append", "none")
+
+def message_amounts(data: DataFrame, ready: DataFrame) -> DataFrame:
+    """(client_id, message_uuid, amount) of ready clients' messages between since and until; of repeats the first by seq."""
+    between = data.join(ready, "client_id").where("seq > since and seq < until")
+    return between.groupBy("client_id", "message_uuid").agg(F.min_by("amount", "seq").alias("amount"))
+
+
+def run_barrier(df: DataFrame, folder: str, needed: int) -> None:
+    """Sends (client_id, amount, n_rows) of each client once `needed` distinct completion markers came; what is there is run.
+
+    Rows (client_id, kind, message_uuid, amount, seq) of kind data, EOF or CLIENT_RESET; seq gives their order, whatever
+    file they come in. A reset voids what has a smaller seq; a repeated message_uuid counts once. Batches only put
+    messages down; sums are made when a client's markers are there, which senders send after their data.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.select("client_id", "kind", "message_uuid", "amount", "seq").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/messages/number={number}")
+        messages = spark.read.schema("client_id string, message_uuid string, amount double, seq long, kind string, number long").parquet(f"{folder}/messages").where(F.col("number") <= number)
+        ready = completed(messages.where("kind <> 'data'"), needed)
+        if number:
+            sent = spark.read.schema("client_id string, since long, number long").parquet(f"{folder}/out").where(F.col("number") < number)
+            ready = ready.join(sent, ["client_id", "since"], "left_anti")
+        totals = message_amounts(messages.where("kind = 'data'"), ready).groupBy("client_id").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n_rows"))
+        out = ready.join(totals, "client_id", "left").fillna({"amount": 0.0, "n_rows": 0})
+        out.select("client_id", "amount", "n_rows", "since").write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+
+    df.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
