@@ -19,9 +19,15 @@ def file_stream(spark: SparkSession, path: str, schema, source: str = "parquet",
     return spark.readStream.format(source).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
-def without_repeats(df: DataFrame, keys: list[str], moment: str = "created_at", late: str = "30 days") -> DataFrame:
-    """Each key once; keys are remembered as long as rows may come late."""
-    return df.withColumn("_moment", F.col(moment).cast("timestamp")).withWatermark("_moment", late).dropDuplicatesWithinWatermark(keys).drop("_moment")
+def without_repeats(df: DataFrame, keys: list[str], moment: str = "created_at", late: str | None = None) -> DataFrame:
+    """Each key once, in whatever order rows come; every key is remembered, in RocksDB.
+
+    late, as "30 days": keys are forgotten after that time, and rows that come later than that are dropped.
+    """
+    if late is not None:
+        return df.withColumn("_moment", F.col(moment).cast("timestamp")).withWatermark("_moment", late).dropDuplicatesWithinWatermark(keys).drop("_moment")
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df.dropDuplicates(keys)
 
 
 def running_payment_value(df: DataFrame, config: QueryConfig = QueryConfig()) -> DataFrame:

@@ -31,6 +31,10 @@ def test_barrier_waits_for_all_files(spark, many_files, name, least):
     assert got == [(str(c), sum(v), len(v)) for c, v in want.items()]
 
 
+def test_dedup_keeps_late_rows(spark, many_files):
+    assert sorted(r["event_id"] for r in catalog.queries()["stream_dedup"](spark, many_files).collect()) == list(range(ROWS))
+
+
 def test_one_client_is_many_tasks(spark):
     """A hot client's messages meet its markers in more than one task."""
     data = spark.range(2000).selectExpr("'hot' client_id", "'data' kind", "concat('m', id % 1000) message_uuid", "1.0D + id div 1000 amount", "id seq")
