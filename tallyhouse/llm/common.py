@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Unicode White_Space, as the body of a character class.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Column of numbered().
+ROW = "_row"
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file; the same on every machine of the cluster."""
@@ -40,6 +44,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a number for every row, in ROW, written to the shared folder so that it stays the same."""
+    place = os.path.join(shared_folder(df.sparkSession), f"numbered-{uuid.uuid4().hex}")
+    df.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def rest_collector() -> None:
     """For workers that keep large memos: full passes of Python's cycle collector over them cost more than they find."""
     gc.set_threshold(200_000, 50, 1000)

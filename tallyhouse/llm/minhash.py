@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyhouse.llm.bpe import Memo
-from tallyhouse.llm.common import durable, ids_and_texts, rest_collector
+from tallyhouse.llm.common import ROW, durable, ids_and_texts, numbered, rest_collector
 from tallyhouse.llm.components import components
 
 #: Bands and their rows: a pair of similarity 0.8 is missed by all bands once in 2 million pairs.
@@ -227,6 +227,18 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the least doc_id, of each group of near copies. Rows without doc_id stay."""
-    gone = groups(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of near copies: that of the least doc_id, and of its rows the least by hash.
+
+    Every row counts as a document of its own, so rows may share an id or have none. Of rows with one id and one text
+    without words one stays, too.
+    """
+    rows = numbered(docs)
+    found = groups(rows.select(F.col(ROW).alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id")
+    id_, empty = F.col("doc_id").cast("long"), F.col("n_shingles") == 0
+    # Whole digests of texts without words, as they only meet by them.
+    same = F.when(empty & id_.isNull(), F.col(ROW).cast("string")).when(empty, F.concat_ws(":", id_.cast("string"), F.coalesce("text_digest", F.lit("null")))).otherwise("")
+    order = F.struct(id_.isNull().alias("x"), id_.alias("i"), F.col("text_digest").alias("d"), F.col("rest").alias("h"), F.col(ROW).alias(ROW))
+    keys = rows.select(ROW, "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("rest")).join(found, ROW)
+    kept = keys.groupBy(F.when(~empty, F.col("component_id")).alias("c"), same.alias("s")).agg(F.min(order).alias("k")).select(f"k.{ROW}")
+    gone = keys.select(ROW).join(kept, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
