@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import durable, ids_and_texts
+from tallyhouse.llm.common import ROW, durable, ids_and_texts, numbered
 from tallyhouse.llm.label_model import LabelModel, logistic
 
 BASE = ("email", "ip", "card", "phone")
@@ -223,10 +223,12 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its texts replaced by its kind in brackets, and n_chars set anew; the other columns stay.
 
-    The spans come back to their rows by doc_id. Rows of one doc_id must have one text; rows without an id
-    can't be told apart and keep theirs.
+    The spans come back to their rows by a number of the row, so ids may be shared or missing.
     """
-    spans = find(docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])).select("doc_id", all_spans().alias("_spans")).where(F.size("_spans") > 0)
+    rows = numbered(docs)
+    found = find(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    spans = found.select(F.col("doc_id").alias(ROW), all_spans().alias("_spans")).where(F.size("_spans") > 0)
+
     @F.pandas_udf("string")
     def cut(texts, spans):
         import pandas as pd
@@ -245,5 +247,5 @@ def redact(docs: DataFrame) -> DataFrame:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).drop("_spans")
+    out = rows.join(spans, ROW, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).drop("_spans")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

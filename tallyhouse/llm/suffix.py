@@ -188,13 +188,18 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _row_key():
+    """A 64-bit hash of id and text: rows that share it have the same bytes to remove, so ids may be shared or missing."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans array<struct<start, end>>) of the documents with bytes to remove; spans may overlap, in no order.
+    """(row_key, spans array<struct<start, end>>) of the rows with bytes to remove; spans may overlap, in no order.
 
-    A byte is to be removed if a string of `length` bytes covers it that also starts anywhere else. Rows without doc_id
-    take no part; rows of one doc_id must have one text, and are all found to repeat each other.
+    A byte is to be removed if a string of `length` bytes covers it that also starts anywhere else, be it in a row of the
+    same id or of none.
     """
-    docs = ids_and_texts(docs).where("doc_id is not null")
+    docs = docs.select(_row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = length - gram + 1
 
     def grams(batches):
@@ -247,6 +252,8 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     large = F.col("regions") > TOGETHER
     beside = F.when(large, F.concat(F.substring("left", F.greatest(F.length("left") - (BESIDE - 1), F.lit(1)), F.lit(BESIDE)), F.lit(b"|"), F.substring("right", 1, BESIDE))).otherwise(F.lit(b""))
     pieces = durable(pieces.withColumn("large", large).withColumn("part", beside))
+    # Rows of one key each send the regions that they share; each region counts once.
+    pieces = pieces.where("times = 1").unionByName(pieces.where("times > 1").dropDuplicates(["gram", "region"]))
     crowded = pieces.where("large").groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).select("gram", "part", F.lit(True).alias("crowded"))
     pieces = pieces.join(crowded, ["gram", "part"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
@@ -307,7 +314,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     starts = by_sorting.unionByName(by_counting).select("doc_id", F.col("start").alias("start"), (F.col("start") + length).alias("end"))
     whole = seen.join(distinct.where("times > 1").select("gram", "region"), ["gram", "region"], "left_semi")
     whole = whole.select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
-    return whole.unionByName(starts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return whole.unionByName(starts).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -352,7 +359,8 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    joined = ids_and_texts(docs).join(find(docs, length), "doc_id", "left").select("doc_id", "text", "spans")
+    docs = ids_and_texts(docs)
+    joined = docs.withColumn("row_key", _row_key()).join(find(docs, length), "row_key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -368,6 +376,6 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return pd.Series([_left(t, s)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype=object)
 
-    out = docs.join(find(docs, length).select("doc_id", F.col("spans").alias("_spans")), "doc_id", "left")
+    out = docs.withColumn("_row_key", _row_key()).join(find(docs, length).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "_row_key", "left")
     out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest("text", "_spans")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

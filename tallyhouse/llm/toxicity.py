@@ -15,7 +15,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import durable, ids_and_texts
+from tallyhouse.llm.common import ROW, durable, numbered
 from tallyhouse.llm.label_model import LabelModel, logistic
 
 #: Labelled rows of either class that are looked at to learn terms and to train the classifier: those least by a hash of doc_id.
@@ -139,13 +139,19 @@ def _train(rows, labels_of: dict[str, float], n: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every whole text.
+    """(doc_id, held_out, score, predicted) of every whole text."""
+    return row_scores(docs, labels).drop(ROW)
+
+
+def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every whole text, and ROW where docs are numbered, else null.
 
     held_out: crc32(doc_id as text) mod 5 is 0; such rows teach nothing. score: chance of being toxic, 0 to 1. predicted:
     1 from 0.5 on. Null and empty texts are scored as texts without any term. A null doc_id is not held out. Without
     labels of both classes only the list of insults and the patterns speak. Repeated rows are scored one by one.
     """
-    docs = ids_and_texts(docs)
+    number_of = F.col(ROW) if ROW in docs.columns else F.lit(None).cast("long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number_of.alias(ROW))
     chosen = _labelled(labels)
     chosen = durable(chosen)  # at most 2 * LABELLED rows of two numbers, so it may be broadcast
     size = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -166,12 +172,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 hidden.append(f[2])
                 pattern.append("".join("-" if v is None else str(v) for v in vote(*f)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(plain, pa.int32()), pa.array(hidden, pa.int32()), pa.array(pattern, pa.string())],
-                ["doc_id", "found", "plain", "hidden", "pattern"],
+                [b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(plain, pa.int32()), pa.array(hidden, pa.int32()), pa.array(pattern, pa.string()), b.column(2)],
+                ["doc_id", "found", "plain", "hidden", "pattern", ROW],
             )
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    seen = durable(docs.mapInArrow(features, "doc_id long, found array<int>, plain int, hidden int, pattern string").withColumn("held_out", held_out))
+    seen = durable(docs.mapInArrow(features, f"doc_id long, found array<int>, plain int, hidden int, pattern string, {ROW} long").withColumn("held_out", held_out))
     tally = seen.where("not held_out").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2^len(VOTERS) rows
     read = lambda p: tuple(None if c == "-" else int(c) for c in p)
     yes = [*[(0.4, 0.0)] * LEXICONS, (0.5, 0.0), (0.05, 0.0), (0.8, 0.0), (0.0, 0.02)]
@@ -195,12 +201,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 few = min(hits, 4) / 4, min(len({t % LEXICONS for t in found}), 4) / 4
                 z.append(weights[found].sum() + weights[n] * (plain > 0) + weights[n + 1] * (hidden > 0) + weights[n + 2] * few[0] + weights[n + 3] * few[1] + weights[n + 4])
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -60, 60)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), b.column(5)], ["doc_id", "held_out", "score", "predicted", ROW])
 
-    return seen.select("doc_id", "held_out", "found", "plain", "hidden").mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return seen.select("doc_id", "held_out", "found", "plain", "hidden", ROW).mapInArrow(judge, f"doc_id long, held_out boolean, score double, predicted int, {ROW} long")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score() calls toxic; rows without doc_id stay."""
-    toxic = score(docs.where(F.col("doc_id").isNotNull()), labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that score() calls toxic, each judged by its own text."""
+    rows = numbered(docs)
+    toxic = row_scores(rows, labels).where("predicted = 1").select(ROW)
+    return rows.join(toxic, ROW, "left_anti").select(*docs.columns)

@@ -42,3 +42,55 @@ def test_keep_one_row_of_a_group(spark, parts):
     assert texts(kept) == expected([rows[k] for k in want])
     # A repeated row doesn't lose its text in the next stage.
     assert (3, a) in [(r["doc_id"], r["text"]) for r in suffix.remove(kept).collect()]
+
+
+def test_toxic_rows_without_ids_go(spark):
+    rows = [(i, words(30) + (" zzgrump zzfoul" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    extra = [(None, words(30) + " zzgrump zzfoul"), (None, words(30)), (1, words(30) + " zzgrump zzfoul"), (None, None)]
+    got = toxicity.clean(frame(spark, rows + extra), labels)
+    assert texts(got) == expected([(i, t) for i, t in rows + extra if "zzgrump" not in (t or "")])
+
+
+@pytest.mark.parametrize("together", [400, 5])
+def test_passages_of_rows_without_ids_go(spark, monkeypatch, together):
+    monkeypatch.setattr(suffix, "TOGETHER", together)
+    some = lambda n: "".join(RNG.choice("abcdef gh") for _ in range(n))
+    shared, twice = some(700), some(900)
+    cuts = [some(RNG.randint(0, 300)) + shared[RNG.randint(0, 100) : RNG.randint(450, 700)] + some(RNG.randint(0, 300)) for _ in range(24)]
+    rows = [(k // 2 if k % 3 else None, t) for k, t in enumerate(cuts)]
+    rows += [(50, twice), (50, twice), (50, twice[:500] + some(300)), (None, cuts[1]), (None, cuts[1]), (None, some(800)), (51, some(800)), (None, None), (52, "")]
+    data = [(t or "").encode() for _, t in rows]
+    times = {}
+    for d in data:
+        for i in range(len(d) - 399):
+            times[d[i : i + 400]] = times.get(d[i : i + 400], 0) + 1
+    want = []
+    for (i, t), d in zip(rows, data):
+        gone = bytearray(len(d))
+        for k in range(len(d) - 399):
+            if times[d[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        want.append((i, bytes(b for b, g in zip(d, gone) if not g).decode()))
+    df = frame(spark, rows)
+    assert texts(suffix.remove(df)) == expected(want)
+    left = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"] - r["n_removed"]) for r in suffix.digest(df).collect())
+    assert left == sorted((i is None, i or 0, len(t)) for i, t in want)
+
+
+def test_personal_data_of_every_row_goes(spark):
+    rows = [(1, "mail a.b@c.example.com now"), (1, "a longer text, then card 4111 1111 1111 1111 and no more"), (None, "call +1 (555) 010-0199"), (None, "write x@y.example.org"), (2, "clean words only"), (None, None)]
+    want = [(1, "mail [EMAIL] now"), (1, "a longer text, then card [CARD] and no more"), (None, "call [PHONE]"), (None, "write [EMAIL]"), (2, "clean words only"), (None, None)]
+    got = pii.redact(frame(spark, rows))
+    assert texts(got) == expected(want) and all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in got.collect())
+
+
+def test_pipeline_stages_in_turn(spark, tmp_path):
+    """All stages on rows that share ids or have none: what is packed is what the stages should leave."""
+    clean = [words(100) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(3, clean[3]), (None, clean[4]), (None, words(100))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "doc_tokens").distinct().collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, i) for i in range(30)] + [(True, 0)]
+    assert all(r["doc_tokens"] > 100 for r in got)
