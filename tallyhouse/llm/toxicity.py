@@ -9,10 +9,10 @@ its posteriors and scores every document.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tallyhouse.llm.common import ROW, durable, numbered
@@ -70,20 +70,24 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return usable.where("toxic = 1").orderBy(*least).limit(LABELLED).unionByName(usable.where("toxic = 0").orderBy(*least).limit(LABELLED))
 
 
-def learn_terms(examples: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+def learn_terms(examples: DataFrame) -> list[str]:
     """Up to TERMS terms with the greatest reach among toxic examples, of those that clean ones hardly have.
 
-    Near copies of one text would lift all its rare words, so of examples with the same least word hash only one counts.
+    Copies of one text would lift all its rare words, so of examples of a class with the same set of words only one counts,
+    in the totals too.
     """
 
     def sign(batches):
         import pyarrow as pa
 
         for b in batches:
-            keys = [min((zlib.crc32(w.encode()) for w in WORD.findall((t or "").lower())), default=-1) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["text", "toxic", "key"])
+            keys = [xxhash.xxh128_digest(" ".join(sorted(set(WORD.findall((t or "").lower())))).encode("utf-8", "surrogatepass")) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], ["text", "toxic", "key"])
 
-    examples = examples.select("text", "toxic").mapInArrow(sign, "text string, toxic int, key long").groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    examples = examples.select("text", "toxic").mapInArrow(sign, "text string, toxic int, key binary").groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    examples = durable(examples.select("text", "toxic"))  # at most 2 * LABELLED texts
+    size = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
 
     def count(batches):
         import pyarrow as pa
@@ -157,7 +161,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     size = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     examples = docs.join(F.broadcast(chosen), "doc_id")
-    terms = learn_terms(examples, n_toxic, n_clean) if n_toxic and n_clean else []
+    terms = learn_terms(examples) if n_toxic and n_clean else []
     number = {t: i for i, t in enumerate(terms)}
 
     def features(batches):

@@ -1,6 +1,7 @@
 """Stages of the pipeline on rows that share an id or have none, against brute force."""
 
 import random
+import zlib
 
 import corpus_pipeline
 import pytest
@@ -94,3 +95,11 @@ def test_pipeline_stages_in_turn(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "doc_tokens").distinct().collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, i) for i in range(30)] + [(True, 0)]
     assert all(r["doc_tokens"] > 100 for r in got)
+
+
+def test_distinct_texts_with_one_common_word_all_teach(spark):
+    """Texts that share the word of least hash are no copies; true copies count once."""
+    least = min((f"k{i}" for i in range(20000)), key=lambda w: zlib.crc32(w.encode()))
+    rows = [(f"{least} {words(20)} zzgrump", 1) for k in range(6)] + [(f"{least} zzcopied", 1)] * 9 + [(f"{least} {words(20)}", 0) for _ in range(300)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "zzgrump" in terms and "zzcopied" not in terms
