@@ -28,7 +28,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: Looser patterns of the kinds, with the group that is the span, and a piece of text without which they can't match.
 LOOSE = {
-    "email": (re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63})+)", re.I), re.compile(r"[(\[{ ]dot[)\]} ]|[(\[{]at[)\]}]", re.I)),
+    "email": (re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63})+)", re.I), re.compile(r" at |[(\[{]at[)\]}]", re.I)),
     "card": (re.compile(r"(?<![\d.-])(\d{4}[ -]?\d{6}[ -]?\d{5}|\d{4}[ -]?\d{6}[ -]?\d{4})(?![\d.-])"), re.compile(r"\d{4}")),
     "phone": (re.compile(r"(?<![\w+.-])((?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"), re.compile(r"\d{3}")),
     "ssn": (re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), re.compile(r"\d-\d")),

@@ -103,3 +103,9 @@ def test_distinct_texts_with_one_common_word_all_teach(spark):
     rows = [(f"{least} {words(20)} zzgrump", 1) for k in range(6)] + [(f"{least} zzcopied", 1)] * 9 + [(f"{least} {words(20)}", 0) for _ in range(300)]
     terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
     assert "zzgrump" in terms and "zzcopied" not in terms
+
+
+def test_spelled_out_address_is_proposed():
+    """By itself as beside other text that the prefilter knew."""
+    for tail in ("", " and a dot here"):
+        assert ("email", 8, 27) in pii.proposals("contact jane at example.com" + tail, [])
