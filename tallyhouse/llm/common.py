@@ -44,6 +44,33 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Store:
+    """Intermediate tables of one run, as Parquet in the shared folder: they outlive lost executors, and their sizes are known.
+
+    What is superseded can be dropped; what the result still reads stays until the folder is removed.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.place, self.n = spark, os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}"), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        path = f"{self.place}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stored_at = path
+        return out
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Removes the files of all tables but these, which the result still reads."""
+        kept = {t._stored_at for t in tables}
+        for n in range(self.n):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{n}")
+            if f"{self.place}/{n}" not in kept:
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a number for every row, in ROW, written to the shared folder so that it stays the same."""
     place = os.path.join(shared_folder(df.sparkSession), f"numbered-{uuid.uuid4().hex}")

@@ -3,10 +3,12 @@
 One permutation spreads the shingles over a ring; a second one, shifted by one place for each further coordinate, gives
 the whole signature. Bands of coordinates propose candidates, and every link is confirmed on the full shingle sets.
 
-Equal sets are folded first. Within a bucket, members are first compared with one pivot only, so a bucket of n copies
-costs n comparisons; links join members to groups. What is still apart is compared with further pivots until every pair
-of a bucket that lies in two groups has been compared. No partner or candidate is ever left out, but texts are sent only
-for pairs that can be similar: parities of shingles by hash bound from below in how many shingles two sets differ.
+Equal sets are folded first, and of bands with the same members one is kept. Two bits of each coordinate go along with a
+member, so that pairs far below the threshold are ruled out where buckets meet; the chance to lose a pair at the
+threshold by it is about one in fifty million, below that of the bands. Within a bucket, members are first compared with
+one pivot only, so a bucket of n copies costs n comparisons; links join members to groups. What is still apart is
+compared with further pivots until every pair of a bucket that lies in two groups has been compared. No partner or
+candidate is ever left out.
 """
 
 from __future__ import annotations
@@ -17,22 +19,22 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyhouse.llm.bpe import Memo
-from tallyhouse.llm.common import ROW, durable, ids_and_texts, numbered, rest_collector
+from tallyhouse.llm.common import ROW, Store, ids_and_texts, numbered
 from tallyhouse.llm.components import components
 
 #: Bands and their rows: a pair of similarity 0.8 is missed by all bands once in 2 million pairs.
 BANDS, ROWS = 48, 6
 #: Places of the ring.
 RING = 1 << 20
-#: Pivots that a bucket adds in the first round of outsiders; later rounds add four times as many as the round before.
-PIVOTS = 64
-#: Pivots of the commonest group, in the round between.
-ENVOYS = 6
-#: 64-bit words of parities.
-PARITY_WORDS = 8
-#: Pairs whose ids may be broadcast: under 10 MB.
-FEW_PAIRS = 200_000
+#: Standard deviations below its mean at which a pair's agreement in two bits of each coordinate rules it out.
+SIGMAS = 5.5
+#: Pivots of a large bucket in the first round of outsiders (later rounds have four times as many as the round before), and
+#: comparisons of a bucket's pivots with its members that one round may have anyway.
+PIVOTS, COMPARED = 8, 4096
+#: Pivots of a block, and partners that are compared with a block in one place, on average at most.
+PIVOTS_OF, PARTNERS_OF = 64, 256
+#: Ids that may be broadcast: under 4 MB.
+FEW = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -43,12 +45,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _word_hash() -> Memo:
-    rest_collector()
-    return Memo(xxhash.xxh64_intdigest)
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of width words; with fewer words, of the whole sequence; without words, none.
 
@@ -57,7 +53,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     width = min(width, len(words))
     acc = np.full(len(h) - width + 1, np.uint64(width))
     for k in range(width):
@@ -82,94 +78,144 @@ def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray
     return out
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """For each of the hashes' remainders, whether an odd number of them has it, as bits of 64-bit words.
+#: 64-bit words that hold one bit of every coordinate.
+PLANE = -(-BANDS * ROWS // 64)
 
-    The bits in which two sets' parities differ are at most as many as the members that only one of them has.
-    """
-    bits = 64 * PARITY_WORDS
-    return np.packbits((np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64)
+
+def two_bits(signature: np.ndarray) -> np.ndarray:
+    """The lowest bit of every coordinate in PLANE 64-bit words, then the next bit in as many."""
+    planes = np.zeros((2, 64 * PLANE), bool)
+    for k in (0, 1):
+        planes[k, : len(signature)] = signature >> np.uint32(k) & np.uint32(1)
+    return np.packbits(planes).view(np.int64)
+
+
+def most_apart(percent: int) -> int:
+    """Coordinates whose two bits may differ in a pair of that similarity: others agree by chance once in four."""
+    n, differ = BANDS * ROWS, 0.75 * (1 - percent / 100)
+    return int(n * differ + SIGMAS * (n * differ * (1 - differ)) ** 0.5)
+
+
+class _Index:
+    """Sets of hashes by hash, to count what another set shares with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        owner, every = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.owner = every[order], owner[order]
+
+    def similar(self, s: np.ndarray, percent: int) -> list[int]:
+        """Numbers of the sets with 100 * intersection >= percent * union."""
+        lo = np.searchsorted(self.hashes, s)
+        n = np.searchsorted(self.hashes, s, "right") - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both)).tolist()
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands, parity): set_id is a 128-bit digest of the shingle set, null if empty; a number for each band."""
+    """(doc_id, n_shingles, set_id, bands, bits): set_id is a 128-bit digest of the shingle set, null if empty; a number for each band."""
 
     def run(batches):
         import pyarrow as pa
 
         salt = np.arange(BANDS, dtype=np.uint64)
         for b in batches:
-            n, sets, bands, parity = [], [], [], []
+            n, sets, bands, bits = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
-                sets.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                parity.append(parities(s).tolist())
-                if len(s):
-                    rows = signature(s).reshape(BANDS, ROWS).astype(np.uint64)
-                    key = salt
-                    for k in range(ROWS):
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-                    bands.append(key.view(np.int64).tobytes())
-                else:
-                    bands.append(None)
+                if not len(s):
+                    for x in (sets, bands, bits):
+                        x.append(None)
+                    continue
+                sets.append(xxhash.xxh128_digest(s.tobytes()))
+                whole = signature(s)
+                bits.append(two_bits(whole).tolist())
+                rows = whole.reshape(BANDS, ROWS).astype(np.uint64)
+                key = salt
+                for k in range(ROWS):
+                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+                bands.append(key.view(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary()), pa.array(parity, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "bands", "parity"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "bands", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary, bits array<long>")
+
+
+def _near(percent: int):
+    """Whether (n, bits) and (pn, pbits) may be similar: by size, then by two bits of each coordinate."""
+    apart = sum((F.bit_count((F.col("bits")[k].bitwiseXOR(F.col("pbits")[k])).bitwiseOR(F.col("bits")[k + PLANE].bitwiseXOR(F.col("pbits")[k + PLANE]))) for k in range(PLANE)), F.lit(0))
+    return (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (apart <= most_apart(percent))
+
+
+def _pairs(here: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, p, home), a < b: a pivot p and another member of its bucket, of another group, that may be similar; the anchor is p's home."""
+    p = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("group").alias("pg"))
+    met = here.join(p, "bucket").where((F.col("group") != F.col("pg")) & _near(percent))
+    return met.groupBy(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).agg(F.min("p").alias("p"), F.min("anchor").alias("home"))
+
+
+def _grouped(members: DataFrame, label: DataFrame, state: DataFrame) -> DataFrame:
+    """members of the buckets in which more than one group is left, with their group and their bucket's anchor (a group) and done.
+
+    A group with more than twice as many members as the anchor's becomes the anchor.
+    """
+    anchors = state.join(label.select(F.col("id").alias("anchor"), F.col("component_id").alias("now")), "anchor", "left").select("bucket", F.coalesce("now", "anchor").alias("anchor"), "done")
+    here = members.join(label.select(F.col("id").alias("rep"), F.col("component_id").alias("now")), "rep", "left").withColumn("group", F.coalesce("now", "rep")).drop("now").join(anchors, "bucket")
+    sizes = here.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("group") == F.col("anchor"), 1)).alias("is_anchor"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "group")).alias("top"), F.max(F.when(F.col("is_anchor") == 1, F.col("c"))).alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    moved = F.when(F.col("top.c") > 2 * F.col("c"), F.col("top.group"))
+    here = here.join(top.select("bucket", moved.alias("moved")), "bucket")
+    return here.withColumn("done", F.when(F.col("moved").isNull(), F.col("done")).otherwise(0.0)).withColumn("anchor", F.coalesce("moved", "anchor")).drop("moved")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of (a, b), the pairs whose full sets have 100 * intersection >= percent * union.
+    """Links (a, b) on full sets, 100 * intersection >= percent * union, among which all of the pairs that are similar.
 
-    Each text is sent to the pairs that it is in, once for each; a text in very many pairs is written by one task but
-    read by many. The list of pairs is broadcast where it is counted to be short, else texts and lists are shuffled.
+    Pivots of one home have mostly the same partners, so up to about PIVOTS_OF of them stay together as a block, and a
+    partner's text goes to the block once; the pivots' texts go to each PARTNERS_OF of their partners. The list of ids is
+    broadcast where it is counted to be short.
     """
-    sides = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
-    if pairs.count() <= FEW_PAIRS:
+    pairs = pairs.select("p", (F.col("a") + F.col("b") - F.col("p")).alias("m"), "home")
+    homes = pairs.groupBy("p").agg(F.min("home").alias("home"))
+    chunks = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PIVOTS_OF).alias("chunks"))
+    homes = homes.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("p"), "chunks"))
+    partners = pairs.select("p", "m").join(homes, "p").select("home", "chunk", "m").distinct()
+    parts = partners.groupBy("home", "chunk").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_OF).alias("parts"))
+    partners = partners.join(parts, ["home", "chunk"]).select(F.col("m").alias("doc_id"), "home", "chunk", F.pmod(F.xxhash64("m"), "parts").alias("part"), F.lit(1).alias("side"))
+    pivots = homes.join(parts, ["home", "chunk"]).select(F.col("p").alias("doc_id"), "home", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    store = Store(pairs.sparkSession, "verify")
+    sides = store.put(partners.unionByName(pivots))
+    if sides.count() <= FEW:
         sides = F.broadcast(sides)
-    sent = texts.join(sides, "doc_id").select("a", "b", "doc_id", "text").repartition("a", "b").sortWithinPartitions("a", "b")
+    place = ["home", "chunk", "part"]
+    sent = texts.join(sides, "doc_id").select(*place, "side", "doc_id", "text").repartition(*place).sortWithinPartitions(*place, "side")
 
     def run(batches):
         import pyarrow as pa
 
-        last = None  # ids and set of a pair's first side
+        now, ids, sets, index = None, [], [], None
         for batch in batches:
             good = []
             for row in range(batch.num_rows):
-                a, b, doc = (batch.column(k)[row].as_py() for k in (0, 1, 2))
-                own = shingles(batch.column(3)[row].as_py(), width)
-                if last is not None and last[:2] == (a, b) and last[2] != doc:
-                    both = len(np.intersect1d(last[3], own, assume_unique=True))
-                    if 100 * both >= percent * (len(last[3]) + len(own) - both):
-                        good.append((a, b))
-                else:
-                    last = (a, b, doc, own)
+                here, side, doc = tuple(batch.column(k)[row].as_py() for k in range(3)), batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
+                if here != now:
+                    now, ids, sets, index = here, [], [], None
+                s = shingles(batch.column(5)[row].as_py(), width)
+                if side == 0:
+                    ids.append(doc)
+                    sets.append(s)
+                    continue
+                if index is None:
+                    index = _Index(sets)
+                good += [(min(ids[k], doc), max(ids[k], doc)) for k in index.similar(s, percent) if ids[k] != doc]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return sent.mapInArrow(run, "a long, b long").distinct()
-
-
-def _grouped(members: DataFrame, label: DataFrame) -> DataFrame:
-    """members of the buckets in which more than one group is left, with each one's group and whether it is the commonest."""
-    here = members.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn("group", F.coalesce("component_id", "rep")).drop("component_id")
-    sizes = here.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("c"))
-    commonest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "group")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return here.join(commonest.select("bucket", F.col("top.group").alias("commonest")), "bucket")
-
-
-def _pairs(here: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot and another member of its bucket, of another group and near enough in size, and parities if known, to be similar."""
-    known = [F.col("parity").alias("pp")] if "parity" in here.columns else []
-    p = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("group").alias("pg"), *known)
-    near = (F.col("group") != F.col("pg")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-    if known:
-        # 100 * intersection >= percent * union, written with the number of members that only one set has.
-        apart = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("pp")[k])) for k in range(PARITY_WORDS)), F.lit(0))
-        near &= (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pn"))
-    return here.join(p, "bucket").where(near).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -180,47 +226,54 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     with nothing, has no component_id and is kept.
     """
     docs = ids_and_texts(docs)
-    seen = durable(sketch(docs, width))
-    reps = seen.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    store = Store(docs.sparkSession, "minhash")
+    seen = store.put(sketch(docs, width))
+    reps = store.put(
+        seen.where("set_id is not null and doc_id is not null").groupBy("set_id")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    )
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.col("bands").substr(k * 8 + 1, F.lit(8))))
-    spread = reps.select("rep", "n", F.explode(buckets).alias("bucket"))
-    many = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = durable(spread.join(many, "bucket").select("bucket", "rep", "n"))
-    texts = docs.where("doc_id is not null")
+    spread = reps.select("rep", F.explode(buckets).alias("bucket"))
+    # Near copies share most of their bands: of buckets with the same members (by two digests of 64 bits) one stands for all.
+    same = ["size", "first", F.col("x"), F.col("y")]
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    many = store.put(sizes.where("size > 1").groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "size", "first"))
+    placed = store.put(spread.join(many, "bucket"))
+    members = store.put(placed.join(reps.select("rep", "n", "bits"), "rep"))
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    texts = store.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     # First round: each bucket's least member is its pivot, and every member a group of its own.
-    alone = members.withColumn("group", F.col("rep"))
-    pivoted = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n"), "rep").alias("p")).select("bucket", "p.rep", "p.n")
-    tested = durable(_pairs(alone, pivoted.withColumn("group", F.col("rep")), percent))
-    pivoted = durable(pivoted.select("bucket", "rep"))
-    label = durable(components(durable(_similar(tested, texts, width, percent))))
-    take = PIVOTS
-    # Next, a few members of each bucket's commonest group meet those outside it, which joins most of what belongs together.
-    # Then, since of two members in two groups one at least is outside the commonest, all outsiders become pivots in turn.
-    turn = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-    envoys = True
+    alone = members.withColumn("group", F.col("rep")).withColumn("anchor", F.col("first"))
+    pivots = store.put(alone.where("rep = first"))
+    tested = store.put(_pairs(alone, pivots, percent))
+    label = store.put(components(_similar(tested, texts, width, percent)))
+    # Then all members outside the group of a bucket's anchor become pivots in turn: of two members that end in two groups,
+    # one at least is outside it all along. A much larger group takes the anchor over, and turns start anew.
+    place = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    outside = (F.col("group") != F.col("anchor")) & (place >= F.col("done"))
+    state, take, columns = members.where("rep = first").select("bucket", F.col("first").alias("anchor"), F.lit(0.0).alias("done")), PIVOTS, members.columns
     while True:
-        # Buckets that lie in one group by now need no more rounds: groups only grow.
-        here = _grouped(members, label)
-        here = durable(here if "parity" in here.columns else here.join(reps.select("rep", "parity"), "rep"))
-        members = here.select("bucket", "rep", "n", "parity")
-        waiting = here.where(F.col("group") == F.col("commonest") if envoys else F.col("group") != F.col("commonest")).join(pivoted, ["bucket", "rep"], "left_anti")
-        pivots = durable(waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= (ENVOYS if envoys else take)).drop("turn"))
-        meeting, envoys = envoys, False
-        if pivots.isEmpty():
-            if meeting:
-                continue
+        here = store.put(_grouped(members, label, state))
+        waiting = here.where(outside).groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(take), COMPARED / F.col("size")) / F.col("waiting"))
+        asked = store.put(here.join(waiting, "bucket").withColumn("upto", F.when(share >= 1, 1.0).otherwise(F.col("done") + (1 - F.col("done")) * share)).drop("waiting"))
+        pivots = store.put(asked.where(outside & (place < F.col("upto"))))
+        pairs = store.put(_pairs(asked, pivots, percent).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            # A group's links to its least member stand for all those that made it.
+            stars = label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            label = store.put(components(stars.unionByName(_similar(pairs, texts, width, percent))))
+        # Buckets whose members all had their turn are done.
+        members = asked.where("upto < 1").select(*columns)
+        state = store.put(asked.where("upto < 1").select("bucket", "anchor", F.col("upto").alias("done")).distinct())
+        take *= 4
+        if state.isEmpty():
             break
-        pairs = durable(_pairs(here, pivots, percent).join(tested, ["a", "b"], "left_anti"))
-        pivoted = pivoted.unionByName(pivots.select("bucket", "rep"))
-        if not meeting:
-            take *= 4
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        # A group's links to its least member stand for all those that made it.
-        stars = label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-        label = durable(components(stars.unionByName(durable(_similar(pairs, texts, width, percent)))))
+    store.drop_all_but(seen, reps, label)
     out = seen.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left").join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

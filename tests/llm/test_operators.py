@@ -93,14 +93,6 @@ def test_minhash(spark, none):
     assert len(got) == len(rows) and minhash.groups(none).count() == 0
 
 
-def test_parities_bound_the_difference():
-    rng = np.random.default_rng(5)
-    for n in (0, 1, 40, 3000):
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.concatenate([a[n // 3 :], rng.integers(0, 1 << 63, 30, dtype=np.uint64)])
-        bits = sum(int(x).bit_count() for x in (minhash.parities(a) ^ minhash.parities(b)).view(np.uint64))
-        assert bits <= len(np.setxor1d(a, b)) and (n > 40 or bits > 20)
-
 
 def test_suffix_array():
     rng = random.Random(5)
