@@ -28,9 +28,8 @@ BANDS, ROWS = 48, 6
 RING = 1 << 20
 #: Standard deviations below its mean at which a pair's agreement in two bits of each coordinate rules it out.
 SIGMAS = 5.5
-#: Pivots of a large bucket in the first round of outsiders (later rounds have four times as many as the round before), and
-#: comparisons of a bucket's pivots with its members that one round may have anyway.
-PIVOTS, COMPARED = 8, 4096
+#: Pivots of a bucket in the first round of outsiders, on average at most; later rounds have four times as many as the round before.
+PIVOTS = 64
 #: Pivots of a block, and partners that are compared with a block in one place, on average at most.
 PIVOTS_OF, PARTNERS_OF = 64, 256
 #: Ids that may be broadcast: under 4 MB.
@@ -146,17 +145,28 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary, bits array<long>")
 
 
-def _near(percent: int):
-    """Whether (n, bits) and (pn, pbits) may be similar: by size, then by two bits of each coordinate."""
-    apart = sum((F.bit_count((F.col("bits")[k].bitwiseXOR(F.col("pbits")[k])).bitwiseOR(F.col("bits")[k + PLANE].bitwiseXOR(F.col("pbits")[k + PLANE]))) for k in range(PLANE)), F.lit(0))
-    return (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (apart <= most_apart(percent))
+def _near(percent: int, n, bits, pn, pbits):
+    """Whether two sets may be similar: by their sizes n and pn, then by two bits of each coordinate."""
+    apart = sum((F.bit_count(bits[k].bitwiseXOR(pbits[k]).bitwiseOR(bits[k + PLANE].bitwiseXOR(pbits[k + PLANE]))) for k in range(PLANE)), F.lit(0))
+    return (100 * F.least(n, pn) >= percent * F.greatest(n, pn)) & (apart <= most_apart(percent))
 
 
-def _pairs(here: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """(a, b, p, home), a < b: a pivot p and another member of its bucket, of another group, that may be similar; the anchor is p's home."""
-    p = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("group").alias("pg"))
-    met = here.join(p, "bucket").where((F.col("group") != F.col("pg")) & _near(percent))
-    return met.groupBy(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).agg(F.min("p").alias("p"), F.min("anchor").alias("home"))
+def _met(store: Store, here: DataFrame, pivots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, candidates), as (doc_id, block) each: the pivots' blocks, and those in which a member meets a pivot of one of
+    its buckets, of another group, that may be similar.
+
+    Pivots of one anchor have mostly the same partners, so up to about PIVOTS_OF of them are a block. A bucket's pivots
+    are met as lists of about PIVOTS_OF, so what is sent on is one row for each member and block, never all pairs.
+    """
+    homes = pivots.groupBy("rep").agg(F.min("anchor").alias("home"))
+    chunks = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PIVOTS_OF).alias("chunks"))
+    blocks = store.put(homes.join(chunks, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "chunks")).alias("block")))
+    pivot = F.struct(F.col("n").alias("n"), F.col("bits").alias("bits"), F.col("group").alias("group"), F.col("block").alias("block"))
+    lists = pivots.join(blocks, "rep").groupBy("bucket", F.pmod(F.xxhash64("rep"), "lists").alias("list")).agg(F.collect_list(pivot).alias("pivots"))
+    near = F.filter("pivots", lambda x: (x["group"] != F.col("group")) & _near(percent, F.col("n"), F.col("bits"), x["n"], x["bits"]))
+    met = here.join(store.put(lists.select("bucket", "pivots")), "bucket").select("rep", F.array_distinct(F.transform(near, lambda x: x["block"])).alias("blocks"))
+    every = met.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    return blocks.withColumnRenamed("rep", "doc_id"), store.put(every.select(F.col("rep").alias("doc_id"), F.explode("blocks").alias("block")))
 
 
 def _grouped(members: DataFrame, label: DataFrame, state: DataFrame) -> DataFrame:
@@ -173,46 +183,48 @@ def _grouped(members: DataFrame, label: DataFrame, state: DataFrame) -> DataFram
     return here.withColumn("done", F.when(F.col("moved").isNull(), F.col("done")).otherwise(0.0)).withColumn("anchor", F.coalesce("moved", "anchor")).drop("moved")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) on full sets, 100 * intersection >= percent * union, among which all of the pairs that are similar.
+def _similar(blocks: DataFrame, candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) on full sets, 100 * intersection >= percent * union, that join whatever links of candidates and pivots join.
 
-    Pivots of one home have mostly the same partners, so up to about PIVOTS_OF of them stay together as a block, and a
-    partner's text goes to the block once; the pivots' texts go to each PARTNERS_OF of their partners. The list of ids is
-    broadcast where it is counted to be short.
+    A candidate's text goes to each of its blocks once, and the block's texts to each PARTNERS_OF of its candidates. The
+    list of ids is broadcast where it is counted to be short.
     """
-    pairs = pairs.select("p", (F.col("a") + F.col("b") - F.col("p")).alias("m"), "home")
-    homes = pairs.groupBy("p").agg(F.min("home").alias("home"))
-    chunks = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PIVOTS_OF).alias("chunks"))
-    homes = homes.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("p"), "chunks"))
-    partners = pairs.select("p", "m").join(homes, "p").select("home", "chunk", "m").distinct()
-    parts = partners.groupBy("home", "chunk").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_OF).alias("parts"))
-    partners = partners.join(parts, ["home", "chunk"]).select(F.col("m").alias("doc_id"), "home", "chunk", F.pmod(F.xxhash64("m"), "parts").alias("part"), F.lit(1).alias("side"))
-    pivots = homes.join(parts, ["home", "chunk"]).select(F.col("p").alias("doc_id"), "home", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
-    store = Store(pairs.sparkSession, "verify")
-    sides = store.put(partners.unionByName(pivots))
+    parts = candidates.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_OF).alias("parts"))
+    partners = candidates.join(parts, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.lit(1).alias("side"))
+    pivots = blocks.join(parts, "block").select("doc_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    sides = partners.unionByName(pivots)
     if sides.count() <= FEW:
         sides = F.broadcast(sides)
-    place = ["home", "chunk", "part"]
-    sent = texts.join(sides, "doc_id").select(*place, "side", "doc_id", "text").repartition(*place).sortWithinPartitions(*place, "side")
+    sent = texts.join(sides, "doc_id").select("block", "part", "side", "doc_id", "text").repartition("block", "part").sortWithinPartitions("block", "part", "side")
 
     def run(batches):
         import pyarrow as pa
 
-        now, ids, sets, index = None, [], [], None
+        now, ids, sets, index, parent = None, [], [], None, {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
         for batch in batches:
             good = []
             for row in range(batch.num_rows):
-                here, side, doc = tuple(batch.column(k)[row].as_py() for k in range(3)), batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
-                if here != now:
-                    now, ids, sets, index = here, [], [], None
-                s = shingles(batch.column(5)[row].as_py(), width)
+                block, part, side, doc = (batch.column(k)[row].as_py() for k in range(4))
+                if (block, part) != now:
+                    now, ids, sets, index, parent = (block, part), [], [], None, {}
+                s = shingles(batch.column(4)[row].as_py(), width)
                 if side == 0:
                     ids.append(doc)
                     sets.append(s)
                     continue
                 if index is None:
                     index = _Index(sets)
-                good += [(min(ids[k], doc), max(ids[k], doc)) for k in index.similar(s, percent) if ids[k] != doc]
+                for k in index.similar(s, percent):
+                    a, b = sorted((root(ids[k]), root(doc)))
+                    if a != b:
+                        parent[b] = a
+                        good.append((ids[k], doc))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return sent.mapInArrow(run, "a long, b long")
@@ -238,7 +250,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     same = ["size", "first", F.col("x"), F.col("y")]
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     many = store.put(sizes.where("size > 1").groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "size", "first"))
-    placed = store.put(spread.join(many, "bucket"))
+    placed = store.put(spread.join(many.hint("merge"), "bucket"))
     members = store.put(placed.join(reps.select("rep", "n", "bits"), "rep"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     if wanted.count() <= FEW:
@@ -246,10 +258,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = store.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     # First round: each bucket's least member is its pivot, and every member a group of its own.
-    alone = members.withColumn("group", F.col("rep")).withColumn("anchor", F.col("first"))
-    pivots = store.put(alone.where("rep = first"))
-    tested = store.put(_pairs(alone, pivots, percent))
-    label = store.put(components(_similar(tested, texts, width, percent)))
+    alone = members.withColumn("group", F.col("rep")).withColumn("anchor", F.col("first")).withColumn("lists", F.lit(1).cast("long"))
+    label = store.put(components(_similar(*_met(store, alone, alone.where("rep = first"), percent), texts, width, percent)))
     # Then all members outside the group of a bucket's anchor become pivots in turn: of two members that end in two groups,
     # one at least is outside it all along. A much larger group takes the anchor over, and turns start anew.
     place = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -258,15 +268,14 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     while True:
         here = store.put(_grouped(members, label, state))
         waiting = here.where(outside).groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
-        share = F.least(F.lit(1.0), F.greatest(F.lit(take), COMPARED / F.col("size")) / F.col("waiting"))
-        asked = store.put(here.join(waiting, "bucket").withColumn("upto", F.when(share >= 1, 1.0).otherwise(F.col("done") + (1 - F.col("done")) * share)).drop("waiting"))
-        pivots = store.put(asked.where(outside & (place < F.col("upto"))))
-        pairs = store.put(_pairs(asked, pivots, percent).join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
+        share = F.least(F.lit(1.0), take / F.col("waiting"))
+        asked = here.join(waiting, "bucket").withColumn("upto", F.when(share >= 1, 1.0).otherwise(F.col("done") + (1 - F.col("done")) * share))
+        asked = store.put(asked.withColumn("lists", F.ceil(F.least(F.lit(take), F.col("waiting")) / PIVOTS_OF)).drop("waiting"))
+        blocks, candidates = _met(store, asked, asked.where(outside & (place < F.col("upto"))), percent)
+        if not candidates.isEmpty():
             # A group's links to its least member stand for all those that made it.
             stars = label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            label = store.put(components(stars.unionByName(_similar(pairs, texts, width, percent))))
+            label = store.put(components(stars.unionByName(_similar(blocks, candidates, texts, width, percent))))
         # Buckets whose members all had their turn are done.
         members = asked.where("upto < 1").select(*columns)
         state = store.put(asked.where("upto < 1").select("bucket", "anchor", F.col("upto").alias("done")).distinct())
