@@ -23,12 +23,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import durable, ids_and_texts
+from tallyhouse.llm.common import Store, ids_and_texts
 from tallyhouse.llm.minhash import _mix
 
 LENGTH, GRAM = 400, 192
 #: Starts of strings looked at in one step; distinct regions sorted together at most; bytes on either side that split larger groups.
 STEP, TOGETHER, BESIDE = 60_000, 400, 3
+#: Rows that a Python task hands on together.
+SLICE = 20_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -201,6 +203,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """
     docs = docs.select(_row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = length - gram + 1
+    store = Store(docs.sparkSession, "suffix")  # the sides of joins by gram are stored, so that Spark can split a hot one
 
     def grams(batches):
         import pyarrow as pa
@@ -225,36 +228,41 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 3)], ["gram", "region", "doc_id", "at", "lo", "hi"]
             )
 
-    repeated = docs.mapInArrow(grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    seen = docs.mapInArrow(regions, "gram long, region long, doc_id long, at int, lo int, hi int").join(repeated, "gram", "left_semi")
-    seen = durable(seen)
-    distinct = durable(seen.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at", "lo", "hi")).alias("one")))
+    repeated = store.put(docs.mapInArrow(grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    seen = store.put(docs.mapInArrow(regions, "gram long, region long, doc_id long, at int, lo int, hi int").join(repeated.hint("merge"), "gram", "left_semi"))
+    distinct = store.put(seen.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at", "lo", "hi")).alias("one")))
     # Regions that occur once, and share their gram with another region, have to be looked into; the others are decided.
-    mixed = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("regions"), F.min("times").alias("least")).where("regions > 1 and least = 1").select("gram", "regions")
+    mixed = store.put(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("regions"), F.min("times").alias("least")).where("regions > 1 and least = 1").select("gram", "regions"))
     asked = distinct.join(mixed, "gram").select("gram", "region", "times", "regions", "one.*")
     lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "region", "times", "regions", "at", "lo", "hi")).alias("asked"))
 
     def cut(batches):
         import pyarrow as pa
 
+        def batch(rows):
+            types = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["gram", "region", "times", "regions", "doc_id", "at", "left", "right"])
+
+        rows = []
         for b in batches:
-            rows = []
-            for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                data = _bytes(text)
-                for r in wanted:
+            for doc, text, wanted in zip(*(b.column(k) for k in range(3))):
+                data = _bytes(text.as_py())
+                for r in wanted.as_py():
                     a = r["at"]
-                    rows.append((r["gram"], r["region"], r["times"], r["regions"], doc, a, data[r["lo"] : a], data[a + gram : r["hi"] + length]))
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            types = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["gram", "region", "times", "regions", "doc_id", "at", "left", "right"])
+                    rows.append((r["gram"], r["region"], r["times"], r["regions"], doc.as_py(), a, data[r["lo"] : a], data[a + gram : r["hi"] + length]))
+                    if len(rows) == SLICE:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
 
     pieces = docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(cut, "gram long, region long, times long, regions long, doc_id long, at int, left binary, right binary")
     large = F.col("regions") > TOGETHER
     beside = F.when(large, F.concat(F.substring("left", F.greatest(F.length("left") - (BESIDE - 1), F.lit(1)), F.lit(BESIDE)), F.lit(b"|"), F.substring("right", 1, BESIDE))).otherwise(F.lit(b""))
-    pieces = durable(pieces.withColumn("large", large).withColumn("part", beside))
+    pieces = store.put(pieces.withColumn("large", large).withColumn("part", beside))
     # Rows of one key each send the regions that they share; each region counts once.
     pieces = pieces.where("times = 1").unionByName(pieces.where("times > 1").dropDuplicates(["gram", "region"]))
-    crowded = pieces.where("large").groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).select("gram", "part", F.lit(True).alias("crowded"))
+    crowded = store.put(pieces.where("large").groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).select("gram", "part", F.lit(True).alias("crowded")))
     pieces = pieces.join(crowded, ["gram", "part"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
     def sort(batches):
@@ -279,8 +287,10 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             return r["gram"], r["part"]
 
         for b in batches:
-            held += b.to_pylist()
-            while len(held) > 4 * TOGETHER:
+            for lo in range(0, b.num_rows, TOGETHER):
+                held += b.slice(lo, TOGETHER).to_pylist()
+                if len(held) <= 4 * TOGETHER:
+                    continue
                 # Up to the last whole group within reach; a group has TOGETHER rows at most.
                 k = 2 * TOGETHER
                 while k and key(held[k - 1]) == key(held[k]):
@@ -297,24 +307,34 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         """Strings that the parts can't decide: in crowded parts all of them, else those that end near the gram."""
         import pyarrow as pa
 
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["digest", "gram", "doc_id", "start", "times"])
+
+        rows = []
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
                 left, right = r["left"], r["right"]
                 for o in range(max(0, width - 1 - len(right)), len(left) + 1):
                     if r["crowded"] or not BESIDE <= o <= width - 1 - BESIDE:
                         side = left[len(left) - o :] + right[: width - 1 - o]
                         rows.append((xxhash.xxh3_64_intdigest(side, o) - (1 << 63), r["gram"], r["doc_id"], r["at"] - o, r["times"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(5)], ["digest", "gram", "doc_id", "start", "times"])
+                if len(rows) >= SLICE:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
     strings = pieces.where("large").select("gram", "crowded", "times", "doc_id", "at", "left", "right").mapInArrow(windows, "digest long, gram long, doc_id long, start long, times long")
-    counted = strings.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "digest")
+    counted = store.put(strings.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "digest"))
     by_counting = strings.where("times = 1").join(counted, ["gram", "digest"], "left_semi").select("doc_id", "start")
 
     starts = by_sorting.unionByName(by_counting).select("doc_id", F.col("start").alias("start"), (F.col("start") + length).alias("end"))
     whole = seen.join(distinct.where("times > 1").select("gram", "region"), ["gram", "region"], "left_semi")
     whole = whole.select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
-    return whole.unionByName(starts).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = store.put(whole.unionByName(starts).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    store.drop_all_but(found)
+    return found
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -329,10 +349,12 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _left(text: str | None, spans) -> tuple[bytes, bytes, list[tuple[int, int]]]:
-    """The text's bytes, those that stay, and the merged spans."""
+def _left(text: str | None, spans, words: int = 0) -> tuple[bytes, bytes, list[tuple[int, int]]]:
+    """The text's bytes, those that stay, and the merged spans of at least so many words."""
     data = _bytes(text)
     cuts = merged((x["start"], x["end"]) for x in (() if spans is None else spans))
+    if words:
+        cuts = [(s, e) for s, e in cuts if len(data[s:e].split()) >= words]
     at, parts = 0, []
     for s, e in cuts:
         parts.append(data[at:s])
@@ -341,7 +363,10 @@ def _left(text: str | None, spans) -> tuple[bytes, bytes, list[tuple[int, int]]]
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row: what find() leaves of its UTF-8 bytes; null counts as empty."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row: what find() leaves of its UTF-8 bytes; null counts as empty.
+
+    text: the bytes that stay, without UTF-8 sequences that a cut leaves in part.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -355,27 +380,29 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     pa.array([len(d) - len(k) for d, k, _ in rows], pa.int64()),
                     pa.array([len(c) for _, _, c in rows], pa.int64()),
                     pa.array([hashlib.sha256(k).hexdigest() for _, k, _ in rows], pa.string()),
+                    pa.array([k.decode("utf-8", "ignore") for _, k, _ in rows], pa.string()),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
             )
 
     docs = ids_and_texts(docs)
     joined = docs.withColumn("row_key", _row_key()).join(find(docs, length), "row_key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
     """docs without the bytes that find() names, and n_chars set anew; all rows stay, perhaps with an empty text.
 
-    A UTF-8 sequence that a cut leaves in part goes with it.
+    words: runs of bytes with fewer words stay, those cut at the ends included in the count. A UTF-8 sequence that a cut
+    leaves in part goes with it.
     """
 
     @F.pandas_udf("string")
     def rest(texts, spans):
         import pandas as pd
 
-        return pd.Series([_left(t, s)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([_left(t, s, words)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype=object)
 
-    out = docs.withColumn("_row_key", _row_key()).join(find(docs, length).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "_row_key", "left")
+    out = docs.withColumn("_row_key", _row_key()).join(find(docs, length, gram).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "_row_key", "left")
     out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest("text", "_spans")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
