@@ -21,8 +21,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 that start more than once go; every document stays."""
-    return suffix.remove(docs, length=400)
+    """Passages of 50 words or more, and of 200 bytes, that start more than once go; every document stays."""
+    return suffix.remove(docs, length=200, gram=96, words=50)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
