@@ -71,6 +71,11 @@ class Store:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key():
+    """A 64-bit hash of doc_id and text. Rows that share both share what is found in them, so ids may be shared or missing."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a number for every row, in ROW, written to the shared folder so that it stays the same."""
     place = os.path.join(shared_folder(df.sparkSession), f"numbered-{uuid.uuid4().hex}")

@@ -282,10 +282,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         take *= 4
         if state.isEmpty():
             break
-    store.drop_all_but(seen, reps, label)
     out = seen.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left").join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = store.put(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    store.drop_all_but(out)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import ROW, durable, ids_and_texts, numbered
+from tallyhouse.llm.common import ROW, durable, ids_and_texts, row_key
 from tallyhouse.llm.label_model import LabelModel, logistic
 
 BASE = ("email", "ip", "card", "phone")
@@ -223,11 +223,11 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its texts replaced by its kind in brackets, and n_chars set anew; the other columns stay.
 
-    The spans come back to their rows by a number of the row, so ids may be shared or missing.
+    The spans come back to their rows by a hash of id and text, so ids may be shared or missing.
     """
-    rows = numbered(docs)
+    rows = docs.withColumn(ROW, row_key())
     found = find(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    spans = found.select(F.col("doc_id").alias(ROW), all_spans().alias("_spans")).where(F.size("_spans") > 0)
+    spans = found.select(F.col("doc_id").alias(ROW), all_spans().alias("_spans")).where(F.size("_spans") > 0).dropDuplicates([ROW])
 
     @F.pandas_udf("string")
     def cut(texts, spans):

@@ -23,12 +23,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import Store, ids_and_texts
+from tallyhouse.llm.common import Store, ids_and_texts, row_key
 from tallyhouse.llm.minhash import _mix
 
 LENGTH, GRAM = 400, 192
 #: Starts of strings looked at in one step; distinct regions sorted together at most; bytes on either side that split larger groups.
-STEP, TOGETHER, BESIDE = 60_000, 400, 3
+STEP, TOGETHER, BESIDE = 60_000, 4000, 3
+#: Bytes that groups have which are sorted together; a larger group is sorted alone.
+SORTED = 300_000
 #: Rows that a Python task hands on together.
 SLICE = 20_000
 
@@ -190,18 +192,13 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _row_key():
-    """A 64-bit hash of id and text: rows that share it have the same bytes to remove, so ids may be shared or missing."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row_key, spans array<struct<start, end>>) of the rows with bytes to remove; spans may overlap, in no order.
 
     A byte is to be removed if a string of `length` bytes covers it that also starts anywhere else, be it in a row of the
     same id or of none.
     """
-    docs = docs.select(_row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = length - gram + 1
     store = Store(docs.sparkSession, "suffix")  # the sides of joins by gram are stored, so that Spark can split a hot one
 
@@ -269,8 +266,6 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         """Rows come ordered by gram and part; whole groups are sorted together, several at a time."""
         import pyarrow as pa
 
-        held: list[dict] = []
-
         def decide(rows):
             numbers: dict = {}
             found = repeated_starts([(numbers.setdefault((r["gram"], r["part"]), len(numbers)), r["left"], r["right"]) for r in rows], width)
@@ -286,19 +281,22 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         def key(r):
             return r["gram"], r["part"]
 
+        held, own, now, n_held, n_own = [], [], None, 0, 0
         for b in batches:
-            for lo in range(0, b.num_rows, TOGETHER):
-                held += b.slice(lo, TOGETHER).to_pylist()
-                if len(held) <= 4 * TOGETHER:
-                    continue
-                # Up to the last whole group within reach; a group has TOGETHER rows at most.
-                k = 2 * TOGETHER
-                while k and key(held[k - 1]) == key(held[k]):
-                    k -= 1
-                yield decide(held[:k])
-                held = held[k:]
-        if held:
+            for lo in range(0, b.num_rows, 500):
+                for r in b.slice(lo, 500).to_pylist():
+                    if key(r) != now:
+                        if held and n_held + n_own > SORTED:
+                            yield decide(held)
+                            held, n_held = [], 0
+                        held, n_held, own, n_own, now = held + own, n_held + n_own, [], 0, key(r)
+                    own.append(r)
+                    n_own += len(r["left"]) + len(r["right"])
+        if held and n_held + n_own > SORTED:
             yield decide(held)
+            held = []
+        if held or own:
+            yield decide(held + own)
 
     columns = ["gram", "part", "large", "times", "doc_id", "at", "left", "right"]
     by_sorting = pieces.where("not crowded").select(*columns).repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(sort, "doc_id long, start long")
@@ -386,7 +384,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     docs = ids_and_texts(docs)
-    joined = docs.withColumn("row_key", _row_key()).join(find(docs, length), "row_key", "left").select("doc_id", "text", "spans")
+    joined = docs.withColumn("row_key", row_key()).join(find(docs, length), "row_key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
@@ -403,6 +401,6 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int =
 
         return pd.Series([_left(t, s, words)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype=object)
 
-    out = docs.withColumn("_row_key", _row_key()).join(find(docs, length, gram).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "_row_key", "left")
+    out = docs.withColumn("_row_key", row_key()).join(find(docs, length, gram).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "_row_key", "left")
     out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest("text", "_spans")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import ROW, durable, numbered
+from tallyhouse.llm.common import ROW, durable, row_key
 from tallyhouse.llm.label_model import LabelModel, logistic
 
 #: Labelled rows of either class that are looked at to learn terms and to train the classifier: those least by a hash of doc_id.
@@ -212,6 +212,6 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score() calls toxic, each judged by its own text."""
-    rows = numbered(docs)
-    toxic = row_scores(rows, labels).where("predicted = 1").select(ROW)
+    rows = docs.withColumn(ROW, row_key())
+    toxic = row_scores(rows, labels).where("predicted = 1").select(ROW).distinct()
     return rows.join(toxic, ROW, "left_anti").select(*docs.columns)
