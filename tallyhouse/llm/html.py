@@ -20,19 +20,24 @@ STOP_WORDS = frozenset(
     au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui mais nous ou par pas plus pour qu que qui sa se ses son sont sur un une vous
     al como con de del el ella en entre era es esta este fue ha la las lo los más mi no para pero por que se sin su sus un una y ya""".split()
 )
-#: Parts of class, id and role values that mark boilerplate.
+#: Parts of class, id and role values that mark boilerplate anywhere, and those that do outside an article only.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|footer|header|masthead|menu|nav|navbar|navigation|newsletter|"
-    r"popup|modal|promo\w*|related|recommend\w*|share|sharing|social|sidebar|side|skip|sponsor\w*|subscribe|subscription|tags|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|disqus|respond|replies|cookies?|consent|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|"
+    r"popup|modal|promo\w*|related|recommend\w*|sharing|social|sidebar|skip|sponsor\w*|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:notice|alert|share|side|tags)(?:$|[\s_-])", re.I)
 BOILERPLATE = frozenset("nav footer aside form header button select menu dialog figcaption noscript template iframe object svg canvas head".split())
-CONTAINERS = BOILERPLATE | frozenset("article main section div ul ol dl table tbody thead tfoot tr td th blockquote fieldset details body html figure center".split())
-BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption summary option legend title".split())
+CONTAINERS = BOILERPLATE | frozenset("article main section div ul ol li dl dt dd table tbody thead tfoot tr td th blockquote fieldset details body html figure center".split())
+BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address caption summary option legend title".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that a start tag of the same set closes, up to the elements that hold them.
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",))}
+VOID = frozenset("img input br wbr hr meta link source area embed col track".split())
+#: A quote opens a value only after "="; a tag or declaration that never ends takes the rest, so no place is looked at twice.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -59,16 +64,21 @@ def blocks_of(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []
     bad, region, regions, link, breaks = False, 0, 0, 0, 0
+    own, muted, depth = False, "", 0  # the paragraph, and the inline element, that say themselves to be boilerplate
     now = Block(False, 0)
 
     def cut():
         nonlocal now
         if now.parts:
             found.append(now)
-        now = Block(bad, region)
+        now = Block(bad or own, region)
+
+    def marked(rest: str) -> bool:
+        values = [h.strip("\"'") for h in HINTS.findall(rest)] if rest else []
+        return any(MARKS.search(h) or not region and OUTSIDE.search(h) for h in values) or bool(rest and HIDDEN.search(rest))
 
     def say(text: str):
-        if text:
+        if text and not muted:
             text = unescape(text)
             now.parts.append(text)
             if link:
@@ -96,8 +106,13 @@ def blocks_of(html: str) -> list[Block]:
         if name == "a":
             link = 0 if ends else 1
         if name not in BREAKS:
+            if muted:
+                depth += (-1 if ends else 1) if name == muted and name not in VOID else 0
+                muted = muted if depth else ""
+            elif not ends and name not in VOID and m.group("rest") and not m.group("rest").endswith("/") and marked(m.group("rest")):
+                muted, depth = name, 1
             continue
-        breaks = 0
+        breaks, own, muted, depth = 0, False, "", 0
         if name in CONTAINERS:
             if ends:
                 for i in range(len(stack) - 1, -1, -1):
@@ -108,6 +123,14 @@ def blocks_of(html: str) -> list[Block]:
             else:
                 rest = m.group("rest")
                 if not rest.endswith("/"):
+                    closes, holders = CLOSES.get(name, ((), ()))
+                    for i in range(len(stack) - 1, -1, -1) if closes else ():
+                        if stack[i][0] in holders:
+                            break
+                        if stack[i][0] in closes:
+                            _, bad, region = stack[i]
+                            del stack[i:]
+                            break
                     stack.append((name, bad, region))
                     if name in ARTICLE and not bad:
                         regions += 1
@@ -115,10 +138,11 @@ def blocks_of(html: str) -> list[Block]:
                     inside = region > 0
                     if name in BOILERPLATE and not (name == "header" and inside) and not (name in ("figcaption", "noscript") and inside):
                         bad = True
-                    elif rest and name not in ("html", "body") and name not in ARTICLE:
-                        if any(MARKS.search(h.strip("\"'")) for h in HINTS.findall(rest)) or HIDDEN.search(rest):
-                            bad = True
+                    elif name not in ("html", "body") and name not in ARTICLE and marked(rest):
+                        bad = True
             link = 0
+        elif not ends:
+            own = marked(m.group("rest"))
         cut()
     say(html[at:])
     cut()

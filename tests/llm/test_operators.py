@@ -193,3 +193,21 @@ def test_toxicity(spark):
     assert held and all(got[i]["predicted"] == int(i % 4 == 0) for i in held)
     assert got[700]["score"] == got[701]["score"] < 0.5
     assert toxicity.score(df.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+SAID = "It is the text of the page and it goes on with the words that we know."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><p title=it's>{SAID}</p></article>", SAID),
+        (f"<article><p>{SAID}</p></article><ol class=commentlist><li class=comment><p>It is what I think of it and of the rest.</p></ol>", SAID),
+        (f"<article><p>{SAID}</p><ol class=commentlist><li class=comment><p>It is what I think of it and of the rest.</p></ol></article>", SAID),
+        (f'<article><p>{SAID}</p><p class="ad">Buy it now as it is the best of all that we have for you.</p><p>Not <span class="ad">buy</span> now.</p></article>', f"{SAID}\nNot now."),
+        (f'<article><p>{SAID}</p><div class="side by-side"><p>{SAID}</p></div><ul><li>one<li class=ad>two<li>three</ul></article>', f"{SAID}\n{SAID}\none\nthree"),
+        (f"<article><p>{SAID}</p></article>" + "<a b " * 50_000, SAID),
+    ],
+)
+def test_html_by_hand(page, want):
+    assert html.main_text(page) == want
