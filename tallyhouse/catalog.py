@@ -11,6 +11,7 @@ from tallyhouse.functions import columns as C
 from tallyhouse.operators import aggregate as A, filters as L, quality as V, ranking as R, results as S
 from tallyhouse.operators.dimensions import Dimension, lookup
 from tallyhouse.plans import adapters as D, questions as Q
+from tallyhouse.sources import ingest as I
 from tallyhouse.streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,12 +58,12 @@ Q3_SQL = f"with {TA}, {FA}, {TPV} select year_half_created_at, store_id, coalesc
 
 @query(Q1_SQL)
 def q1_amount_filter(s, d):
-    return Q.amount_filter(D.order_transactions(s, d), D.ORDERS)
+    return Q.amount_filter(D.order_transactions(s, d, D.ORDERS), D.ORDERS)
 
 
 @query(Q1_SQL)
 def q1_dedup(s, d):
-    t = D.order_transactions(s, d)
+    t = D.order_transactions(s, d, D.ORDERS)
     return Q.amount_filter(t.unionByName(t), D.ORDERS)
 
 
@@ -83,16 +84,16 @@ def q2_topn_3(s, d):
 
 @query(Q3_SQL)
 def q3_tpv(s, d):
-    return R.order_tpv(Q.payment_value(D.order_transactions(s, d), D.stores(s, d), D.ORDERS))
+    return R.order_tpv(Q.payment_value(D.order_transactions(s, d, D.ORDERS), D.stores(s, d), D.ORDERS))
 
 
 @query(f"select year_half_created_at, cast(store_id as varchar) store_id, store_name, tpv, cast(substr(year_half_created_at, 1, 4) as integer) as year, 'H' || right(year_half_created_at, 1) semester from ({Q3_SQL})")
 def q3_tpv_normalized(s, d):
-    return Q.normalized_payment_value(Q.payment_value(D.order_transactions(s, d), D.stores(s, d), D.ORDERS))
+    return Q.normalized_payment_value(Q.payment_value(D.order_transactions(s, d, D.ORDERS), D.stores(s, d), D.ORDERS))
 
 
 def _top_clients(s, d, **change):
-    return Q.top_clients(D.event_transactions(s, d), D.users(s, d), D.stores(s, d), replace(D.EVENTS, **change))
+    return Q.top_clients(D.event_transactions(s, d, D.EVENTS), D.users(s, d), D.stores(s, d), replace(D.EVENTS, **change))
 
 
 @query(f"with {TB}, {FB}, {CNT} {_clients(_best('row_number'))}")
@@ -127,12 +128,12 @@ def flt_time(s, d):
 
 @query(f"with {TA} select transaction_id, final_amount from ta where final_amount >= 250000")
 def flt_amount(s, d):
-    return D.order_transactions(s, d).where(L.amount_at_least("final_amount", 250000.0)).select("transaction_id", "final_amount")
+    return D.order_transactions(s, d).where(L.amount_at_least("final_amount", 250000.0, typed=True)).select("transaction_id", "final_amount")
 
 
 @query(f"with {TB}, {FB}, {CNT} select store_id, user_id, purchases_qty from cnt where user_id > 0 and purchases_qty > 0")
 def flt_valid_rank_rows(s, d):
-    counts = A.purchase_counts(D.event_transactions(s, d).where(L.year_in("created_at", D.EVENTS.years)))
+    counts = A.purchase_counts(D.event_transactions(s, d, D.EVENTS).where(L.year_in("created_at", D.EVENTS.years)))
     return L.rankable(counts)
 
 
@@ -143,12 +144,12 @@ def flt_has_key(s, d):
 
 @query(f"with {TB}, {FB}, {CNT} select * from cnt")
 def agg_purchase_count(s, d):
-    return A.purchase_counts(D.event_transactions(s, d).where(L.year_in("created_at", D.EVENTS.years)))
+    return A.purchase_counts(D.event_transactions(s, d, D.EVENTS).where(L.year_in("created_at", D.EVENTS.years)))
 
 
 @query(f"with {TA}, {FA}, {TPV} select * from tpv")
 def agg_tpv(s, d):
-    t = D.order_transactions(s, d)
+    t = D.order_transactions(s, d, D.ORDERS)
     t = L.keep(t, L.year_in("created_at", D.ORDERS.years), L.time_between("created_at", "06:00:00", "23:00:00"))
     return A.payment_value(t).withColumn("tpv", F.col("tpv").cast("double"))
 
@@ -344,6 +345,93 @@ def stream_reset(s, d):
     return _completed(s, d, True)
 
 
+@query(f"with {TA} select transaction_id, case transaction_id % 6 when 0 then 'AMOUNT_FILTER_TRANSACTIONS' when 1 then 'TOP_ITEMS_BY_PROFIT' when 2 then null when 3 then 'TPV_SUMMARY' when 4 then 'TOP_CLIENTS_BIRTHDAYS' end result_type from ta")
+def res_classify_order(s, d):
+    """Rows with columns of several types: the first type that fits counts; sums without a month and counts without a user fit none."""
+    t = D.order_transactions(s, d)
+    at = lambda *k: F.pmod("transaction_id", F.lit(6)).isin(*k)
+    text, one = F.lit("x"), F.lit(1)
+    rows = t.select(
+        F.col("transaction_id").alias("number"), F.when(at(0), F.col("transaction_id")).alias("transaction_id"), F.when(at(0, 2), one).alias("sellings_qty"), F.when(at(0, 1), text).alias("year_month_created_at"), F.when(at(1), one).alias("profit_sum"),
+        F.when(at(3), text).alias("store_name"), F.when(at(3, 4), one).alias("user_id"), F.when(at(3, 4, 5), one).alias("purchases_qty"),
+    )
+    return S.classified(rows).select(F.col("number").alias("transaction_id"), "result_type")
+
+
+@query("select case when event_id % 3 = 0 then null else user_id % 7 end k, cast(sum(cast(value as decimal(18,6))) as double) total from events group by all")
+def agg_null_group(s, d):
+    keyed = D.table(s, d, "events").select(F.when(F.pmod("event_id", F.lit(3)) != 0, F.pmod("user_id", F.lit(7)).cast("long")).alias("k"), "value")
+    return A.sums(keyed, ["k"], "value", "total").withColumn("total", F.col("total").cast("double"))
+
+
+@query(f"with {TA} select store_id, count(*) n, max(final_amount) largest from ta group by all")
+def agg_accumulate(s, d):
+    return A.accumulate(D.order_transactions(s, d), ["store_id"], {"n": "count(1)", "largest": F.max("final_amount")})
+
+
+@query(f"with {TA} select cast(transaction_id as varchar) transaction_id, strftime(created_at, '%Y-%m') year_month, strftime(created_at, '%Y') || case when month(created_at) <= 6 then '-H1' else '-H2' end year_half from ta")
+def fn_moment_text(s, d):
+    """Months and half-years of text with and without leading zeros."""
+    t, c = D.order_transactions(s, d), F.col("created_at")
+    text = F.when(F.pmod("transaction_id", F.lit(2)) == 0, F.date_format(c, "yyyy-M-d H:m:s")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return t.select(F.col("transaction_id").cast("string").alias("transaction_id"), C.year_month_text(text).alias("year_month"), C.year_half_text(text).alias("year_half"))
+
+
+@query(f"with {TA} select cast(transaction_id as varchar) transaction_id, store_id, user_id, final_amount, strftime(created_at, '%Y-%m-%d %H:%M:%S') created_at, 'c1' client_id from ta")
+def src_csv_transactions(s, d):
+    """Transactions written out as CSV with blanks in names and values, and read back typed."""
+    folder = J.fresh_folder(s, "csv")
+    t = D.order_transactions(s, d)
+    text = t.select(
+        F.col("transaction_id").cast("string").alias("transaction_id"), F.concat(F.lit(" "), F.col("store_id").cast("string"), F.lit(" ")).alias(" store_id"), F.lit("1").alias("payment_method_id"), F.lit(None).cast("string").alias("voucher_id"),
+        F.col("user_id").cast("string").alias("user_id"), F.lit("").alias("original_amount"), F.lit("0").alias("discount_applied"), F.col("final_amount").cast("string").alias("final_amount"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+    )
+    text.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/transactions")
+    rows, _ = I.typed(I.read_csv(s, folder, "transactions", client_id="c1"), "transactions")
+    return rows.select("transaction_id", "store_id", "user_id", "final_amount", "created_at", "client_id")
+
+
+@query(f"with {IT} select cast(transaction_id as varchar) transaction_id, item_id, cast(quantity as integer) quantity, subtotal from it")
+def src_messages(s, d):
+    """Items as JSON messages, one for each order, and read back typed."""
+    item = F.struct(F.col("transaction_id").cast("string").alias("transaction_id"), F.col("item_id").cast("string").alias("item_id"), F.col("quantity").cast("string").alias("quantity"), F.lit("1.0").alias("unit_price"), F.col("subtotal").cast("string").alias("subtotal"))
+    sent = D.items(s, d).groupBy("transaction_id").agg(F.collect_list(item).alias("data"))
+    value = F.to_json(F.struct(F.lit("c1").alias("client_id"), F.col("transaction_id").cast("string").alias("message_uuid"), "data"))
+    rows, _ = I.typed(I.messages(sent.select(value.alias("value")), "transaction_items"), "transaction_items")
+    return rows.select("transaction_id", F.col("item_id").cast("bigint").alias("item_id"), "quantity", "subtotal")
+
+
+@query(_items("profit_sum", 3))
+def q2_ordered(s, d):
+    return R.order_items(Q.top_items(D.items(s, d), D.menu(s, d), "profit_sum", replace(D.ORDERS, top_items=3)), "profit_sum")
+
+
+@query(f"with {TA} select transaction_id, cast(store_id as varchar) client_id from ta where store_id % 3 = 0")
+def gate_complete(s, d):
+    """Rows of clients whose stores and users both came to their end."""
+    t = D.order_transactions(s, d).select("transaction_id", F.col("store_id").cast("string").alias("client_id"))
+    came = F.when(F.pmod(F.col("client_id").cast("int"), F.lit(3)) == 0, F.array(F.lit("stores"), F.lit("users"))).otherwise(F.array(F.lit("stores"), F.lit("stores")))
+    return S.gated(t, t.select("client_id", F.explode(came).alias("input")), ["stores", "users"])
+
+
+@query(f"with {IT}, {TOT} select * from tot")
+def stream_items(s, d):
+    folder = J.fresh_folder(s, "items")
+    rows = _stream(s, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_extendedprice").alias("subtotal"), F.col("l_shipdate").alias("created_at"))
+    J.run_available(J.running_item_totals(rows, D.ORDERS), folder, "update")
+    return J.latest(s, folder, ["year_month_created_at", "item_id"]).withColumn("profit_sum", F.col("profit_sum").cast("double"))
+
+
+@query(f"with {TB} select transaction_id, store_id, 'new ' || n_name store_name from tb join nation on store_id = n_nationkey")
+def stream_enriched(s, d):
+    folder = J.fresh_folder(s, "enriched")
+    nation = D.table(s, d, "nation").select("n_nationkey", "n_name")
+    twice = nation.withColumn("seq", F.lit(1)).unionByName(nation.select("n_nationkey", F.concat(F.lit("new "), "n_name").alias("n_name"), F.lit(2).alias("seq")))
+    named = J.enriched(_events(_stream(s, d, "events")), Dimension(twice, "n_nationkey", "n_name", "Unknown Store", order=("seq",)), "store_id", "store_name")
+    J.run_available(named.select("transaction_id", "store_id", "store_name"), folder)
+    return s.read.parquet(f"{folder}/out").select("transaction_id", "store_id", "store_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 
@@ -21,3 +22,11 @@ class QueryConfig:
     compat_anonymous: bool = False
     #: Facts are read from the January files alone.
     reduced: bool = False
+
+    @classmethod
+    def from_environment(cls, environment=os.environ) -> "QueryConfig":
+        """Thresholds from variables MIN_YEAR, MAX_YEAR, START_TIME, END_TIME, MIN_AMOUNT, TOP_ITEMS, TOP_USERS; others as by default."""
+        base = cls()
+        get = lambda name, default: type(default)(environment.get(name) or default)
+        years = (get("MIN_YEAR", base.years[0]), get("MAX_YEAR", base.years[1]))
+        return cls(years, get("START_TIME", base.start), get("END_TIME", base.end), get("MIN_AMOUNT", base.min_amount), get("TOP_ITEMS", base.top_items), get("TOP_USERS", base.top_users))

@@ -15,6 +15,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def is_number(df, name: str) -> bool:
+    """Whether a column is typed as a number, so that no text has to be read."""
+    return dict(df.dtypes)[name].startswith(NUMBERS)
+
+
+def double_of(df, name: str, default: float = 0.0) -> Column:
+    """safe_double() of a column; a column of numbers is taken as it is, so that the scan can use conditions on it."""
+    if not is_number(df, name):
+        return safe_double(name, default)
+    return F.coalesce(F.col(name).cast("double"), F.lit(default))
+
+
+def long_of(df, name: str, default: int = 0) -> Column:
+    """safe_long() of a column; a column of whole numbers is taken as it is."""
+    if not dict(df.dtypes)[name].startswith(NUMBERS[:4]):
+        return safe_long(name, default=default)
+    return F.coalesce(F.col(name).cast("long"), F.lit(default).cast("long"))
+
+
 def safe_double(c: Column | str, default: float | None = 0.0) -> Column:
     """The number written in c. A type suffix as in 75d is no number, though a cast would take it."""
     text = F.trim(_col(c).cast("string"))
@@ -61,13 +83,21 @@ def year_month(ts: Column | str) -> Column:
 
 
 def year_month_text(c: Column | str) -> Column:
-    """Month of an ISO text; of other text of 7 characters at least, these."""
+    """Month of a text with a moment in it, zeros written or not; of other text of 7 characters at least, these."""
     text = _col(c).cast("string")
-    return F.coalesce(year_month(iso_timestamp(text)), F.when(F.length(text) >= 7, F.substring(text, 1, 7)))
+    return F.coalesce(year_month(lenient_timestamp(text)), F.when(F.length(text) >= 7, F.substring(text, 1, 7)))
+
+
+def year_half_text(c: Column | str) -> Column:
+    """Half-year of a text with a moment in it, zeros written or not, or of ISO text; else null."""
+    return F.coalesce(year_half(lenient_timestamp(c)), year_half(iso_timestamp(c)))
 
 
 def normalized_half(raw: Column | str, year: Column | str | None = None, semester: Column | str | None = None) -> Column:
-    """struct(text, year, semester) from forms as 2024-H1, 2024-1 or 2024h2; other columns stand in where raw can't be read."""
+    """struct(text, year, semester) from forms as 2024-H1, 2024-1 or 2024h2; other columns stand in where raw can't be read.
+
+    Text that can't be read comes back trimmed.
+    """
     pattern = r"^\s*(\d{4})\s*-?\s*[hH]?\s*([12])\s*$"
     raw = _col(raw).cast("string")
     y = F.regexp_extract(raw, pattern, 1).try_cast("int")
@@ -75,7 +105,7 @@ def normalized_half(raw: Column | str, year: Column | str | None = None, semeste
     if year is not None and semester is not None:
         y = F.coalesce(y, _col(year).cast("string").try_cast("int"))
         s = F.coalesce(s, F.regexp_extract(_col(semester).cast("string"), r"([12])\s*$", 1).try_cast("int"))
-    text = F.when(y.isNotNull() & s.isNotNull(), F.concat(y.cast("string"), F.lit("-H"), s.cast("string")))
+    text = F.when(y.isNotNull() & s.isNotNull(), F.concat(y.cast("string"), F.lit("-H"), s.cast("string"))).otherwise(F.trim(raw))
     return F.struct(text.alias("text"), y.alias("year"), s.alias("semester"))
 
 

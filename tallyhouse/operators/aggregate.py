@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions import columns as C
 
@@ -17,24 +17,36 @@ def money_sum(c: str):
 
 def payment_value(df: DataFrame) -> DataFrame:
     """sum(final_amount) as decimal tpv by half-year and store, from created_at as a moment; rows without one are left out."""
-    rows = df.select(*by_client(df), C.year_half("created_at").alias("year_half_created_at"), "store_id", C.safe_double("final_amount").alias("final_amount"))
+    rows = df.select(*by_client(df), C.year_half("created_at").alias("year_half_created_at"), "store_id", C.double_of(df, "final_amount").alias("final_amount"))
     return rows.where("year_half_created_at is not null and store_id is not null").groupBy(*by_client(df), "year_half_created_at", "store_id").agg(money_sum("final_amount").alias("tpv"))
 
 
 def item_totals(df: DataFrame, month=None) -> DataFrame:
     """sellings_qty and decimal profit_sum by month and item, in one pass."""
     month = C.year_month("created_at") if month is None else month
-    rows = df.select(*by_client(df), month.alias("year_month_created_at"), "item_id", C.safe_long("quantity").alias("quantity"), C.safe_double("subtotal").alias("subtotal"))
+    rows = df.select(*by_client(df), month.alias("year_month_created_at"), "item_id", C.long_of(df, "quantity").alias("quantity"), C.double_of(df, "subtotal").alias("subtotal"))
     rows = rows.where("year_month_created_at is not null and item_id is not null")
     return rows.groupBy(*by_client(df), "year_month_created_at", "item_id").agg(F.sum("quantity").alias("sellings_qty"), money_sum("subtotal").alias("profit_sum"))
 
 
 def purchase_counts(df: DataFrame) -> DataFrame:
     """purchases_qty by store and user; users that can't be read or are negative count as 0, anonymous."""
-    rows = df.where("store_id is not null").select(*by_client(df), "store_id", C.safe_long(C.safe_long("user_id"), 0).alias("user_id"))
+    user = C.long_of(df, "user_id")
+    rows = df.where("store_id is not null").select(*by_client(df), "store_id", F.greatest(user, F.lit(0).cast("long")).alias("user_id"))
     return rows.groupBy(*by_client(df), "store_id", "user_id").agg(F.count(F.lit(1)).alias("purchases_qty"))
 
 
+def sums(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """sum(value) by keys, as decimal; a null key is a group of its own, as checks of results count it."""
+    return df.select(*keys, C.double_of(df, value).alias(value)).groupBy(*keys).agg(money_sum(value).alias(name))
+
+
+def accumulate(df: DataFrame, keys: list[str], aggregates: dict[str, str | Column]) -> DataFrame:
+    """The caller's aggregates by keys: name to an aggregate column, or its SQL; rows with a null key are left out."""
+    known = df.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else df
+    return known.groupBy(*keys).agg(*[(F.expr(a) if isinstance(a, str) else a).alias(n) for n, a in aggregates.items()])
+
+
 def merge_partials(partials: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Totals of stored partial totals, as of a file or a day."""
     return partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])

@@ -25,8 +25,11 @@ def time_between(ts: Column | str, start: str, end: str) -> Column:
     return F.coalesce(seconds.between(number(start), number(end)), F.lit(False))
 
 
-def amount_at_least(c: Column | str, least: float) -> Column:
-    """Unreadable amounts are 0; not-a-number passes no bound."""
+def amount_at_least(c: Column | str, least: float, typed: bool = False) -> Column:
+    """Unreadable amounts are 0; not-a-number passes no bound. typed: c is a number, so that the scan can use the condition."""
+    if typed:
+        c = F.col(c) if isinstance(c, str) else c
+        return (F.coalesce(c, F.lit(0.0)) >= least) & ~F.isnan(c) if least <= 0 else (c >= least) & ~F.isnan(c)
     value = C.safe_double(c)
     return (value >= least) & ~F.isnan(value)
 

@@ -20,11 +20,12 @@ def tagged(results: dict[str, DataFrame]) -> DataFrame:
 
 
 def classified(df: DataFrame) -> DataFrame:
-    """Untyped rows with the result_type that the columns with values show; null if none does."""
+    """Untyped rows with the result_type that the columns with values show, the first that fits; null if none does."""
     has = lambda c: F.col(c).isNotNull() if c in df.columns else F.lit(False)
+    month = has("year_month_created_at")
     kind = (
-        F.when(has("sellings_qty"), BY_QUANTITY).when(has("profit_sum"), BY_PROFIT).when(has("tpv"), TPV)
-        .when(has("purchases_qty") | has("birthdate"), CLIENTS).when(has("transaction_id") | has("final_amount"), AMOUNT)
+        F.when(has("transaction_id") | has("final_amount"), AMOUNT).when(month & has("sellings_qty"), BY_QUANTITY).when(month & has("profit_sum"), BY_PROFIT)
+        .when(has("tpv") | has("year") | has("semester") | has("store_name"), TPV).when(has("user_id") & has("purchases_qty") | has("birthdate"), CLIENTS)
     )
     return df.withColumn("result_type", kind)
 
@@ -80,3 +81,9 @@ def completion(df: DataFrame) -> DataFrame:
     seen = df.groupBy("client_id").agg(F.array_sort(F.collect_set("result_type")).alias("seen"))
     missing = F.size(F.array_except(F.array(*map(F.lit, TYPES)), "seen"))
     return seen.select("client_id", F.array_join("seen", ",").alias("seen"), (missing == 0).alias("complete"))
+
+
+def gated(df: DataFrame, arrived: DataFrame, needed: list[str]) -> DataFrame:
+    """Rows of clients for whom all needed inputs are complete. arrived: (client_id, input), in any number."""
+    ready = arrived.where(F.col("input").isin(needed)).groupBy("client_id").agg(F.count_distinct("input").alias("_n")).where(F.col("_n") == len(set(needed)))
+    return df.join(ready.select("client_id"), "client_id", "left_semi")

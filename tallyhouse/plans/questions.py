@@ -31,7 +31,7 @@ def first_of_each(df: DataFrame, key: str = "transaction_id") -> DataFrame:
 def amount_filter(transactions: DataFrame, config: QueryConfig = QueryConfig(), dedup: bool = True) -> DataFrame:
     """Q1: transactions of the two years, within the hours, of at least the amount."""
     rows = moment(transactions, strict=True)
-    rows = L.keep(rows, L.year_in("created_at", config.years), L.time_between("created_at", config.start, config.end), L.amount_at_least("final_amount", config.min_amount))
+    rows = L.keep(rows, L.year_in("created_at", config.years), L.time_between("created_at", config.start, config.end), L.amount_at_least("final_amount", config.min_amount, C.is_number(rows, "final_amount")))
     return first_of_each(rows) if dedup else rows
 
 
@@ -82,5 +82,5 @@ def top_clients(transactions: DataFrame, users: Dimension, stores: Dimension, co
     if not config.compat_anonymous:
         counts = counts.where("user_id > 0")
     best = R.top_n(counts, [*A.by_client(counts), "store_id"], "purchases_qty", config.top_users, config.ties, then=["user_id"]).where("user_id > 0")
-    named = lookup(lookup(best, users, "user_id", "birthdate"), stores, "store_id", "store_name")
+    named = lookup(lookup(best, users, "user_id", "birthdate", few=True), stores, "store_id", "store_name")
     return named.select(*A.by_client(counts), "user_id", "store_id", "store_name", "birthdate", "purchases_qty")

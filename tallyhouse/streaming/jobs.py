@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyhouse.config import QueryConfig
 from tallyhouse.operators import aggregate as A, filters as L
+from tallyhouse.operators.dimensions import Dimension, lookup
 
 #: Parts of one client's messages.
 SALTS = 256
@@ -42,9 +43,9 @@ def running_purchase_counts(df: DataFrame, config: QueryConfig = QueryConfig())
     return A.purchase_counts(L.keep(df, L.year_in("created_at", config.years)))
 
 
-def enriched(df: DataFrame, static: DataFrame, on: str, default: dict[str, str]) -> DataFrame:
-    """A stream with columns of a static table."""
-    return df.join(static, on, "left").fillna(default)
+def enriched(df: DataFrame, dim: Dimension, key: str, name: str) -> DataFrame:
+    """A stream with the dimension's value for key; of repeated keys the last written counts, so rows never fan out."""
+    return lookup(df, dim, key, name)
 
 
 def run_available(df: DataFrame, folder: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> None:

@@ -40,12 +40,12 @@ def test_moments(spark):
     assert there(C.strict_timestamp) == [True] + [False] * 6
     assert there(C.lenient_timestamp) == [True, True] + [False] * 5
     assert there(C.iso_timestamp) == [True, False, True, False, False, False, False]
-    assert column(spark, ["2024-01-15T10:00:00", "2024-1", "garbage text"], C.year_month_text) == ["2024-01", None, "garbage"]
+    assert column(spark, ["2024-01-15T10:00:00", "2024-1", "garbage text", "2024-1-5 7:00:00", "20240115"], C.year_month_text) == ["2024-01", None, "garbage", "2024-01", "2024011"]
 
 
 def test_halves_and_months(spark):
     assert column(spark, [datetime(2024, 6, 30), datetime(2024, 7, 1)], C.year_half, "timestamp_ntz") == ["2024-H1", "2024-H2"]
-    assert [r["text"] if r else None for r in column(spark, ["2024-H1", "2024-1", "2024h2", "x"], C.normalized_half)] == ["2024-H1", "2024-H1", "2024-H2", None]
+    assert [r["text"] if r else None for r in column(spark, ["2024-H1", "2024-1", "2024h2", "x"], C.normalized_half)] == ["2024-H1", "2024-H1", "2024-H2", "x"]
     assert [r["text"] for r in column(spark, ["2024-1", "2024-12", "2024-13"], C.normalized_month)] == ["2024-01", "2024-12", None]
 
 
@@ -123,3 +123,12 @@ def test_partials_add_up(spark):
     df = spark.createDataFrame([(i % 3, i, 0.1 * i) for i in range(50)], "k int, part int, v double")
     parts = df.groupBy("k", (F.col("part") % 7).alias("p")).agg(A.money_sum("v").alias("v"))
     assert A.merge_partials(parts, ["k"], ["v"]).orderBy("k").collect() == df.groupBy("k").agg(A.money_sum("v").alias("v")).orderBy("k").collect()
+
+
+def test_half_of_text(spark):
+    assert column(spark, ["2024-7-5 7:00:00", "2024-01-15T10:00:00", "garbage", None], C.year_half_text) == ["2024-H2", "2024-H1", None, None]
+
+
+def test_thresholds_from_the_environment():
+    got = QueryConfig.from_environment({"MIN_YEAR": "2022", "MIN_AMOUNT": "15.5"})
+    assert got.years == (2022, 2025) and got.min_amount == 15.5 and got.start == "06:00:00"
