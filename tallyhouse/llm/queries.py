@@ -1,7 +1,7 @@
 """The registered queries of this subpackage.
 
-None has SQL: tokenizers, learned models, hash-proposed candidates and suffix arrays are beyond it, or too slow on whole
-tables. tests/llm holds each against a brute-force version instead.
+Two have SQL, as exact joins of all pairs, fit for small tables only: op4_minhash and op8_embedding_dedup. For the others,
+tokenizers, learned models and suffix arrays are beyond it; tests/llm holds them against a brute-force version instead.
 """
 
 from __future__ import annotations
@@ -61,5 +61,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+#: Documents with their distinct shingles of two words, pairs with 80 % in common, and the least id that links reach.
+OP4_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+), sets as (
+    select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) s from words
+), shingles as (select doc_id, len(s) n, unnest(s) sh from sets),
+links as (
+    select a.doc_id a, b.doc_id b from shingles a join shingles b on a.sh = b.sh and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached as (select doc_id a, doc_id b from sets union select r.a, l.b from reached r join links l on r.b = l.a),
+component as (select a, min(b) component_id from reached group by a)
+select doc_id, len(s) n_shingles, component_id, doc_id = component_id kept from sets join component on a = doc_id
+"""
+
+OP8_SQL = """
+with recursive v as (
+    select vec_id, label, cast(embedding as double[]) e from embeddings
+    where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+counts as (select a, count(*) n from links group by a),
+reached as (select vec_id a, vec_id b from embeddings union select r.a, l.b from reached r join links l on r.b = l.a),
+component as (select a, min(b) component_id from reached group by a)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept from embeddings join component on component.a = vec_id left join counts on counts.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_minhash": OP4_SQL, "op8_embedding_dedup": OP8_SQL}
