@@ -3,7 +3,7 @@
 A vote is 1 (yes), 0 (no) or None (abstains). Each voter has a chance of each vote in either class. Expectation and
 maximisation estimate these and the share of the positive class from the patterns alone; starting values and prior counts
 tell which class is which. Voters that agree more than the classes explain are correlated: each counts for less, so that
-a crowd of copies weighs about as much as one.
+two copies weigh about as much as one. A crowd of copies that outnumbers all other voters would still pass for the class.
 
 A table of patterns has at most 3^voters rows, whatever the corpus, so the driver may hold it.
 """
@@ -55,23 +55,30 @@ class LabelModel:
         x, n = self._index(patterns), np.asarray(counts, float)
         if not n.sum():
             return self
-        for stage in range(2):
-            for _ in range(rounds):
-                self._maximise(x, n, self.posterior(patterns))
-            if stage == 0:
-                self._correlate(x, n, self.posterior(patterns))
+        self._correlate(x, n)
+        for _ in range(rounds):
+            self._maximise(x, n, self.posterior(patterns))
         return self
 
-    def _correlate(self, x: np.ndarray, n: np.ndarray, p: np.ndarray) -> None:
-        """Correlations of yes votes that are left once the class is known; weights that allow for them."""
-        yes = (x == 2).astype(float)
-        cov = np.zeros((yes.shape[1],) * 2)
-        for share in (1 - p, p):
-            w = n * share
-            mean = (yes * w[:, None]).sum(0) / max(w.sum(), 1e-9)
-            cov += ((yes - mean) * w[:, None]).T @ (yes - mean)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        self.correlation = cov / np.outer(sd, sd)
+    def _correlate(self, x: np.ndarray, n: np.ndarray) -> None:
+        """Correlations of yes votes beyond what the class explains; weights that allow for them.
+
+        Were two voters tied by the class alone, their covariance would follow from those with any two others k and l:
+        cov(i, k) * cov(j, l) / cov(k, l). The median of that over all k and l is the class's part. It is taken before the
+        classes are estimated, as voters that copy each other would else pass for the class.
+        """
+        yes, w = (x == 2).astype(float), n / n.sum()
+        off = yes - (yes * w[:, None]).sum(0)
+        cov = (off * w[:, None]).T @ off
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        voters = range(len(sd))
+        self.correlation = np.eye(len(sd))
+        for i in voters:
+            for j in range(i):
+                rest = [(k, l) for k in voters for l in voters if len({i, j, k, l}) == 4 and abs(cov[k, l]) > 0.02 * sd[k] * sd[l] and min(sd[k], sd[l]) > 1e-5]
+                if rest and min(sd[i], sd[j]) > 1e-5:
+                    by_class = float(np.median([cov[i, k] * cov[j, l] / cov[k, l] for k, l in rest]))
+                    self.correlation[i, j] = self.correlation[j, i] = float(np.clip((cov[i, j] - by_class) / (sd[i] * sd[j]), -1, 1))
         extra = np.where(self.correlation > 0.2, self.correlation, 0)
         np.fill_diagonal(extra, 0)
         self.weight = 1 / (1 + extra.sum(1))

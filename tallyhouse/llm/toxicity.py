@@ -20,8 +20,8 @@ from tallyhouse.llm.label_model import LabelModel, logistic
 
 #: Labelled rows of either class that are looked at to learn terms and to train the classifier: those least by a hash of doc_id.
 LABELLED = 15_000
-#: Terms kept, and the least share of toxic examples that must have one.
-TERMS, RARE = 2000, 0.004
+#: The least share of toxic examples that must have a term; so terms are bounded by the labelled rows looked at.
+RARE = 0.004
 LEXICONS = 8
 WORD = re.compile(r"[^\W_]+")
 FRONTS = (4, 5, 6)
@@ -71,7 +71,7 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 
 def learn_terms(examples: DataFrame) -> list[str]:
-    """Up to TERMS terms with the greatest reach among toxic examples, of those that clean ones hardly have.
+    """Terms by their reach among toxic examples, of those that clean ones hardly have.
 
     Copies of one text would lift all its rare words, so of examples of a class with the same set of words only one counts,
     in the totals too.
@@ -110,7 +110,7 @@ def learn_terms(examples: DataFrame) -> list[str]:
     counts = examples.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share, base = F.col("toxic") / max(n_toxic, 1), F.col("clean") / max(n_clean, 1)
     good = counts.where((F.col("clean") <= 0.02 * F.col("toxic")) & (F.col("toxic") >= 4) & (share >= RARE) & (share >= 30 * base + 2.0 / max(n_clean, 1)))
-    return [r["term"] for r in good.orderBy(F.desc("toxic"), F.asc("clean"), "term").limit(TERMS).collect()]
+    return [r["term"] for r in good.orderBy(F.desc("toxic"), F.asc("clean"), "term").collect()]
 
 
 def _row(found: list[int], plain: int, hidden: int, n: int) -> np.ndarray:

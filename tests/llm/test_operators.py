@@ -211,3 +211,44 @@ SAID = "It is the text of the page and it goes on with the words that we know."
 )
 def test_html_by_hand(page, want):
     assert html.main_text(page) == want
+
+
+def test_base_spans_equal_plain_patterns():
+    """Against finditer, on random texts of the characters that matter."""
+    rng = random.Random(9)
+    pieces = ["a", "b.c", "@", "x-y", ".com", " ", "+", "1", "23", "456", "255", ".", "-", "(", ")", "4111 1111 1111 1111", "10.0.0.1", "é", "+1 555 010 0199"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))
+        digits = lambda m: [int(c) for c in m.group() if c.isdigit()]
+        want = [("email", m.start(), m.end()) for m in pii.EMAIL.finditer(text)]
+        want += [("ip", m.start(), m.end()) for m in pii.IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        for m in pii.CARD.finditer(text):
+            d = digits(m)[::-1]
+            if 16 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+                want.append(("card", m.start(), m.end()))
+        want += [("phone", m.start(), m.end()) for m in pii.PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+        assert pii.base_spans(text) == want, text
+
+
+def test_packing_ids_are_the_library_s(docs):
+    """ids_crc32 and offsets of every piece, with the ids that the tokenizers library gives."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    lib.no_truncation()
+    lib.no_padding()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = {i: np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    by_seq = {}
+    for r in packing.pack(docs).collect():
+        assert r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for parts in by_seq.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at == parts[0]["sequence_tokens"]
