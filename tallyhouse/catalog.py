@@ -432,6 +432,19 @@ def stream_enriched(s, d):
     return s.read.parquet(f"{folder}/out").select("transaction_id", "store_id", "store_name")
 
 
+@query(f"""with c as (select distinct store_id % 3 k from ({Q1_SQL}) union select distinct store_id % 3 from ({Q3_SQL})),
+h as (select * from (values ('amount_filter_transactions.txt', 5), ('top_items_by_quantity.txt', 4), ('top_items_by_profit.txt', 4), ('tpv_summary.txt', 5), ('top_clients_birthdays.txt', 4)) t(file, n))
+select 'c' || k client_id, file, cast(0 as integer) block, cast(n as bigint) n from c cross join h
+union all select 'c' || (store_id % 3), 'amount_filter_transactions.txt', 1, count(*) from ({Q1_SQL}) group by store_id % 3
+union all select 'c' || (store_id % 3), 'tpv_summary.txt', 1, count(*) from ({Q3_SQL}) group by store_id % 3""")
+def snk_files(s, d):
+    """Result files of three clients, written and read back: how many lines each block has."""
+    folder = J.fresh_folder(s, "results")
+    of = lambda df: df.withColumn("client_id", F.concat(F.lit("c"), F.pmod("store_id", F.lit(3)).cast("string")))
+    S.write_results({S.AMOUNT: S.lines_amount(of(q1_amount_filter(s, d))), S.TPV: S.lines_tpv(of(q3_tpv(s, d)))}, folder)
+    return s.read.text(folder).groupBy("client_id", "file", "block").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -13,6 +13,16 @@ AMOUNT, BY_QUANTITY, BY_PROFIT, TPV, CLIENTS = "AMOUNT_FILTER_TRANSACTIONS", "TO
 TYPES = (AMOUNT, BY_QUANTITY, BY_PROFIT, TPV, CLIENTS)
 
 
+#: Result files and the lines between the rules of their headers.
+FILES = {
+    AMOUNT: ("amount_filter_transactions.txt", ("Transacciones (Id y monto) realizadas durante 2024 y 2025", "entre las 06:00 AM y las 11:00 PM con monto total >= $75")),
+    BY_QUANTITY: ("top_items_by_quantity.txt", ("TOP ÍTEMS POR CANTIDAD (2024-2025, 06:00-23:00)",)),
+    BY_PROFIT: ("top_items_by_profit.txt", ("TOP ÍTEMS POR GANANCIA (2024-2025, 06:00-23:00)",)),
+    TPV: ("tpv_summary.txt", ("RESUMEN TPV POR SEMESTRE Y SUCURSAL (2024-2025)", "Transacciones entre las 06:00 y las 23:00")),
+    CLIENTS: ("top_clients_birthdays.txt", ("Cumpleaños de los clientes con más compras por sucursal (2024-2025)",)),
+}
+
+
 def tagged(results: dict[str, DataFrame]) -> DataFrame:
     """All rows of the result sets, with result_type; columns that a set lacks are null."""
     parts = [df.select(F.lit(kind).alias("result_type"), "*") for kind, df in results.items()]
@@ -62,10 +72,16 @@ def _client(df: DataFrame) -> list[str]:
     return ["client_id"] if "client_id" in df.columns else []
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Text files, in one folder for each client where there is a client_id."""
-    writer = lines.write.mode("overwrite")
-    (writer.partitionBy("client_id") if "client_id" in lines.columns else writer).text(path)
+def write_results(lines: dict[str, DataFrame], path: str) -> None:
+    """All five results of each client that has lines in any, as text in client_id=x/file=y: block=0 the header, block=1 the lines.
+
+    lines: (client_id, line) by result type; a type that is missing has headers only.
+    """
+    body = reduce(DataFrame.unionByName, [df.select("client_id", F.lit(FILES[kind][0]).alias("file"), F.lit(1).alias("block"), "line") for kind, df in lines.items()])
+    rule = "=" * 60
+    heads = F.array(*[F.struct(F.lit(name).alias("file"), F.lit("\n".join([rule, *text, rule, ""])).alias("line")) for name, text in FILES.values()])
+    header = body.select("client_id").distinct().select("client_id", F.explode(heads).alias("h")).select("client_id", "h.file", F.lit(0).alias("block"), "h.line")
+    header.unionByName(body).write.mode("overwrite").partitionBy("client_id", "file", "block").text(path)
 
 
 def envelopes(df: DataFrame, kind: str) -> DataFrame:
