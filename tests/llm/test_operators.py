@@ -252,3 +252,29 @@ def test_packing_ids_are_the_library_s(docs):
             assert r["offset"] == at
             at += r["length"]
         assert at == parts[0]["sequence_tokens"]
+
+
+def test_minhash_rounds_of_a_crowded_bucket(spark, monkeypatch):
+    """A cloud of near copies around one text, with few pivots a round: groups are those of all pairs."""
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "PIVOTS_OF", 3)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 4, 9, 14])):
+            copy[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = [set(minhash.shingles(t, 2).tolist()) for _, t in rows]
+    root = list(range(150))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(range(150), 2):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+                changed = True
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root)) and 1 < len(set(root)) < 100
