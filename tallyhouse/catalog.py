@@ -169,7 +169,7 @@ def agg_mergeable_rollup(s, d):
 @query(f"with {IT}, {TOT} select year_month_created_at, cast(item_id as integer) item_id, sellings_qty from tot")
 def agg_nested_merge(s, d):
     totals = A.item_totals(D.items(s, d).where(L.year_in("created_at", D.ORDERS.years)))
-    half = totals.withColumn("part", F.pmod("item_id", F.lit(64)))
+    half = totals.withColumn("part", F.floor(F.col("item_id") / 100))  # a bundle holds at most 100 items
     months = half.groupBy("part", "year_month_created_at").agg(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), F.col("sellings_qty").cast("string")))).alias("m"))
     nested = months.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("year_month_created_at", "m"))).alias("bundle"))
     return A.merge_nested(nested, "bundle", "sellings_qty").withColumn("sellings_qty", F.col("sellings_qty").cast("bigint"))
@@ -445,6 +445,54 @@ def snk_files(s, d):
     return s.read.text(folder).groupBy("client_id", "file", "block").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"select 'c' || (store_id % 3) client_id, transaction_id, final_amount from ({Q1_SQL})")
+def snk_envelope_q1(s, d):
+    """Q1 in envelopes of at most 100 rows for three clients, read back."""
+    rows = q1_amount_filter(s, d).select(F.concat(F.lit("c"), F.pmod("store_id", F.lit(3)).cast("string")).alias("client_id"), "transaction_id", "final_amount")
+    sent = S.envelopes(rows, S.AMOUNT, 100)
+    read = F.from_json("value", "type string, client_id string, results array<struct<transaction_id bigint, final_amount double>>")
+    return sent.select(read.alias("e")).select("e.client_id", F.explode("e.results").alias("r")).select("client_id", "r.transaction_id", "r.final_amount")
+
+
+@query("select o_orderkey, cast((cast('0x' || md5(cast(o_orderkey as varchar)) as uhugeint)) % 7 as integer) shard from orders")
+def fn_shard_orders(s, d):
+    return D.table(s, d, "orders").select("o_orderkey", C.shard_id("o_orderkey", 7).alias("shard"))
+
+
+def _report_row(label: str, keys: str, bad: str, sizes: str = "0", order: str | None = None) -> str:
+    return f"""select '{label}' label, (select count(*) from ({bad})) = 0 ok, (select count(*) from ({bad})) mismatches, cast({sizes} as bigint) size_difference,
+coalesce((select string_agg(k, ', ' order by n) from (select {keys} k, row_number() over (order by {order or keys}) n from ({bad})) where n <= 3), '') as first"""
+
+
+@query(" union all ".join([
+    _report_row("Q1", "cast(transaction_id as varchar)", f"select * from ({Q1_SQL}) where transaction_id % 10 = 0", order="transaction_id"),
+    _report_row("Q2a", "year_month_created_at || ' ' || item_name", f"select * from ({SQL['q2_top_qty']}) where year_month_created_at like '%-01'", f"-(select count(*) from ({SQL['q2_top_qty']}) where year_month_created_at like '%-01')"),
+    _report_row("Q2b", "year_month_created_at || ' ' || item_name", f"select * from ({SQL['q2_top_profit']}) where year_month_created_at like '%-02'"),
+    _report_row("Q3", "year_half_created_at || ' ' || store_name", "select * from (select 1 year_half_created_at, '' store_name) where false"),
+    _report_row("Q4", "store_id || ' ' || user_id || ' 1900-01-01'", f"select * from ({SQL['q4_top_clients']}) where store_id = 5", order="store_id, purchases_qty desc, user_id"),
+]))
+def val_report_all(s, d):
+    """Results with planted differences: amounts of Q1, months without Q2a, profits of Q2b, cents in Q3 (allowed), birthdates of Q4."""
+    q1, q2a, q2b, q3, q4 = q1_amount_filter(s, d), q2_top_qty(s, d), q2_top_profit(s, d), q3_tpv(s, d), q4_top_clients(s, d)
+    actual = {
+        "Q1": q1.withColumn("final_amount", F.col("final_amount") + F.when(F.pmod("transaction_id", F.lit(10)) == 0, 1.0).otherwise(0.001)),
+        "Q2a": q2a.where("year_month_created_at not like '%-01'"),
+        "Q2b": q2b.withColumn("profit_sum", F.col("profit_sum") + F.when(F.col("year_month_created_at").like("%-02"), 1.0).otherwise(0.1)),
+        "Q3": q3.withColumn("tpv", F.col("tpv") + 0.1),
+        "Q4": q4.withColumn("birthdate", F.when(F.col("store_id") == 5, "1900-01-01").otherwise(F.col("birthdate"))),
+    }
+    return V.full_report(actual, {"Q1": q1, "Q2a": q2a, "Q2b": q2b, "Q3": q3, "Q4": q4_ties_rank(s, d)})
+
+
+@query("select cast(event_id % 5 as varchar) client_id, event_id transaction_id, value final_amount from events")
+def stream_delivery(s, d):
+    """Events as Q1 rows of 5 clients, each sent twice and delivered once."""
+    folder = J.fresh_folder(s, "delivery")
+    rows = _stream(s, d, "events").select(F.pmod("event_id", F.lit(5)).cast("string").alias("client_id"), F.col("event_id").alias("transaction_id"), F.col("value").alias("final_amount"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    J.deliver(rows.drop("copy"), folder, ["transaction_id"])
+    return J.delivered(s, folder).select(F.col("client_id").cast("string").alias("client_id"), "transaction_id", "final_amount")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhouse.functions import columns as C
 
@@ -84,12 +84,21 @@ def write_results(lines: dict[str, DataFrame], path: str) -> None:
     header.unionByName(body).write.mode("overwrite").partitionBy("client_id", "file", "block").text(path)
 
 
-def envelopes(df: DataFrame, kind: str) -> DataFrame:
-    """One JSON line {type, results, client_id} for each client. It gathers a result set: for small ones, not for Q1."""
-    rows = F.struct(*[c for c in df.columns if c != "client_id"])
-    grouped = df.groupBy(*_client(df)).agg(F.sort_array(F.collect_list(rows)).alias("results"))
-    client: Column = F.col("client_id") if "client_id" in df.columns else F.lit(None).cast("string")
-    return grouped.select(F.to_json(F.struct(F.lit(kind).alias("type"), "results", client.alias("client_id"))).alias("value"))
+def envelopes(df: DataFrame, kind: str, size: int = 1000) -> DataFrame:
+    """JSON lines {type, results, client_id} of at most `size` rows, each with its number in its client (part, from 0).
+
+    A client's rows are dealt by their hash into groups of about 64 parts, so no task needs all of them. Numbers of
+    parts may have gaps where there are several groups; a client of up to 64 x size rows has one group, without gaps.
+    """
+    names = [c for c in df.columns if c != "client_id"]
+    client: Column = F.col("client_id").cast("string") if "client_id" in df.columns else F.lit(None).cast("string")
+    rows = df.select(client.alias("client_id"), F.struct(*names).alias("row"))
+    groups = rows.groupBy(F.col("client_id").alias("_client")).agg(F.ceil(F.count(F.lit(1)) / (64 * size)).alias("groups"))
+    dealt = rows.join(groups, F.col("client_id").eqNullSafe(F.col("_client"))).withColumn("group", F.pmod(F.xxhash64(F.to_json("row")), "groups"))
+    nth = F.row_number().over(Window.partitionBy("client_id", "group").orderBy("row"))
+    part = F.col("group") + F.col("groups") * F.floor((nth - 1) / size)
+    grouped = dealt.withColumn("part", part).groupBy("client_id", "part").agg(F.sort_array(F.collect_list("row")).alias("results"))
+    return grouped.select("part", F.to_json(F.struct(F.lit(kind).alias("type"), "results", "client_id")).alias("value"))
 
 
 def completion(df: DataFrame) -> DataFrame:

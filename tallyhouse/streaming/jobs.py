@@ -48,14 +48,15 @@ def enriched(df: DataFrame, dim: Dimension, key: str, name: str) -> DataFrame:
     return lookup(df, dim, key, name)
 
 
-def run_available(df: DataFrame, folder: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def run_available(df: DataFrame, folder: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = ()) -> None:
     """Runs a stream over what there is and ends. Each batch overwrites its own folder, so a repeated batch leaves the same.
 
-    mode update or complete: a batch holds changed or all totals. finish: applied to each batch, as a ranking.
+    mode update or complete: a batch holds changed or all totals. finish: applied to each batch, as a ranking. per:
+    columns that have folders of their own in a batch.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        (finish(batch) if finish else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+        (finish(batch) if finish else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy(*per).parquet(f"{folder}/out/number={number}")
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -67,6 +68,17 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("_r")).select(*keys, "_r.*").drop("batch")
 
 
+def deliver(df: DataFrame, folder: str, keys: list[str]) -> None:
+    """Puts each client's rows of a stream into its own folders, each of `keys` once, also over repeats and restarts."""
+    run_available(without_repeats(df, ["client_id", *keys]), folder, per=("client_id",))
+
+
+def delivered(spark: SparkSession, folder: str, client_id: str | None = None) -> DataFrame:
+    """Rows that clients, or one of them, were given; of one client, no other's files are read."""
+    rows = spark.read.option("basePath", f"{folder}/out").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/out").drop("number", "batch")
+    return rows if client_id is None else rows.where(F.col("client_id") == client_id)
+
+
 def completed(control: DataFrame, needed: int) -> DataFrame:
     """(client_id, since, until) of clients with `needed` distinct markers after their last reset, in the order of seq.
 

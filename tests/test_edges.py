@@ -1,5 +1,6 @@
 """Rules that the given tables don't show, on rows written by hand."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -132,3 +133,23 @@ def test_half_of_text(spark):
 def test_thresholds_from_the_environment():
     got = QueryConfig.from_environment({"MIN_YEAR": "2022", "MIN_AMOUNT": "15.5"})
     assert got.years == (2022, 2025) and got.min_amount == 15.5 and got.start == "06:00:00"
+
+
+def test_envelopes_hold_a_bounded_number_of_rows(spark):
+    """Equal rows too are dealt over parts; every row is in one, and a client without an id has its own."""
+    rows = spark.createDataFrame([("a", k // 2) for k in range(25)] + [(None, 7)] * 8, "client_id string, k int")
+    got = [(r["part"], json.loads(r["value"])) for r in S.envelopes(rows, S.TPV, 3).collect()]
+    assert all(len(e["results"]) <= 3 for _, e in got)
+    assert sorted(p for p, e in got if e.get("client_id") == "a") == list(range(9))
+    assert sorted((e.get("client_id") or "", r["k"]) for _, e in got for r in e["results"]) == sorted((c or "", k) for c, k in map(tuple, rows.collect()))
+
+
+def test_mismatches_pair_the_nth_values(spark):
+    """Null keys are keys, null values equal null alone, and repeats count."""
+    make = lambda rows: spark.createDataFrame(rows, "k string, v double")
+    actual = make([("same", 1.0), ("same", 5.0), ("apart", 1.0), ("apart", 5.0), ("more", 1.0), ("more", 1.0), ("extra", 1.0), (None, 1.0), ("null", None), ("one", None)])
+    expected = make([("same", 5.0), ("same", 1.2), ("apart", 5.0), ("apart", 2.0), ("more", 1.0), ("gone", 1.0), (None, 1.1), ("null", None), ("one", 1.0)])
+    got = {tuple(r) for r in V.mismatches(actual, expected, ["k"], "v", atol=0.5).collect()}
+    assert got == {("apart", "value"), ("more", "count"), ("extra", "unexpected"), ("gone", "missing"), ("one", "value")}
+    assert V.mismatches(make([]), make([]), ["k"], "v").count() == 0
+    assert V.full_report({"Q1": spark.createDataFrame([], "transaction_id long, final_amount double")}, {"Q1": spark.createDataFrame([(4, 1.0)], "transaction_id long, final_amount double")}).collect() == [("Q1", False, 1, -1, "4")]
