@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by spherical k-means cells and blocked cosine products.
 
 Equal vectors are folded. k-means, fitted on a bounded sample, gives cells; each vector is at home in the cell of its
-nearest centroid, and a guest of each further cell in which a vector similar to it may be at home: by the triangle
-inequality for angles, cells whose centroid lies within their radius plus the threshold's angle, and within the vector's
-own distance from its centroid plus twice that angle. So no link is lost at a cell's edge. Within a cell, blocks of homes
-meet blocks of visitors, each pair of blocks in its own group of bounded size. A block pair returns counts and a spanning
-forest of its links, never the pairs.
+nearest centroid, and a guest of each further cell whose bisecting plane is near. Of two unit vectors with different homes
+c and d, the distances from that plane add up to no more than the length of their difference, sqrt(2 - 2 * cosine). So
+one of two linked vectors lies within half of the threshold's length of the plane, visits the other's cell and meets it
+there: no link is lost at a cell's edge. Within a cell, blocks of homes meet blocks of visitors, each pair of blocks in
+its own group of bounded size. A block pair returns counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -78,44 +78,30 @@ def groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     n = reps.count()
     some = sample(reps.select(F.col("rep").alias("vec_id"), "v"))
     centers = spherical_kmeans(unit(some), max(1, min(CELLS, -(-n // CELL)))) if len(some) else some
-    angle = math.acos(threshold) if threshold < 1 else 0.0
+    # The slack covers the rounding of dot products.
+    half = math.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12) / 2 + 1e-9
+    apart = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0)) if len(centers) else None
 
-    def places(v):
-        """Angles of the vectors of the usual length to the centroids; others are all of one cell, -1."""
-        return np.arccos(np.clip(unit(matrix(v)) @ centers.T, -1, 1))
-
-    def at_home(batches):
+    def visits(batches):
+        """Home cell, and all cells visited with it; vectors of an unusual length are all of one cell, -1."""
         import pyarrow as pa
 
         for b in batches:
             v = b.column(3).to_pylist()
             usual = [i for i, x in enumerate(v) if len(centers) and len(x) == 8 * centers.shape[1]]
-            cell, far = np.full(len(v), -1), np.zeros(len(v))
-            if usual:
-                a = places(v[i] for i in usual)
-                cell[usual], far[usual] = a.argmin(axis=1), a.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["rep", "label", "copies", "v", "cell", "far"])
-
-    homes = durable(reps.select("rep", "label", "copies", "v").mapInArrow(at_home, "rep long, label string, copies long, v binary, cell int, far double"))
-    radius = {r["cell"]: r["far"] for r in homes.groupBy("cell").agg(F.max("far").alias("far")).collect()}  # at most CELLS + 1 rows
-
-    def visits(batches):
-        import pyarrow as pa
-
-        reach = np.array([radius.get(c, -9.0) for c in range(len(centers))]) + angle + 1e-9
-        for b in batches:
-            v, cell, far = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()
-            lists: list[list[int]] = [[c] for c in cell]
-            usual = [i for i, c in enumerate(cell) if c >= 0]
+            home = np.full(len(v), -1)
+            cells: list[list[int]] = [[-1]] * len(v)
             if usual:
-                a = places(v[i] for i in usual)
-                near = a <= np.minimum(reach[None, :], np.array([far[i] for i in usual])[:, None] + 2 * angle + 1e-9)
+                dots = unit(matrix(v[i] for i in usual)) @ centers.T
+                own = dots.argmax(axis=1)
+                home[usual] = own
+                near = dots.max(axis=1)[:, None] - dots <= half * apart[own] + 1e-9
                 for i, row in zip(usual, near):
-                    lists[i] = sorted({*np.flatnonzero(row).tolist(), cell[i]})
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(lists, pa.list_(pa.int32()))], ["rep", "label", "copies", "v", "home", "cells"])
+                    cells[i] = np.flatnonzero(row).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["rep", "label", "copies", "v", "home", "cells"])
 
-    visitors = homes.mapInArrow(visits, "rep long, label string, copies long, v binary, home int, cells array<int>").select("rep", "label", "copies", "v", "home", F.explode("cells").alias("cell"))
-    visitors = durable(visitors.withColumn("dim", F.length("v")))
+    visitors = reps.select("rep", "label", "copies", "v").mapInArrow(visits, "rep long, label string, copies long, v binary, home int, cells array<int>")
+    visitors = durable(visitors.select("*", F.explode("cells").alias("cell"), F.length("v").alias("dim")))
     # Blocks by a hash of the id: as many as a cell's rows ask for. The counts have one row for each label, length and cell.
     cell = ["label", "dim", "cell"]
     sizes = visitors.groupBy(*cell).agg((F.floor(F.sum((F.col("home") == F.col("cell")).cast("int")) / BLOCK) + 1).alias("hb"), (F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("vb"))
@@ -124,7 +110,7 @@ def groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("vb")).otherwise(F.col("hb")) - 1))
     both = placed.where("home = cell").withColumn("side", F.lit(0)).unionByName(placed.withColumn("side", F.lit(1)))
     both = both.withColumn("own", own).withColumn("other", other)
-    both = both.select(*cell, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("h"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("w"), "side", "rep", "copies", "v")
+    both = both.select(*cell, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("h"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("w"), "side", "rep", "copies", "v", "home", F.when(F.col("side") == 0, F.col("cells")).alias("cells"))
 
     def compare(pdf):
         import pandas as pd
@@ -138,16 +124,23 @@ def groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         other = ids_a[rows] != ids_b[cols]
         rows, cols = rows[other], cols[other]
         links = np.bincount(rows, weights=copies[cols], minlength=len(ids_a)).astype(np.int64)
+        # A visitor counts what it meets. A home that doesn't visit the visitor's own cell counts here too, as they meet once.
+        from_cell, cell = there.home.to_numpy(), int(pdf.cell.iloc[0])
+        calls = np.zeros((len(here), len(centers) + 1), bool)
+        for i, visited in enumerate(here.cells):
+            calls[i, visited] = True
+        once = (from_cell[rows] != cell) & ~calls[cols, from_cell[rows]]
+        back = np.bincount(cols[once], weights=there.copies.to_numpy()[rows[once]], minlength=len(ids_b)).astype(np.int64)
         place = {x: i for i, x in enumerate(dict.fromkeys([*ids_a.tolist(), *ids_b.tolist()]))}
         index = list(place)
         to_a, to_b = np.array([place[x] for x in ids_a.tolist()]), np.array([place[x] for x in ids_b.tolist()])
         edges = _forest(to_a[rows], to_b[cols], len(index))
-        some = np.flatnonzero(links)
+        some, met = np.flatnonzero(links), np.flatnonzero(back)
         return pd.DataFrame(
             {
-                "rep": np.concatenate([ids_a[some], np.array([index[x] for x, _ in edges], np.int64)]),
-                "links": np.concatenate([links[some], np.zeros(len(edges), np.int64)]),
-                "to": pd.array([None] * len(some) + [index[y] for _, y in edges], dtype="Int64"),
+                "rep": np.concatenate([ids_a[some], ids_b[met], np.array([index[x] for x, _ in edges], np.int64)]),
+                "links": np.concatenate([links[some], back[met], np.zeros(len(edges), np.int64)]),
+                "to": pd.array([None] * (len(some) + len(met)) + [index[y] for _, y in edges], dtype="Int64"),
             }
         )
 
