@@ -2,7 +2,7 @@
 
 Vectors are projected by Gaussian (2-stable) directions. A kd-tree over a bounded sample deals all vectors to regions of
 the projected space; each region, in blocks of bounded size, is indexed by its own kd-tree. A query takes projected
-neighbours in order of distance and verifies them on the original vectors. For a vector at distance s, the square of the
+neighbours one after the other, in order of distance, and verifies them on the original vectors. For a vector at distance s, the square of the
 projected distance over s squared is chi-square distributed, so the search stops once the next projected distance is so
 large that a vector nearer than the k-th one found would lie within it with the asked probability. A first round searches
 each query's own region; a second one the regions that the test leaves open.
@@ -19,9 +19,9 @@ from tallyhouse.llm.common import durable
 from tallyhouse.llm.vectors import as_bytes, matrix, sample
 
 #: Dimensions of the projection (even), and the chance with which a nearer vector is within the tested distance.
-M, SURE = 8, 0.995
-#: Vectors of a region on average, regions at most, vectors and queries of a block, points of a leaf.
-REGION, REGIONS, BLOCK, QUERIES, LEAF = 16384, 4096, 16384, 4096, 64
+M, SURE = 32, 0.95
+#: Vectors of a region on average, regions at most, vectors and queries of a block, points of a leaf and of a verification.
+REGION, REGIONS, BLOCK, QUERIES, LEAF, AT_ONCE = 16384, 4096, 16384, 4096, 64, 64
 
 
 def chi_square_cdf(x: float, m: int = M) -> float:
@@ -103,11 +103,12 @@ def gaps(nodes: list[tuple], p: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A kd-tree over the projections of a block's vectors, as boxes of its leaves."""
+    """A kd-tree over the projections of a block's vectors, as boxes of its leaves; verified: distances computed so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, project: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        p = vectors @ project
+        self.points = p = vectors @ project
+        self.verified = 0
         self.leaves: list[np.ndarray] = []
         todo = [np.arange(len(ids))]
         while todo:
@@ -122,25 +123,41 @@ class Block:
         self.high = np.array([p[r].max(axis=0) for r in self.leaves])
 
     def search(self, own: int, query: np.ndarray, at: np.ndarray, k: int, within: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest but own; within: the k-th distance known so far."""
+        """Ids and distances of the k nearest but own; within: the k-th distance known so far.
+
+        Leaves open in order of their boxes' distance. A point is verified once no closed leaf can hold a nearer one.
+        """
         away = np.maximum(np.maximum(self.low - at, at - self.high), 0)
-        gap = (away * away).sum(axis=1)
+        gap = np.nan_to_num((away * away).sum(axis=1), nan=0.0, posinf=math.inf)
         order = np.argsort(gap, kind="stable")
         ids, dist = np.zeros(0, np.int64), np.zeros(0)
+        rows, far = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, 4
-        while done < len(order):
+        while True:
+            frontier = gap[order[done]] if done < len(order) else math.inf
+            ready = far <= frontier
+            first = np.argsort(far[ready], kind="stable")
+            now, now_far = rows[ready][first], far[ready][first]
+            rows, far = rows[~ready], far[~ready]
+            for i in range(0, len(now), AT_ONCE):
+                kth = min(within, dist[k - 1] if len(dist) >= k else math.inf)
+                if now_far[i] > limit * kth * kth:
+                    break
+                some = now[i : i + AT_ONCE]
+                some = some[self.ids[some] != own]
+                diff = self.vectors[some] - query
+                self.verified += len(some)
+                ids, dist = np.concatenate([ids, self.ids[some]]), np.concatenate([dist, np.sqrt((diff * diff).sum(axis=1))])
+                best = np.lexsort((ids, dist))[:k]
+                ids, dist = ids[best], dist[best]
             kth = min(within, dist[k - 1] if len(dist) >= k else math.inf)
-            if gap[order[done]] > limit * kth * kth:
-                break
-            rows = np.concatenate([self.leaves[i] for i in order[done : done + step]])
-            diff = self.vectors[rows] - query
-            d = np.sqrt((diff * diff).sum(axis=1))
-            keep = self.ids[rows] != own
-            ids, dist = np.concatenate([ids, self.ids[rows][keep]]), np.concatenate([dist, d[keep]])
-            best = np.lexsort((ids, dist))[:k]
-            ids, dist = ids[best], dist[best]
+            if done >= len(order) or frontier > limit * kth * kth:
+                return ids, dist
+            opened = np.concatenate([self.leaves[i] for i in order[done : done + step]])
+            diff = self.points[opened] - at
+            near = np.nan_to_num((diff * diff).sum(axis=1), nan=0.0, posinf=math.inf)
+            rows, far = np.concatenate([rows, opened]), np.concatenate([far, near])
             done, step = done + step, step * 2
-        return ids, dist
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

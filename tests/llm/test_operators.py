@@ -152,6 +152,38 @@ def test_nearest(spark):
     assert nearest.search(df.where("false"), "vec_id % 10 = 0").count() == 0
 
 
+def test_nearest_verifies_a_part_and_finds_most():
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((200, 64))[rng.integers(0, 200, 6000)] + 0.5 * rng.standard_normal((6000, 64))
+    block = nearest.Block(np.arange(6000), m, nearest.directions(64))
+    limit, hits = nearest.chi_square_quantile(nearest.SURE), 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((m - m[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        ids, dist = block.search(q, m[q], m[q] @ nearest.directions(64), 10, np.inf, limit)
+        assert np.array_equal(dist, np.sort(dist)) and np.allclose(dist, d[ids])
+        hits += len({*ids.tolist()} & {*np.argsort(d)[:10].tolist()})
+    assert hits >= 0.9 * 600 and block.verified < 0.5 * 60 * 6000
+
+
+def test_embedding_dedup_loses_no_link_between_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 10)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((300, 6))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.8
+    np.fill_diagonal(linked, False)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(m)] + [(1000, (2 * m[5]).tolist(), 1), (1001, m[6].tolist(), 1)]
+    got = {r["vec_id"]: r for r in embedding_dedup.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.8).collect()}
+    more = lambda i, j: int(linked[i, j] or i == j)
+    assert {i: got[i]["n_links"] for i in range(300)} == {i: int(linked[i].sum()) + more(i, 5) + more(i, 6) for i in range(300)}
+    least = list(range(300))
+    for _ in range(300):
+        least = [min([least[i], *(least[j] for j in np.flatnonzero(linked[i]))]) for i in range(300)]
+    assert {i: got[i]["component_id"] for i in range(300)} == dict(enumerate(least))
+
+
 def test_embedding_dedup(spark):
     df, m = vectors(spark)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
