@@ -1,7 +1,8 @@
 """The registered queries of this subpackage.
 
-Two have SQL, as exact joins of all pairs, fit for small tables only: op4_minhash and op8_embedding_dedup. For the others,
-tokenizers, learned models and suffix arrays are beyond it; tests/llm holds them against a brute-force version instead.
+op4_minhash and op8_embedding_dedup have SQL as exact joins of all pairs, fit for small tables only, and op13_lexical as
+scores of all documents. For the others, tokenizers, learned models and suffix arrays are beyond it; tests/llm holds them
+against a brute-force version instead.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import bpe, embedding_dedup, html, minhash, nearest, packing, pii, suffix, token_counts, toxicity
+from tallyhouse.llm import bpe, embedding_dedup, html, lexical, minhash, nearest, packing, pii, suffix, token_counts, toxicity, whitening
 from tallyhouse.llm.common import table
 
 
@@ -54,7 +55,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_toxicity, op2_token_counts, op3_packing, op4_minhash, op5_nearest, op6_suffix_dedup, op7_pii, op8_embedding_dedup, op9_html, op10_bpe)
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = (op1_toxicity, op2_token_counts, op3_packing, op4_minhash, op5_nearest, op6_suffix_dedup, op7_pii, op8_embedding_dedup, op9_html, op10_bpe, op12_whitening, op13_lexical)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,6 +96,24 @@ component as (select a, min(b) component_id from reached group by a)
 select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept from embeddings join component on component.a = vec_id left join counts on counts.a = vec_id
 """
 
+#: Scores of all documents that share a term with an item.
+OP13_SQL = r"""
+with d as (
+    select row_number() over () k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents where text is not null
+), n as (select k, doc_id, len(t) n from d where len(t) > 0), s as (select count(*) docs, cast(sum(n) as bigint) total from n),
+i as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark
+), tf as (select k, term, count(*) tf from (select k, unnest(t) term from d) where term in (select term from i) group by k, term),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) w from (select term, count(*) df from tf group by term), s),
+scores as (
+    select item_id, k, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) as bigint) score
+    from i join tf using (term) join w using (term) join n using (k), s group by item_id, k, doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+    select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scores where score > 0
+) where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": OP4_SQL, "op8_embedding_dedup": OP8_SQL}
+    return {"op4_minhash": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op13_lexical": OP13_SQL}
