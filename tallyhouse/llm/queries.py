@@ -7,12 +7,13 @@ against a brute-force version instead.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import bpe, embedding_dedup, html, lexical, minhash, nearest, packing, pii, suffix, token_counts, toxicity, whitening
-from tallyhouse.llm.common import table
+from tallyhouse.llm import bpe, embedding_dedup, html, lexical, minhash, nearest, packing, pii, suffix, token_counts, token_ids, toxicity, whitening
+from tallyhouse.llm.common import shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token_ids-{uuid.uuid4().hex}"
+    token_ids.write(table(spark, sf_dir, "documents"), folder)
+    return token_ids.digest(spark, folder)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
 
@@ -63,7 +70,7 @@ def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = (op1_toxicity, op2_token_counts, op3_packing, op4_minhash, op5_nearest, op6_suffix_dedup, op7_pii, op8_embedding_dedup, op9_html, op10_bpe, op12_whitening, op13_lexical)
+QUERIES = (op1_toxicity, op2_token_counts, op3_packing, op4_minhash, op5_nearest, op6_suffix_dedup, op7_pii, op8_embedding_dedup, op9_html, op10_bpe, op11_token_ids, op12_whitening, op13_lexical)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
