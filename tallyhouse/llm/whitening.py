@@ -16,6 +16,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.llm.common import Store
+
 #: The higher precision: 64 bits of mantissa on x86.
 WIDE = np.longdouble
 #: Steps of refinement at most; each doubles the right digits of float32's seven.
@@ -137,12 +139,14 @@ def refined(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for step in range(STEPS):
         r = one - x.T @ x
         s = x.T @ (a @ x)
+        r, s = (r + r.T) / 2, (s + s.T) / 2
         values = np.diagonal(s) / (1 - np.diagonal(r))
         off = s - np.diag(np.diagonal(s))
         near = 2 * (np.linalg.norm(off.astype(np.float64)) + np.linalg.norm(r.astype(np.float64)))
         gap = values[None, :] - values[:, None]
         apart = np.abs(gap) > near
         e = np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
+        e = np.triu(e) + np.triu(r - e, 1).T  # e + e^T = r, whatever was rounded where a gap is small
         x = x + x @ e
         order = np.argsort(-values, kind="stable")
         x, values = x[:, order], values[order]
@@ -159,6 +163,7 @@ def refined(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if change <= 4 * d * eps or change >= last and step > 5:
             break
         last = change
+    x = x + x @ ((one - x.T @ x) / 2)
     x = x / np.sqrt((x * x).sum(axis=0))
     values = np.array([v @ (a @ v) for v in x.T], WIDE)
     order = np.argsort(-values, kind="stable")
@@ -194,8 +199,8 @@ class Whitener:
 
 
 def fit(x: DataFrame, d: int, components: int = 4) -> Whitener:
-    """The whitener of (x), each distinct vector once. Components whose eigenvalue is 0 to double precision are left out."""
-    n, total, v = covariance(x.select("x").distinct(), d)
+    """The whitener of the distinct vectors (x). Components whose eigenvalue is 0 to double precision are left out."""
+    n, total, v = covariance(x, d)
     values, vectors = refined(v)
     trace = np.trace(v)
     k = int((values[:components] > d * np.finfo(np.float64).eps * max(values.max(initial=0), 0)).sum()) if n else 0
@@ -220,7 +225,7 @@ SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")][:-1]
 
 
 def identity_error(x: DataFrame, w: Whitener) -> float:
-    """Largest absolute entry of the covariance of whitened distinct vectors minus the identity, from the doubles that apply() gives."""
+    """Largest absolute entry of the covariance of the distinct vectors (x), whitened, minus the identity, from the doubles that apply() gives."""
     k = len(w.roots)
     if k == 0:
         return 0.0
@@ -232,7 +237,7 @@ def identity_error(x: DataFrame, w: Whitener) -> float:
             white = w.rows([0] * b.num_rows, _matrix(b.column(0)))[4].to_numpy().reshape(-1, k)
             yield pa.RecordBatch.from_arrays([pa.array(white[:, i]) for i in range(k)], [f"c{i}" for i in range(k)])
 
-    white = x.select("x").distinct().mapInArrow(run, ", ".join(f"c{i} double" for i in range(k)))
+    white = x.mapInArrow(run, ", ".join(f"c{i} double" for i in range(k)))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     got = white.agg(*[F.covar_pop(f"c{i}", f"c{j}").alias(f"{i}_{j}") for i, j in pairs]).first()
     return max(abs(got[f"{i}_{j}"] - (i == j)) for i, j in pairs)
@@ -243,18 +248,20 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     Null, empty, and partly null or non-finite vectors have no rows. Repeated rows all have rows, and count once in the
     fit; ids may be shared or null; other columns do no harm. Vectors of different lengths are whitened apart, each
-    length by its own fit, of which n and identity_error then speak. Fewer than `components` rows come where a length
+    length by its own fit (the distinct vectors are written once, and dropped when they were read), of which n and identity_error then speak. Fewer than `components` rows come where a length
     has fewer dimensions or variance in fewer directions; a single distinct vector has none. A deviation beyond 64 bits
     is null. Signs: the entry of greatest size in a component's vector is positive.
     """
     x = whole(vectors, id_col, vector_col)
     lengths = sorted(r["d"] for r in x.select(F.size("x").alias("d")).distinct().collect())  # dimensions of the models in use
-    found = []
+    found, store = [], Store(vectors.sparkSession, "whitening")
     for d in lengths:
         rows = x.where(F.size("x") == d)
-        w = fit(rows, d, components)
+        distinct = store.put(rows.select("x").distinct())
+        w = fit(distinct, d, components)
         if len(w.roots):
             top = np.abs(w.vectors).argmax(axis=0)
             w.vectors = w.vectors * np.sign(w.vectors[top, np.arange(len(w.roots))])
-            found.append(apply(rows, w).withColumn("identity_error", F.lit(identity_error(rows, w)).cast("double")))
+            found.append(apply(rows, w).withColumn("identity_error", F.lit(identity_error(distinct, w)).cast("double")))
+    store.drop_all_but()
     return reduce(DataFrame.unionByName, found) if found else x.sparkSession.createDataFrame([], SCHEMA)
