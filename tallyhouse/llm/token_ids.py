@@ -79,15 +79,21 @@ def _files(folder: str):
 def train(docs: DataFrame, path: str | None = None) -> bytes:
     """A dictionary for documents like these; empty, for none, where there is too little to learn from."""
     path = path or tokenizer_path("byte_bpe_50k.json")
-    # An id is at least a byte, so PIECE ids lie within so many characters.
-    some = ids_and_texts(docs).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4 * PIECE).alias("text"))
-    texts = [r["text"] for r in some.where("text <> ''").orderBy("h", "text").limit(SAMPLE).collect()]
+    # An id is at least a byte, so PIECE ids lie within so many characters. Hashes alone are ranked, so that tasks send
+    # the driver no texts but those chosen.
+    some = ids_and_texts(docs).where("text <> ''").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4 * PIECE).alias("text"))
+    least = [r["h"] for r in some.select("h").orderBy("h").limit(SAMPLE).collect()]
+    if not least:
+        return b""
+    chosen = some.where(F.col("h") <= least[-1]).limit(SAMPLE).agg(F.collect_list(F.struct("h", "text")).alias("rows")).first()["rows"]
+    texts = [r["text"] for r in sorted(chosen)]
     encode = encoder(path)
     samples = [encode(t)[: 4 * PIECE] for t in texts]
-    if sum(map(len, samples)) < 8 * DICTIONARY:
+    size = min(DICTIONARY, sum(map(len, samples)) // 8)
+    if size < 1024:
         return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # texts that are all alike
         return b""
 
