@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from tallyhouse.config import QueryConfig
 from tallyhouse.functions import columns as C
-from tallyhouse.operators import aggregate as A, filters as L, quality as V, ranking as R, results as S
+from tallyhouse.operators import aggregate as A, filters as L, quality as V, ranking as R, results as S, rollup as U
 from tallyhouse.operators.dimensions import Dimension, lookup
+from tallyhouse.operators.kept import KeptDimension
 from tallyhouse.plans import adapters as D, questions as Q
+from tallyhouse.sinks.result_files import read_lines
 from tallyhouse.sources import ingest as I
-from tallyhouse.streaming import jobs as J
+from tallyhouse.streaming import jobs as J, keyed as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -296,20 +300,21 @@ def stream_dedup(s, d):
     return s.read.parquet(f"{folder}/out").select("event_id")
 
 
-@query(f"with {TB}, {FB}, {CNT} {_best('row_number')}".replace("select * from (select *", "select store_id, user_id, purchases_qty from (select *"))
+@query(f"with {TB}, {FB}, {CNT} {_best('row_number')}".replace("select * from (select *", "select store_id, user_id, purchases_qty, cast(r as integer) as rank from (select *"))
 def stream_top_clients(s, d):
+    """Ranking kept over changed counts, as it is in the end."""
     folder = J.fresh_folder(s, "clients")
-    rank = lambda batch: R.top_n(batch.where("user_id > 0"), ["store_id"], "purchases_qty", 3, then=["user_id"])
-    J.run_available(J.running_purchase_counts(_events(_stream(s, d, "events")), D.EVENTS), folder, "complete", rank)
-    rows = s.read.parquet(f"{folder}/out")
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").select("store_id", "user_id", "purchases_qty")
+    counts = J.running_purchase_counts(_events(_stream(s, d, "events")), D.EVENTS).where("user_id > 0")
+    J.run_ranking(counts, folder, ["store_id"], "user_id", "purchases_qty", 3)
+    return J.kept_ranking(s, folder)
 
 
 def _messages(s, d):
-    """Events as messages of 5 clients, each sent again with another amount."""
+    """Events as messages of 5 clients, each sent again with another amount; every 25th has an empty id or none."""
+    name = F.when(F.pmod("event_id", F.lit(50)) == 0, F.lit(None)).when(F.pmod("event_id", F.lit(25)) == 0, "").otherwise(F.concat(F.lit("m"), F.col("event_id").cast("string")))
     e = _stream(s, d, "events").select("event_id", "value", F.pmod("event_id", F.lit(5)).cast("string").alias("client_id"))
-    data = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.floor("value").cast("double").alias("amount"), (F.col("event_id") * 10).cast("bigint").alias("seq"))
-    again = F.struct(F.lit("data").alias("kind"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uuid"), F.lit(1e6).alias("amount"), (F.col("event_id") * 10 + 1).cast("bigint").alias("seq"))
+    data = F.struct(F.lit("data").alias("kind"), name.alias("message_uuid"), F.floor("value").cast("double").alias("amount"), (F.col("event_id") * 10).cast("bigint").alias("seq"))
+    again = F.struct(F.lit("data").alias("kind"), name.alias("message_uuid"), F.lit(1e6).alias("amount"), (F.col("event_id") * 10 + 1).cast("bigint").alias("seq"))
     return e.select("client_id", F.explode(F.array(data, again)).alias("r")).select("client_id", "r.*")
 
 
@@ -335,12 +340,12 @@ def _completed(s, d, reset: bool):
     return s.read.parquet(f"{folder}/out").select("client_id", "amount", "n_rows")
 
 
-@query("select cast(event_id % 5 as varchar) client_id, sum(floor(value)) amount, count(*) n_rows from events group by all")
+@query("select cast(event_id % 5 as varchar) client_id, sum(floor(value)) + 1000000 * count(case when event_id % 25 = 0 then 1 end) amount, count(*) + count(case when event_id % 25 = 0 then 1 end) n_rows from events group by all")
 def stream_barrier(s, d):
     return _completed(s, d, False)
 
 
-@query("select cast(event_id % 5 as varchar) client_id, sum(floor(value)) amount, count(*) n_rows from events where event_id * 10 > 3005 group by all")
+@query("select cast(event_id % 5 as varchar) client_id, sum(floor(value)) + 1000000 * count(case when event_id % 25 = 0 then 1 end) amount, count(*) + count(case when event_id % 25 = 0 then 1 end) n_rows from events where event_id * 10 > 3005 group by all")
 def stream_reset(s, d):
     return _completed(s, d, True)
 
@@ -432,19 +437,6 @@ def stream_enriched(s, d):
     return s.read.parquet(f"{folder}/out").select("transaction_id", "store_id", "store_name")
 
 
-@query(f"""with c as (select distinct store_id % 3 k from ({Q1_SQL}) union select distinct store_id % 3 from ({Q3_SQL})),
-h as (select * from (values ('amount_filter_transactions.txt', 5), ('top_items_by_quantity.txt', 4), ('top_items_by_profit.txt', 4), ('tpv_summary.txt', 5), ('top_clients_birthdays.txt', 4)) t(file, n))
-select 'c' || k client_id, file, cast(0 as integer) block, cast(n as bigint) n from c cross join h
-union all select 'c' || (store_id % 3), 'amount_filter_transactions.txt', 1, count(*) from ({Q1_SQL}) group by store_id % 3
-union all select 'c' || (store_id % 3), 'tpv_summary.txt', 1, count(*) from ({Q3_SQL}) group by store_id % 3""")
-def snk_files(s, d):
-    """Result files of three clients, written and read back: how many lines each block has."""
-    folder = J.fresh_folder(s, "results")
-    of = lambda df: df.withColumn("client_id", F.concat(F.lit("c"), F.pmod("store_id", F.lit(3)).cast("string")))
-    S.write_results({S.AMOUNT: S.lines_amount(of(q1_amount_filter(s, d))), S.TPV: S.lines_tpv(of(q3_tpv(s, d)))}, folder)
-    return s.read.text(folder).groupBy("client_id", "file", "block").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"select 'c' || (store_id % 3) client_id, transaction_id, final_amount from ({Q1_SQL})")
 def snk_envelope_q1(s, d):
     """Q1 in envelopes of at most 100 rows for three clients, read back."""
@@ -484,15 +476,284 @@ def val_report_all(s, d):
     return V.full_report(actual, {"Q1": q1, "Q2a": q2a, "Q2b": q2b, "Q3": q3, "Q4": q4_ties_rank(s, d)})
 
 
-@query("select cast(event_id % 5 as varchar) client_id, event_id transaction_id, value final_amount from events")
+@query("select cast(event_id % 5 as varchar) client_id, case when event_id % 100 > 0 then event_id end transaction_id, value final_amount from events union all select cast(event_id % 5 as varchar), null, value from events where event_id % 100 = 0")
 def stream_delivery(s, d):
-    """Events as Q1 rows of 5 clients, each sent twice and delivered once."""
+    """Events as Q1 rows of 5 clients, each sent twice and delivered once; rows without an id are no repeats."""
     folder = J.fresh_folder(s, "delivery")
-    rows = _stream(s, d, "events").select(F.pmod("event_id", F.lit(5)).cast("string").alias("client_id"), F.col("event_id").alias("transaction_id"), F.col("value").alias("final_amount"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    name = F.when(F.pmod("event_id", F.lit(100)) > 0, F.col("event_id"))
+    rows = _stream(s, d, "events").select(F.pmod("event_id", F.lit(5)).cast("string").alias("client_id"), name.alias("transaction_id"), F.col("value").alias("final_amount"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     J.deliver(rows.drop("copy"), folder, ["transaction_id"])
     return J.delivered(s, folder).select(F.col("client_id").cast("string").alias("client_id"), "transaction_id", "final_amount")
 
 
+#: Lines around the rows of result files, spelled out: file, block, place, whether they need rows (null: no matter).
+AROUND = """a(file, block, place, wants, line) as (values
+('amount_filter_transactions.txt', -1, 0, null::boolean, repeat('=', 60)), ('amount_filter_transactions.txt', -1, 1, null, 'Transacciones (Id y monto) realizadas durante 2024 y 2025'),
+('amount_filter_transactions.txt', -1, 2, null, 'entre las 06:00 AM y las 11:00 PM con monto total >= $75'), ('amount_filter_transactions.txt', -1, 3, null, repeat('=', 60)), ('amount_filter_transactions.txt', -1, 4, null, ''),
+('top_items_by_quantity.txt', -1, 0, null, repeat('=', 60)), ('top_items_by_quantity.txt', -1, 1, null, 'TOP ÍTEMS POR CANTIDAD (2024-2025, 06:00-23:00)'), ('top_items_by_quantity.txt', -1, 2, null, repeat('=', 60)), ('top_items_by_quantity.txt', -1, 3, null, ''),
+('top_items_by_quantity.txt', 0, 0, true, 'year_month_created_at - item_name - sellings_qty'), ('top_items_by_quantity.txt', 0, 0, false, 'Sin registros que cumplan las condiciones.'), ('top_items_by_quantity.txt', 2, 0, null, repeat('-', 50)),
+('top_items_by_profit.txt', -1, 0, null, repeat('=', 60)), ('top_items_by_profit.txt', -1, 1, null, 'TOP ÍTEMS POR GANANCIA (2024-2025, 06:00-23:00)'), ('top_items_by_profit.txt', -1, 2, null, repeat('=', 60)), ('top_items_by_profit.txt', -1, 3, null, ''),
+('top_items_by_profit.txt', 0, 0, true, 'year_month_created_at - item_name - profit_sum'), ('top_items_by_profit.txt', 0, 0, false, 'Sin registros que cumplan las condiciones.'), ('top_items_by_profit.txt', 2, 0, null, repeat('-', 50)),
+('tpv_summary.txt', -1, 0, null, repeat('=', 60)), ('tpv_summary.txt', -1, 1, null, 'RESUMEN TPV POR SEMESTRE Y SUCURSAL (2024-2025)'), ('tpv_summary.txt', -1, 2, null, 'Transacciones entre las 06:00 y las 23:00'), ('tpv_summary.txt', -1, 3, null, repeat('=', 60)), ('tpv_summary.txt', -1, 4, null, ''),
+('tpv_summary.txt', 0, 0, false, 'Sin registros que cumplan las condiciones para calcular TPV.'), ('tpv_summary.txt', 2, 0, null, repeat('-', 50)),
+('top_clients_birthdays.txt', -1, 0, null, repeat('=', 60)), ('top_clients_birthdays.txt', -1, 1, null, 'Cumpleaños de los clientes con más compras por sucursal (2024-2025)'), ('top_clients_birthdays.txt', -1, 2, null, repeat('=', 60)), ('top_clients_birthdays.txt', -1, 3, null, ''),
+('top_clients_birthdays.txt', 0, 0, null, 'TOP CLIENTES POR SUCURSAL (2024-2025)'), ('top_clients_birthdays.txt', 0, 1, true, 'store_name - birthdate'), ('top_clients_birthdays.txt', 0, 1, false, 'Sin registros que cumplan las condiciones.'), ('top_clients_birthdays.txt', 2, 0, null, repeat('-', 50)))"""
+CENTS = "cast(cast(round(cast({} as decimal(18,6)), 2) as decimal(18,2)) as varchar)"
+
+
+@query(f"""with {AROUND}, q4 as (select 'c' || (store_id % 3) client_id, store_name, birthdate from (with {TB}, {FB}, {CNT} {_clients(_best('rank', tie=''))})),
+b as (
+    select 'c' || (store_id % 3) client_id, 'amount_filter_transactions.txt' file, row_number() over (order by transaction_id) place, transaction_id || ' - ' || {CENTS.format('final_amount')} line from ({Q1_SQL})
+    union all select 'c' || (item_id % 2), 'top_items_by_quantity.txt', row_number() over (order by year_month_created_at, sellings_qty desc, item_id), year_month_created_at || ' - ' || item_name || ' - ' || sellings_qty from ({_items('sellings_qty', 3)})
+    union all select 'c' || (item_id % 2), 'top_items_by_profit.txt', row_number() over (order by year_month_created_at, profit_sum desc, item_id), year_month_created_at || ' - ' || item_name || ' - ' || {CENTS.format('profit_sum')} from ({_items('profit_sum', 3)})
+    union all select 'c' || (store_id % 3), 'tpv_summary.txt', row_number() over (order by year_half_created_at, store_name, store_id), 'Sucursal ' || store_id || ' ' || year_half_created_at || ' ' || store_name || ': $' || {CENTS.format('tpv')} from ({Q3_SQL})
+    union all select client_id, 'top_clients_birthdays.txt', row_number() over (order by store_name, birthdate), store_name || ' - ' || birthdate from (select *, row_number() over (partition by client_id, store_name order by birthdate) r from q4) where r <= 3
+), c as (select distinct client_id from b), h as (select distinct client_id, file, true there from b),
+l as (
+    select client_id, file, 1 block, place, line from b
+    union all select c.client_id, a.file, block, place, line from c cross join a left join h on h.client_id = c.client_id and h.file = a.file where wants is null or wants = (there is not null)
+) select client_id, file, row_number() over (partition by client_id, file order by block, place) n, line from l""")
+def snk_files(s, d):
+    """All five result files of three clients, written in order and read back line by line; one has no best items."""
+    folder = J.fresh_folder(s, "results")
+    of = lambda df, column, k: df.withColumn("client_id", F.concat(F.lit("c"), F.pmod(column, F.lit(k)).cast("string")))
+    three = replace(D.ORDERS, top_items=3)
+    S.write_results({
+        S.AMOUNT: of(q1_amount_filter(s, d), "store_id", 3), S.TPV: of(q3_tpv(s, d), "store_id", 3), S.CLIENTS: of(q4_ties_rank(s, d), "store_id", 3),
+        S.BY_QUANTITY: of(Q.top_items(D.items(s, d), D.menu(s, d), "sellings_qty", three), "item_id", 2), S.BY_PROFIT: of(Q.top_items(D.items(s, d), D.menu(s, d), "profit_sum", three), "item_id", 2),
+    }, folder)
+    return read_lines(s, folder)
+
+
+@query(f"select year_month_created_at || ' - ' || item_name || ' - ' || {CENTS.format('profit_sum')} line from ({_items('profit_sum')})")
+def snk_lines_q2_profit(s, d):
+    return S.lines_items(q2_top_profit(s, d), "profit_sum")
+
+
+def _item_text(s, d):
+    """Items as one JSON message for each order, of which three in forty can't be read, and some rows of others."""
+    item = F.struct(F.col("transaction_id").cast("string").alias("transaction_id"), F.when(F.pmod("item_id", F.lit(40)) == 7, "no number").otherwise(F.col("item_id").cast("string")).alias("item_id"), F.col("quantity").cast("string").alias("quantity"), F.lit("1.0").alias("unit_price"), F.col("subtotal").cast("string").alias("subtotal"))
+    sent = D.items(s, d).groupBy("transaction_id").agg(F.collect_list(item).alias("data"))
+    value = F.to_json(F.struct(F.lit("c1").alias("client_id"), F.col("transaction_id").cast("string").alias("message_uuid"), "data"))
+    at = lambda k: F.pmod("transaction_id", F.lit(40)) == k
+    return sent.select(F.when(at(3), F.concat(F.lit("{"), value)).when(at(5), "").when(at(9), F.regexp_replace(value, '"data":', '"rows":')).otherwise(value).alias("value"))
+
+
+def _messages_in_two_runs(s, d):
+    """Messages as text files, read as a stream that stops after the first half and goes on where it stopped."""
+    folder = J.fresh_folder(s, "messages")
+    text = _item_text(s, d).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+    stream = lambda: J.file_stream(s, f"{folder}/in", "value string", "text", files=2)
+    for half in (0, 1):
+        text.where(F.col("half") == half).select("value").repartition(3).write.mode("append").text(f"{folder}/in")
+        J.run_messages(stream(), folder, "transaction_items")
+    return folder
+
+
+MESSAGES = f"with {IT} select *, transaction_id % 40 kind from it"
+
+
+@query(f"select cast(transaction_id as varchar) transaction_id, cast(item_id as integer) item_id, cast(quantity as integer) quantity, subtotal, 'c1' client_id, cast(transaction_id as varchar) message_uuid from ({MESSAGES}) where kind not in (3, 5, 9) and item_id % 40 <> 7")
+def stream_messages(s, d):
+    """What a stream of messages gives, over a restart."""
+    return s.read.parquet(f"{_messages_in_two_runs(s, d)}/rows").select("transaction_id", "item_id", "quantity", "subtotal", "client_id", "message_uuid")
+
+
+@query(f"""select null::varchar client_id, null::varchar message_uuid, case kind when 3 then 'not JSON' else 'empty text' end reason, 1 n from (select distinct transaction_id, kind from ({MESSAGES})) where kind in (3, 5)
+union all select distinct 'c1', cast(transaction_id as varchar), 'no rows', 1 from ({MESSAGES}) where kind = 9
+union all select 'c1', cast(transaction_id as varchar), 'item_id: not a int', count(*) from ({MESSAGES}) where kind not in (3, 5, 9) and item_id % 40 = 7 group by transaction_id""")
+def stream_dead_letters(s, d):
+    """What a stream of messages could not read, and why, over a restart: messages, and rows of good ones."""
+    dead = s.read.parquet(f"{_messages_in_two_runs(s, d)}/dead")
+    dead = dead.withColumn("one", F.when(F.col("client_id").isNull(), F.monotonically_increasing_id()))  # unread messages have nothing that tells them apart
+    known = F.when(F.col("reason") != "not JSON", F.struct("client_id", "message_uuid"))
+    return dead.groupBy(known["client_id"].alias("client_id"), known["message_uuid"].alias("message_uuid"), "reason", "one").agg(F.count(F.lit(1)).cast("int").alias("n")).drop("one")
+
+
+@query(f"with {IT}, {TOT} select * from tot")
+def agg_incremental(s, d):
+    """Totals refreshed over two deliveries: files by year, of which the second replaces two."""
+    folder = J.fresh_folder(s, "rollup")
+    rows = D.items(s, d).withColumn("y", F.year("created_at"))
+
+    def deliver(df):
+        df.repartition("y").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("y").parquet(f"{folder}/source")
+        U.refresh(s, f"{folder}/source", f"{folder}/kept", partial)
+
+    def partial(df):
+        df = df.where(L.year_in("created_at", D.ORDERS.years))
+        return df.groupBy("file", C.year_month("created_at").alias("year_month_created_at"), "item_id").agg(F.sum("quantity").alias("sellings_qty"), A.money_sum("subtotal").alias("profit_sum"))
+
+    deliver(rows.withColumn("quantity", F.when(F.col("y").isin(1996, 1997), F.col("quantity") * 3).otherwise(F.col("quantity"))))
+    deliver(rows.where("y in (1996, 1997)"))
+    sums = U.totals(s, f"{folder}/kept", ["year_month_created_at", "item_id"], ["sellings_qty", "profit_sum"])
+    return sums.withColumn("profit_sum", F.col("profit_sum").cast("double"))
+
+
+def _named_twice(s, d):
+    """Stores with their old names, and all but one with new ones."""
+    nation = D.table(s, d, "nation").select(F.lit("c").alias("client_id"), F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    return nation.select("client_id", "key", F.concat(F.lit("old "), "n_name").alias("name"), F.lit(1).cast("long").alias("seq")), nation.select("client_id", "key", F.col("n_name").alias("name"), F.lit(2).cast("long").alias("seq")).where("key <> '7'")
+
+
+@query(f"with {TB} select transaction_id, store_id, case store_id when 7 then 'old NATION_7' else coalesce(n_name, 'Unknown Store') end store_name from tb left join nation on store_id = n_nationkey")
+def stream_named(s, d):
+    """Events before, between and after the files of their stores, which wait until the stores' end was said."""
+    folder = J.fresh_folder(s, "named")
+    old, new = _named_twice(s, d)
+    events = D.event_transactions(s, d).select(F.lit("c").alias("client_id"), "transaction_id", "store_id")
+    ends = s.range(1).select(F.lit("c").alias("client_id"))
+    third = lambda k: events.where(F.pmod("transaction_id", F.lit(3)) == k)
+    for name, df in (("facts", events), ("stores", old), ("ends", ends)):
+        df.where("false").write.parquet(f"{folder}/{name}")
+
+    def run():
+        read = lambda name, df: J.file_stream(s, f"{folder}/{name}", df.schema)
+        J.run_available(K.named(read("facts", events), read("stores", old), read("ends", ends), "store_id", "store_name", "Unknown Store"), folder)
+
+    for k, parts in enumerate(([("facts", third(0)), ("stores", old)], [("facts", third(1)), ("stores", new)], [("ends", ends)], [("facts", third(2))])):
+        for name, df in parts:
+            df.write.mode("append").parquet(f"{folder}/{name}")
+        run()
+    return s.read.parquet(f"{folder}/out").select("transaction_id", "store_id", "store_name")
+
+
+@query(f"with {TB} select transaction_id, cast(store_id as varchar) client_id from tb where store_id % 3 = 0")
+def stream_gate(s, d):
+    """Rows of clients whose stores and users both came to their end, held until then."""
+    folder = J.fresh_folder(s, "gate")
+    rows = _events(_stream(s, d, "events")).select("transaction_id", F.col("store_id").cast("string").alias("client_id"))
+    clients = D.event_transactions(s, d).select("store_id").distinct()
+    came = F.when(F.pmod("store_id", F.lit(3)) == 0, F.array(F.lit("stores"), F.lit("users"))).otherwise(F.array(F.lit("stores"), F.lit("stores")))
+    ends = clients.select(F.col("store_id").cast("string").alias("client_id"), F.explode(came).alias("input"))
+    ends.where("input = 'stores'").write.parquet(f"{folder}/ends")
+    run = lambda: J.run_available(K.gated(rows, J.file_stream(s, f"{folder}/ends", ends.schema), ["stores", "users"], parts=8), folder)
+    run()
+    ends.where("input = 'users'").write.mode("append").parquet(f"{folder}/ends")
+    run()
+    return s.read.parquet(f"{folder}/out").select("transaction_id", "client_id")
+
+
+@query(f"with {TA} select transaction_id, store_id, case when store_id % 2 = 0 then 'new ' else '' end || n_name store_name from ta left join nation on store_id = n_nationkey")
+def join_kept(s, d):
+    """Stores kept as a bucketed table, of which a second delivery renames half."""
+    kept = KeptDimension(s, f"stores_{uuid.uuid4().hex}", J.fresh_folder(s, "kept"))
+    nation = D.table(s, d, "nation")
+    kept.deliver(nation, "n_nationkey", "n_name", F.lit(1))
+    kept.deliver(nation.where("n_nationkey % 2 = 0").withColumn("n_name", F.concat(F.lit("new "), "n_name")), "n_nationkey", "n_name", F.lit(2))
+    return kept.lookup(D.order_transactions(s, d).select("transaction_id", "store_id"), "store_id", "store_name", "Unknown Store")
+
+
+@query(f"with {TB} select transaction_id, store_id, final_amount from tb")
+def stream_admission(s, d):
+    """Events from many files, admitted by size, of which files done go to an archive; two runs."""
+    folder = J.fresh_folder(s, "admission")
+    events = D.event_transactions(s, d).select("transaction_id", "store_id", "final_amount")
+    for k in (0, 1):
+        events.where(F.pmod("transaction_id", F.lit(2)) == k).repartition(6).write.mode("append").parquet(f"{folder}/in")
+        stream = J.file_stream(s, f"{folder}/in", events.schema, size=100_000, archive=f"{folder}/done")
+        J.run_available(stream, folder)
+    return s.read.parquet(f"{folder}/out").select("transaction_id", "store_id", "final_amount")
+
+
+def _written(s, df, entity):
+    """df as CSV files of an entity, in a new folder; blanks stay."""
+    folder = J.fresh_folder(s, "csv")
+    df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{entity}")
+    return folder
+
+
+def _user_text(s, d):
+    born = F.date_add(F.lit("1960-01-01").cast("date"), F.pmod(F.col("c_custkey") * 13, F.lit(16000)).cast("int")).cast("string")
+    key, at = F.col("c_custkey"), lambda k: F.pmod("c_custkey", F.lit(20)) == k
+    return D.table(s, d, "customer").select(
+        F.when(at(3), F.concat(F.lit("u"), key.cast("string"))).when(at(4), F.concat(key.cast("string"), F.lit(".0"))).otherwise(F.concat(F.lit(" "), key.cast("string"))).alias("user_id"), F.lit("f ").alias("gender"),
+        F.when(at(5), "1960-13-40").otherwise(born).alias("birthdate"), F.when(at(6), "long ago").otherwise("2023-07-01 08:00:00").alias("registered_at"),
+    )
+
+
+@query(f"select c_custkey user_id, 'f' gender, case when c_custkey % 20 <> 5 then cast({BORN} as date) end birthdate, case when c_custkey % 20 <> 6 then timestamp '2023-07-01 08:00:00' end registered_at from customer where c_custkey % 20 <> 3")
+def src_users(s, d):
+    """Customers as CSV, read back typed: ids with a fraction of 0 are read, dates that are none are null, ids that are no number are rejects."""
+    return I.typed(I.read_csv(s, _written(s, _user_text(s, d), "users"), "users"), "users")[0]
+
+
+@query("select cast(n_nationkey as integer) store_id, n_name store_name from nation")
+def src_stores(s, d):
+    """Stores as CSV with columns that are not taken, read back typed."""
+    text = D.table(s, d, "nation").select(F.concat(F.lit(" "), F.col("n_nationkey").cast("string")).alias(" store_id"), F.concat("n_name", F.lit(" ")).alias("store_name "), F.lit("a street, 1").alias("street"), F.col("n_regionkey").alias("city"))
+    return I.typed(I.read_csv(s, _written(s, text, "stores"), "stores"), "stores")[0].select("store_id", "store_name")
+
+
+@query("select cast(p_partkey as integer) item_id, p_name item_name, p_type category, case when p_partkey % 10 = 0 then 0.0 else cast(cast(p_retailprice as decimal(18,6)) as double) end price, 'True' is_seasonal, '2024-01-01' available_from, null::varchar available_to from part where p_partkey % 10 <> 1")
+def src_menu(s, d):
+    """Items as CSV, read back typed: an empty price is 0, one that is no number makes a reject."""
+    at = lambda k: F.pmod("p_partkey", F.lit(10)) == k
+    text = D.table(s, d, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), F.col("p_type").alias("category"), F.when(at(0), "").when(at(1), "free").otherwise(F.col("p_retailprice").cast("string")).alias("price"),
+        F.lit("True").alias("is_seasonal"), F.lit("2024-01-01").alias("available_from"), F.lit(None).cast("string").alias("available_to"),
+    )
+    return I.typed(I.read_csv(s, _written(s, text, "menu_items"), "menu_items"), "menu_items")[0]
+
+
+REJECTS = "from orders where o_orderkey % 30 in (1, 2, 3)"
+
+
+@query(f"""select cast(o_orderkey as varchar) transaction_id, case o_orderkey % 30 when 1 then 'store_id: not a int' when 2 then 'final_amount: not a double' else 'store_id: not a int; user_id: not a bigint; final_amount: not a double' end failed {REJECTS}
+union all select 'all', count(*) || ' rows, ' || count(case when o_orderkey % 30 in (1, 3) then 1 end) || ' stores, ' || count(case when o_orderkey % 30 in (2, 3) then 1 end) || ' amounts' from orders""")
+def src_rejects(s, d):
+    """Rejected transactions with the rules that they fail, and the counts of two rules, observed as the rows pass by."""
+    at = lambda *k: F.pmod("o_orderkey", F.lit(30)).isin(*k)
+    text = D.table(s, d, "orders").select(
+        F.col("o_orderkey").alias("transaction_id"), F.when(at(1, 3), "-4").otherwise("4").alias("store_id"), F.lit("1").alias("payment_method_id"), F.lit("").alias("voucher_id"), F.when(at(3), "someone").otherwise("7").alias("user_id"),
+        F.lit("").alias("original_amount"), F.lit("").alias("discount_applied"), F.when(at(2, 3), "12,5").otherwise("12.5").alias("final_amount"), F.lit("2024-01-01 10:00:00").alias("created_at"),
+    )
+    seen = Observation()
+    rows = I.judged(I.read_csv(s, _written(s, text, "transactions"), "transactions"), "transactions", seen)
+    folder = J.fresh_folder(s, "rejects")
+    rows.select(F.col("transaction_id"), F.array_join("_failed", "; ").alias("failed")).write.parquet(folder)
+    counts = I.failures(seen, "transactions")
+    said = f"{counts['rows']} rows, {counts['store_id: not a int']} stores, {counts['final_amount: not a double']} amounts"
+    return s.read.parquet(folder).where("failed <> ''").unionByName(s.range(1).select(F.lit("all").alias("transaction_id"), F.lit(said).alias("failed")))
+
+
+@query(f"select c_custkey user_id, case when c_custkey % 20 <> 5 then cast({BORN} as date) end birthdate from customer where c_custkey % 20 <> 3 union all select null, cast({BORN} as date) from customer where c_custkey % 20 = 3")
+def src_checking(s, d):
+    """Users as a check of results reads them: no row is left out, dates that are none are null."""
+    return I.checking_scan(s, _written(s, _user_text(s, d), "users"), "users").select("user_id", "birthdate")
+
+
+@query(f"with {TA} select transaction_id, final_amount from ta where year(created_at) in (1996, 1998) and cast(created_at as time) between time '08:00:00' and time '20:00:00' and final_amount >= 200000")
+def q1_thresholds(s, d):
+    """Q1 with thresholds from variables of the environment."""
+    config = QueryConfig.from_environment({"MIN_YEAR": "1996", "MAX_YEAR": "1998", "START_HOUR": "8", "END_HOUR": "20", "MIN_AMOUNT": "200000"})
+    return Q.amount_filter(D.order_transactions(s, d), config).select("transaction_id", "final_amount")
+
+
+class Spread(A.Accumulator):
+    """Count, sum and sum of squares of whole cents, which give the mean and the deviation exactly to the last step."""
+
+    def init(self):
+        return (0, 0, 0)
+
+    def add(self, state, rows):
+        cents = [round(100 * v) for v in rows["value"] if v is not None and v == v]
+        return self.merge(state, (len(cents), sum(cents), sum(c * c for c in cents)))
+
+    def merge(self, a, b):
+        return tuple(x + y for x, y in zip(a, b))
+
+    def finish(self, state):
+        n, total, squares = state
+        return n, total / n / 100, ((n * squares - total * total) / (n * n)) ** 0.5 / 100
+
+
+@query("select event_type, n, total / n / 100 as mean, round(sqrt((n * squares - total * total) / (n * n)) / 100, 6) as deviation from (select event_type, count(*) n, cast(sum(c) as double) total, cast(sum(c * c) as double) squares from (select event_type, cast(round(value * 100) as bigint) c from events) group by event_type)")
+def agg_own(s, d):
+    """A caller's own accumulator over events by type."""
+    return A.accumulate_with(D.table(s, d, "events"), ["event_type"], ["value"], Spread(), "n long, mean double, deviation double").withColumn("deviation", F.round("deviation", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -25,8 +25,14 @@ class QueryConfig:
 
     @classmethod
     def from_environment(cls, environment=os.environ) -> "QueryConfig":
-        """Thresholds from variables MIN_YEAR, MAX_YEAR, START_TIME, END_TIME, MIN_AMOUNT, TOP_ITEMS, TOP_USERS; others as by default."""
+        """Thresholds from the variables MIN_YEAR, MAX_YEAR, START_HOUR, END_HOUR, MIN_AMOUNT, TOP_ITEMS_COUNT,
+        TOP_USERS_COUNT and REDUCED (true, 1, yes or on; without it, true); others as by default.
+
+        Hours are whole hours of the day: from START_HOUR:00:00 to END_HOUR:00:00. Empty variables are as missing ones.
+        """
         base = cls()
         get = lambda name, default: type(default)(environment.get(name) or default)
         years = (get("MIN_YEAR", base.years[0]), get("MAX_YEAR", base.years[1]))
-        return cls(years, get("START_TIME", base.start), get("END_TIME", base.end), get("MIN_AMOUNT", base.min_amount), get("TOP_ITEMS", base.top_items), get("TOP_USERS", base.top_users))
+        hour = lambda name, default: f"{get(name, int(default[:2])):02d}:00:00"
+        reduced = get("REDUCED", "true").strip().lower() in ("true", "1", "yes", "on")
+        return cls(years, hour("START_HOUR", base.start), hour("END_HOUR", base.end), get("MIN_AMOUNT", base.min_amount), get("TOP_ITEMS_COUNT", base.top_items), get("TOP_USERS_COUNT", base.top_users), reduced=reduced)

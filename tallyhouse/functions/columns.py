@@ -23,6 +23,11 @@ def is_number(df, name: str) -> bool:
     return dict(df.dtypes)[name].startswith(NUMBERS)
 
 
+def is_whole(df, name: str) -> bool:
+    """Whether a column is typed as a whole number."""
+    return dict(df.dtypes)[name].startswith(NUMBERS[:4])
+
+
 def double_of(df, name: str, default: float = 0.0) -> Column:
     """safe_double() of a column; a column of numbers is taken as it is, so that the scan can use conditions on it."""
     if not is_number(df, name):
@@ -32,7 +37,7 @@ def double_of(df, name: str, default: float = 0.0) -> Column:
 
 def long_of(df, name: str, default: int = 0) -> Column:
     """safe_long() of a column; a column of whole numbers is taken as it is."""
-    if not dict(df.dtypes)[name].startswith(NUMBERS[:4]):
+    if not is_whole(df, name):
         return safe_long(name, default=default)
     return F.coalesce(F.col(name).cast("long"), F.lit(default).cast("long"))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyhouse.functions import columns as C
 
@@ -47,6 +51,74 @@ def accumulate(df: DataFrame, keys: list[str], aggregates: dict[str, str | Colum
     return known.groupBy(*keys).agg(*[(F.expr(a) if isinstance(a, str) else a).alias(n) for n, a in aggregates.items()])
 
 
+class Accumulator:
+    """A caller's own aggregate. State is what pickle can carry, and stays small: it is sent once a batch and group.
+
+    init() gives a fresh state; add(state, rows) takes a pandas DataFrame of some rows of one group; merge(a, b) unites
+    two states, in any order; finish(state) gives the values of the output's columns.
+    """
+
+    def init(self):
+        raise NotImplementedError
+
+    def add(self, state, rows):
+        raise NotImplementedError
+
+    def merge(self, a, b):
+        raise NotImplementedError
+
+    def finish(self, state) -> tuple:
+        raise NotImplementedError
+
+
+def accumulate_with(df: DataFrame, keys: list[str], values: list[str], accumulator: Accumulator, schema: str, fan: int = 32) -> DataFrame:
+    """keys and the columns of schema: the accumulator over each group; rows with a null key are left out.
+
+    States are made where rows are, one for each group and Arrow batch, merged in `fan` parts of a group and then over
+    its parts. Tasks meet states, never a group's rows, so a hot key needs no task of its own.
+    """
+    names = [f.name for f in df.select(*keys).schema]
+    base = df.select(*keys).schema
+
+    def partial(batches):
+        import pyarrow as pa
+
+        for n, b in enumerate(batches):
+            groups = b.to_pandas().groupby(names, sort=False)
+            rows = [(k if isinstance(k, tuple) else (k,), pickle.dumps(accumulator.add(accumulator.init(), g[values]))) for k, g in groups]
+            if rows:
+                columns = [pa.array([k[i] for k, _ in rows], b.schema.field(names[i]).type) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([n % fan] * len(rows), pa.int32()), pa.array([s for _, s in rows], pa.binary())], [*names, "_part", "_state"])
+
+    def united(table):
+        state = None
+        for s in table.column("_state"):
+            s = pickle.loads(s.as_py())
+            state = s if state is None else accumulator.merge(state, s)
+        return state
+
+    def merged(table):
+        import pyarrow as pa
+
+        return table.slice(0, 1).drop_columns(["_state"]).append_column("_state", pa.array([pickle.dumps(united(table))], pa.binary()))
+
+    def finished(table):
+        import pyarrow as pa
+
+        out = pa.Table.from_pylist([dict(zip(result.fieldNames(), accumulator.finish(united(table))))], to_arrow_schema(result))
+        for name in reversed(names):
+            out = out.add_column(0, name, table.slice(0, 1).column(name))
+        return out
+
+    result = StructType.fromDDL(schema)
+    state = StructType([*base.fields]).add("_part", "integer").add("_state", "binary")
+    known = df.where(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys, *values)
+    parts = known.mapInArrow(partial, state)
+    spread = parts.withColumn("_part", F.pmod(F.spark_partition_id() + F.col("_part"), F.lit(fan)).cast("int"))
+    some = spread.groupBy(*keys, "_part").applyInArrow(merged, state)
+    return some.groupBy(*keys).applyInArrow(finished, StructType([*base.fields, *result.fields]))
+
+
 def merge_partials(partials: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Totals of stored partial totals, as of a file or a day."""
     return partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])

@@ -48,10 +48,11 @@ def has_key(df: DataFrame, *names: str) -> DataFrame:
 def rankable(df: DataFrame) -> DataFrame:
     """Rows with a store, a known user and a positive quantity, which may be named purchases_qty or purchase_qty."""
     named = [c for c in ("purchases_qty", "purchase_qty") if c in df.columns]
-    qty = F.coalesce(*(C.safe_long(c, 0) for c in named))
+    whole = lambda c: F.col(c).cast("long") if C.is_whole(df, c) else C.safe_long(c, 0)
+    qty = F.coalesce(*map(whole, named), F.lit(0).cast("long"))
     rest = [c for c in df.columns if c not in named]
     out = df.select(*rest, qty.alias("purchases_qty"))
-    return out.where((F.coalesce(F.trim(F.col("store_id").cast("string")), F.lit("")) != "") & (C.safe_long("user_id", 0) > 0) & (F.col("purchases_qty") > 0))
+    return out.where((F.coalesce(F.trim(F.col("store_id").cast("string")), F.lit("")) != "") & (whole("user_id") > 0) & (F.col("purchases_qty") > 0))
 
 
 def usable_dimension(df: DataFrame, key: str, value: str) -> DataFrame:

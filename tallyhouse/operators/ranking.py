@@ -16,6 +16,11 @@ def top_n(df: DataFrame, per: list[str], by: str, n: int, ties: str = "row_numbe
     return df.withColumn("_rank", RANKS[ties]().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+def order_in(per: list[str], by: str, then: list[str | Column]):
+    """The window in which a group's greatest by comes first."""
+    return Window.partitionBy(*per).orderBy(F.desc(by), *then)
+
+
 def cap_by_name(df: DataFrame, name: str = "store_name", order: str = "birthdate", n: int = 3) -> DataFrame:
     """At most n rows of one displayed name, whatever ids share it; equal rows all count."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(name).orderBy(order))).where(F.col("_nth") <= n).drop("_nth")

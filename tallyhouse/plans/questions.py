@@ -49,7 +49,7 @@ def top_items(items: DataFrame, menu: Dimension, metric: str, config: QueryConfi
     """Q2: the best items of each month by metric, sellings_qty or profit_sum. Items have no hours."""
     totals = _totals(items, config)
     best = R.top_n(totals, [*A.by_client(totals), "year_month_created_at"], metric, config.top_items, then=["item_id"])
-    named = lookup(best, menu, "item_id", "item_name")
+    named = lookup(best, menu, "item_id", "item_name", few=True)
     return named.select(*A.by_client(totals), "year_month_created_at", "item_id", "item_name", F.col(metric).cast("double").alias(metric) if metric == "profit_sum" else metric)
 
 

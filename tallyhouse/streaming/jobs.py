@@ -5,30 +5,51 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.config import QueryConfig
-from tallyhouse.operators import aggregate as A, filters as L
+from tallyhouse.operators import aggregate as A, filters as L, ranking as R
 from tallyhouse.operators.dimensions import Dimension, lookup
+from tallyhouse.sources import ingest as I
+from tallyhouse.streaming import keyed as K
 
-#: Parts of one client's messages.
-SALTS = 256
 
+def file_stream(spark: SparkSession, path: str, schema, source: str = "parquet", files: int | None = 4, size: int | None = None, archive: str | None = None) -> DataFrame:
+    """Files in the order they came, at most so many, or about so many bytes (and one file at least), at a time.
 
-def file_stream(spark: SparkSession, path: str, schema, source: str = "parquet", files: int = 4) -> DataFrame:
-    """Files in the order they came, some at a time."""
-    return spark.readStream.format(source).schema(schema).option("maxFilesPerTrigger", files).load(path)
+    archive: a folder that files are moved to once a later batch has been committed, so that listing the source stays
+    short. Rows of one batch come in no order; order_of_files() tells which file is the earlier one by name.
+    """
+    reader = spark.readStream.format(source).schema(schema)
+    if size is not None:
+        reader = reader.option("maxBytesPerTrigger", size)
+    elif files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.load(path)
+
+
+def order_of_files(df: DataFrame, name: str = "seq") -> DataFrame:
+    """df of a file source with a column that orders rows by the names of their files, as readers of folders expect."""
+    return df.withColumn(name, F.col("_metadata.file_name"))
 
 
 def without_repeats(df: DataFrame, keys: list[str], moment: str = "created_at", late: str | None = None) -> DataFrame:
-    """Each key once, in whatever order rows come; every key is remembered, in RocksDB.
+    """Each key once, in whatever order rows come; every key is remembered. Rows with a null or empty key all stay.
 
-    late, as "30 days": keys are forgotten after that time, and rows that come later than that are dropped.
+    late, as "30 days": keys are forgotten after that time, and rows that come later than that are dropped. A query of
+    it is to be started inside keyed.settings(), which puts the state in RocksDB; run_available() does so.
     """
+    known = F.lit(True)
+    for k in keys:
+        known = known & (F.coalesce(F.col(k).cast("string"), F.lit("")) != "")
+    some, rest = df.where(known), df.where(~known)
     if late is not None:
-        return df.withColumn("_moment", F.col(moment).cast("timestamp")).withWatermark("_moment", late).dropDuplicatesWithinWatermark(keys).drop("_moment")
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return df.dropDuplicates(keys)
+        some = some.withColumn("_moment", F.col(moment).cast("timestamp")).withWatermark("_moment", late).dropDuplicatesWithinWatermark(keys).drop("_moment")
+    else:
+        some = some.dropDuplicates(keys)
+    return some.unionByName(rest)
 
 
 def running_payment_value(df: DataFrame, config: QueryConfig = QueryConfig()) -> DataFrame:
@@ -48,7 +69,15 @@ def enriched(df: DataFrame, dim: Dimension, key: str, name: str) -> DataFrame:
     return lookup(df, dim, key, name)
 
 
-def run_available(df: DataFrame, folder: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = ()) -> None:
+def start_available(df: DataFrame, folder: str, put: Callable[[DataFrame, int], None], mode: str = "append") -> list[dict]:
+    """Runs a stream over what there is, with put for each batch, and ends. Gives each batch's number and input rows."""
+    with K.settings(df.sparkSession):
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [{"batch": p.batchId, "rows": p.numInputRows} for p in query.recentProgress]
+
+
+def run_available(df: DataFrame, folder: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = ()) -> list[dict]:
     """Runs a stream over what there is and ends. Each batch overwrites its own folder, so a repeated batch leaves the same.
 
     mode update or complete: a batch holds changed or all totals. finish: applied to each batch, as a ranking. per:
@@ -58,8 +87,61 @@ def run_available(df: DataFrame, folder: str, mode: str = "append", finish: Call
     def put(batch: DataFrame, number: int) -> None:
         (finish(batch) if finish else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy(*per).parquet(f"{folder}/out/number={number}")
 
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return start_available(df, folder, put, mode)
+
+
+def run_messages(stream: DataFrame, folder: str, entity: str, value: str = "value") -> list[dict]:
+    """A stream of JSON batch messages into two tables below folder: rows, typed, and dead, what could not be read.
+
+    dead has the text (of a message, or of a row as JSON), its client where known, and why. Both sides of a batch come
+    from one reading of it, and are overwritten together when the batch is repeated.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            rows, dead = I.split_messages(batch, entity, value)
+            rows.write.mode("overwrite").parquet(f"{folder}/rows/number={number}")
+            dead.write.mode("overwrite").parquet(f"{folder}/dead/number={number}")
+        finally:
+            batch.unpersist()
+
+    return start_available(stream.select(value), folder, put)
+
+
+def run_ranking(counts: DataFrame, folder: str, per: list[str], key: str, by: str, n: int) -> list[dict]:
+    """Keeps the n best keys of each group over running counts that only rise, and puts down what changes.
+
+    A batch takes the counts that changed in it (update mode) and the ranking as it was, of at most n rows a group, and
+    no others: a key that is not among them has the count it had, and was not among the best. Tables below folder:
+    ranking/number=x, after each batch, of which the last two stay; out/number=x, rows of groups whose best changed,
+    with their rank, null for keys that are no longer among the best.
+    """
+    columns = [*per, key, by, "rank"]
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*per, key, by).persist()
+        before = kept_ranking(spark, folder, number, new.schema.add("rank", "integer"))
+        try:
+            both = new.unionByName(before.drop("rank")).groupBy(*per, key).agg(F.max(by).alias(by))
+            best = R.top_n(both, per, by, n, then=[key])
+            best = best.withColumn("rank", F.row_number().over(R.order_in(per, by, [key])).cast("int")).select(*columns)
+            best.write.mode("overwrite").parquet(f"{folder}/ranking/number={number}")
+            best = spark.read.parquet(f"{folder}/ranking/number={number}")
+            left = before.join(best, [*per, key], "left_anti").withColumn("rank", F.lit(None).cast("int"))
+            best.exceptAll(before.select(*columns)).unionByName(left.select(*columns)).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+        finally:
+            new.unpersist()
+
+    return start_available(counts, folder, put, "update")
+
+
+def kept_ranking(spark: SparkSession, folder: str, before: int | None = None, schema=None) -> DataFrame:
+    """The ranking of run_ranking, as it was before a batch or is now."""
+    found = I.listed(spark, f"{folder}/ranking", "*.parquet").select(F.regexp_extract("path", "number=([0-9]+)/", 1).cast("int").alias("number"))
+    last = (found if before is None else found.where(F.col("number") < before)).agg(F.max("number")).first()[0]
+    return spark.createDataFrame([], schema) if last is None else spark.read.parquet(f"{folder}/ranking/number={last}")
 
 
 def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
@@ -79,56 +161,26 @@ def delivered(spark: SparkSession, folder: str, client_id: str | None = None) ->
     return rows if client_id is None else rows.where(F.col("client_id") == client_id)
 
 
-def completed(control: DataFrame, needed: int) -> DataFrame:
-    """(client_id, since, until) of clients with `needed` distinct markers after their last reset, in the order of seq.
-
-    control: rows of kind EOF or CLIENT_RESET. since: seq of the last reset; until: seq of the marker that completes.
-    """
-    resets = control.where("kind = 'CLIENT_RESET'").groupBy("client_id").agg(F.max("seq").alias("since"))
-    marks = control.where("kind = 'EOF'").join(resets, "client_id", "left").withColumn("since", F.coalesce("since", F.lit(-(2**63))))
-    marks = marks.where("seq > since").groupBy("client_id", "since", "message_uuid").agg(F.min("seq").alias("until"))
-    turn = Window.partitionBy("client_id").orderBy("until", "message_uuid")
-    return marks.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") == needed).select("client_id", "since", "until")
-
-
-def of_ready(data: DataFrame, ready: DataFrame) -> DataFrame:
-    """data of ready clients between since and until; a client's rows are met in SALTS parts, so no task needs all of them."""
-    parts = ready.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = data.withColumn("_part", F.pmod(F.xxhash64("message_uuid"), F.lit(SALTS)).cast("int"))
-    return salted.join(parts, ["client_id", "_part"]).where("seq > since and seq < until").drop("_part")
-
-
-def message_amounts(data: DataFrame, ready: DataFrame) -> DataFrame:
-    """(client_id, message_uuid, amount) of ready clients' messages between since and until; of repeats the first by seq."""
-    return of_ready(data, ready).groupBy("client_id", "message_uuid").agg(F.min_by("amount", "seq").alias("amount"))
-
-
-def run_barrier(df: DataFrame, folder: str, needed: int) -> None:
+def run_barrier(df: DataFrame, folder: str, needed: int, parts: int = K.PARTS) -> list[dict]:
     """Sends (client_id, amount, n_rows) of each client once `needed` distinct completion markers came; what is there is run.
 
     Rows (client_id, kind, message_uuid, amount, seq) of kind data, EOF or CLIENT_RESET; seq gives their order, whatever
-    file they come in. A reset voids what has a smaller seq; a repeated message_uuid counts once. Batches only put
-    messages down; sums are made when a client's markers are there, which senders send after their data.
+    file they come in. A reset voids what has a smaller seq; a repeated message_uuid counts once, its first by seq; data
+    without one count each time. What came is kept as state by client (keyed.Barrier), goes when the client is sent, and
+    is never read again from files. Rows of a client after its last marker wait for a reset. Senders send markers after
+    their data. Gives each batch's number and input rows.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.select("client_id", "kind", "message_uuid", "amount", "seq").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/messages/number={number}")
-        messages = spark.read.schema("client_id string, message_uuid string, amount double, seq long, kind string, number long").parquet(f"{folder}/messages").where(F.col("number") <= number)
-        ready = completed(messages.where("kind <> 'data'"), needed)
-        if number:
-            sent = spark.read.schema("client_id string, since long, number long").parquet(f"{folder}/out").where(F.col("number") < number)
-            ready = ready.join(sent, ["client_id", "since"], "left_anti")
-        totals = message_amounts(messages.where("kind = 'data'"), ready).groupBy("client_id").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n_rows"))
-        out = ready.join(totals, "client_id", "left").fillna({"amount": 0.0, "n_rows": 0})
-        out.select("client_id", "amount", "n_rows", "since").write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+        totals = batch.groupBy("client_id", "since").agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
+        totals.select("client_id", "amount", "n_rows", "since").write.mode("overwrite").parquet(f"{folder}/out/number={number}")
 
-    df.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return start_available(K.barrier(df, needed, parts), folder, put)
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a run's state and output, shared by the cluster."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+    """A new folder for a run's state and output in spark.checkpoint.dir, which the cluster shares."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
     return f"{place}/{name}-{uuid.uuid4().hex}"
-
-
