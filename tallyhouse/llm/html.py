@@ -1,14 +1,16 @@
 """Main text of web pages by two passes of rules over their blocks.
 
 First pass: each block is judged by itself. Blocks in menus, headers, footers, asides, forms, adverts, notices and
-comments are boilerplate, as are blocks that are mostly links; long blocks are content or boilerplate by the share of
-stop words. Short ones, and long ones with few stop words, stay open. Second pass: an open block takes the label of the
-nearest decided block of its section (the article, or what lies outside it).
+comments are boilerplate, as are blocks outside articles that are mostly links; long blocks are content or boilerplate
+by the share of stop words, or, where no block of the page has any to speak of, content. Others stay open. Second pass:
+an open block takes the label of the nearest decided block of its section (the article, or what lies outside it), a
+heading that of the next one; where content and boilerplate are equally near, headings and paragraphs are content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,13 +22,22 @@ STOP_WORDS = frozenset(
     au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui mais nous ou par pas plus pour qu que qui sa se ses son sont sur un une vous
     al como con de del el ella en entre era es esta este fue ha la las lo los más mi no para pero por que se sin su sus un una y ya""".split()
 )
-#: Parts of class, id and role values that mark boilerplate anywhere, and those that do outside an article only.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|disqus|respond|replies|cookies?|consent|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|"
-    r"popup|modal|promo\w*|related|recommend\w*|sharing|social|sidebar|skip|sponsor\w*|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Parts of class, id and role values that mark boilerplate, and those that do outside an article only.
+MARK = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|disqus|respond|reply|replies|cookies?|consent|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|popup|modal|"
+    r"promo\w*|related|recommend\w*|sharing|social|sidebar|skip|sponsor\w*|subscribe|subscription|toolbar|widget"
 )
-OUTSIDE = re.compile(r"(?:^|[\s_-])(?:notice|alert|share|side|tags)(?:$|[\s_-])", re.I)
+OUTSIDE = frozenset("notice alert share side tags discussion discussions".split())
+#: Parts that say how or where something is shown, not what it is.
+LAYOUT = frozenset(
+    """area articles bar block body bottom box btn button buttons center col column container content feed form group holder icon icons inner item items left link links list main media message
+    outer page panel posts reader readers right row section signup site slot stories thread top unit user users wrap wrapper""".split()
+)
+#: Parts beside which a header is that of a text.
+OF_TEXT = frozenset("article blog content entry page post story".split())
+#: A mark and a part of layout in one word, as in cookiebar; plain marks only, that no common word begins with.
+FUSED = re.compile(rf"(?:ads?|advert|banner|comments?|cookies?|footer|nav|newsletter|popup|promo|related|share|social|sponsor)(?:{'|'.join(sorted(LAYOUT))})")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W_A-Za-z0-9]+")
 BOILERPLATE = frozenset("nav footer aside form header button select menu dialog figcaption noscript template iframe object svg canvas head".split())
 CONTAINERS = BOILERPLATE | frozenset("article main section div ul ol li dl dt dd table tbody thead tfoot tr td th blockquote fieldset details body html figure center".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address caption summary option legend title".split())
@@ -43,19 +54,33 @@ TOKEN = re.compile(
 HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORD = re.compile(r"\w+")
-LEGAL = re.compile(r"©|\(c\)\s|copyright\b|all rights reserved", re.I)
+LEGAL = re.compile(r"©|\(c\)\s*(?:[0-9]{4}|copyright)|copyright\s*(?:©|\(c\)|[0-9]{4})|all rights reserved", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Words, or characters where words aren't set apart, of a block that can be judged by its stop words; shares of stop
+#: words; share of characters in links.
+LONG, LONG_CHARS, LOW, HIGH, LINKED = 12, 80, 0.05, 0.12, 0.5
+
 
-#: Words of a block that can be judged by its stop words; shares of stop words; share of characters in links.
-LONG, LOW, HIGH, LINKED = 12, 0.05, 0.12, 0.5
+def marks_boilerplate(name: str, inside: bool) -> bool:
+    """Whether one name of a class, id or role marks boilerplate: outside articles by any part of it, inside only where
+    all of its parts are marks or layout, so that a section on social history stays."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    marks = [p for p in parts if MARK.fullmatch(p) or FUSED.fullmatch(p)]
+    if inside:
+        return any(p not in ("header", "masthead") for p in marks) and all(p in marks or p in LAYOUT or p in OUTSIDE or p.isdigit() for p in parts)
+    if marks and all(p == "header" for p in marks) and any(p in OF_TEXT - {"page"} for p in parts):
+        return False
+    return bool(marks) or any(p in OUTSIDE for p in parts)
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "region", "text", "label")
+    __slots__ = ("parts", "linked", "bad", "region", "tag", "text", "label")
 
-    def __init__(self, bad: bool, region: int):
+    def __init__(self, bad: bool, region: int, tag: str = ""):
         self.parts: list[str] = []
         self.linked = 0
-        self.bad, self.region = bad, region
+        self.bad, self.region, self.tag = bad, region, tag
         self.text, self.label = "", 0
 
 
@@ -63,19 +88,26 @@ def blocks_of(html: str) -> list[Block]:
     """The page's blocks of text in page order, each with its section and whether a boilerplate element holds it."""
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []
+    open_now: Counter[str] = Counter()  # names on the stack
     bad, region, regions, link, breaks = False, 0, 0, 0, 0
     own, muted, depth = False, "", 0  # the paragraph, and the inline element, that say themselves to be boilerplate
     now = Block(False, 0)
 
-    def cut():
+    def cut(tag: str = ""):
         nonlocal now
         if now.parts:
             found.append(now)
-        now = Block(bad or own, region)
+        now = Block(bad or own, region, tag)
 
     def marked(rest: str) -> bool:
-        values = [h.strip("\"'") for h in HINTS.findall(rest)] if rest else []
-        return any(MARKS.search(h) or not region and OUTSIDE.search(h) for h in values) or bool(rest and HIDDEN.search(rest))
+        names = [n for h in HINTS.findall(rest) for n in h.strip("\"'").split()] if rest else []
+        return any(marks_boilerplate(n, region > 0) for n in names) or bool(rest and HIDDEN.search(rest))
+
+    def close(i: int):
+        nonlocal bad, region
+        _, bad, region = stack[i]
+        open_now.subtract(x[0] for x in stack[i:])
+        del stack[i:]
 
     def say(text: str):
         if text and not muted:
@@ -115,23 +147,22 @@ def blocks_of(html: str) -> list[Block]:
         breaks, own, muted, depth = 0, False, "", 0
         if name in CONTAINERS:
             if ends:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if open_now[name] > 0 else ():
                     if stack[i][0] == name:
-                        _, bad, region = stack[i]
-                        del stack[i:]
+                        close(i)
                         break
             else:
                 rest = m.group("rest")
                 if not rest.endswith("/"):
                     closes, holders = CLOSES.get(name, ((), ()))
-                    for i in range(len(stack) - 1, -1, -1) if closes else ():
+                    for i in range(len(stack) - 1, -1, -1) if any(open_now[c] > 0 for c in closes) else ():
                         if stack[i][0] in holders:
                             break
                         if stack[i][0] in closes:
-                            _, bad, region = stack[i]
-                            del stack[i:]
+                            close(i)
                             break
                     stack.append((name, bad, region))
+                    open_now[name] += 1
                     if name in ARTICLE and not bad:
                         regions += 1
                         region = regions
@@ -143,7 +174,7 @@ def blocks_of(html: str) -> list[Block]:
             link = 0
         elif not ends:
             own = marked(m.group("rest"))
-        cut()
+        cut("" if ends else name)
     say(html[at:])
     cut()
     for b in found:
@@ -153,37 +184,50 @@ def blocks_of(html: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> None:
     """label of each block: 1 content, -1 boilerplate."""
-    stops = []
-    for b in blocks:
-        words = [w.lower() for w in WORD.findall(b.text)]
-        share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        stops.append(share)
-        if len(words) < LONG and LEGAL.match(b.text):
-            b.label = -1
-        elif b.bad or b.linked > LINKED * len(b.text.replace(" ", "")):
+    words = [[w.lower() for w in WORD.findall(b.text)] for b in blocks]
+    stops = [sum(w in STOP_WORDS for w in ws) / len(ws) if ws else 0.0 for ws in words]
+    long = [len(ws) >= LONG or len(b.text) >= LONG_CHARS for b, ws in zip(blocks, words)]
+    linked = [b.linked > LINKED * len(b.text.replace(" ", "")) for b in blocks]
+    known = any(long[i] and stops[i] >= HIGH and not b.bad and not linked[i] for i, b in enumerate(blocks))  # the language is one of the lists'
+    for i, b in enumerate(blocks):
+        if b.bad or not long[i] and LEGAL.match(b.text) or linked[i] and not b.region:
             b.label = -1
-        elif len(words) >= LONG and share >= HIGH:
+        elif linked[i]:
+            b.label = 0  # sources, perhaps
+        elif long[i] and (stops[i] >= HIGH or not known):
             b.label = 1
-        elif len(words) >= LONG and share < LOW and not b.region:
+        elif long[i] and stops[i] < LOW and not b.region:
             b.label = -1
     has_article = any(b.region and b.label >= 0 for b in blocks)
-    decided = [b.label for b in blocks]
+    before, after = _decided(blocks, range(len(blocks))), _decided(blocks, range(len(blocks) - 1, -1, -1))
+    labels = []
     for i, b in enumerate(blocks):
-        if decided[i]:
-            continue
-        near = {}
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(blocks) and not (blocks[j].region == b.region and decided[j] and not blocks[j].bad):
-                j += step
-            if 0 <= j < len(blocks):
-                near[step] = (abs(j - i), decided[j])
-        if near:
-            least = min(d for d, _ in near.values())
-            labels = {x for d, x in near.values() if d == least}
-            b.label = labels.pop() if len(labels) == 1 else (1 if b.region or stops[i] >= HIGH else -1)
-        else:
-            b.label = 1 if b.region or not has_article and stops[i] >= HIGH else -1
+        label = b.label
+        if not label:
+            near = [x for x in (before[i], after[i]) if x is not None]
+            if b.tag in HEADINGS and after[i] is not None:
+                label = after[i][1]
+            elif near:
+                least = min(abs(j - i) for j, _ in near)
+                nearest = {x for j, x in near if abs(j - i) == least}
+                label = nearest.pop() if len(nearest) == 1 else 1 if b.region or b.tag == "p" or b.tag in HEADINGS or stops[i] >= HIGH else -1
+            else:
+                label = 1 if b.region or not has_article and stops[i] >= HIGH else -1
+        labels.append(label)
+    for b, label in zip(blocks, labels):
+        b.label = label
+
+
+def _decided(blocks: list[Block], order: range) -> list[tuple[int, int] | None]:
+    """For each block the last one before it, in this order, of its section that is decided by itself: place and label."""
+    last: dict[int, tuple[int, int]] = {}
+    found: list[tuple[int, int] | None] = [None] * len(blocks)
+    for i in order:
+        b = blocks[i]
+        found[i] = last.get(b.region)
+        if b.label and not b.bad:
+            last[b.region] = (i, b.label)
+    return found
 
 
 def main_text(html: str | None) -> str:
