@@ -20,7 +20,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tallyhouse.llm.common import WHITE, ids_and_texts, rest_collector, tokenizer_path
+from tallyhouse.llm.common import WHITE, hold, ids_and_texts, rest_collector, tokenizer_path
 
 NEVER = 1 << 60
 #: Entries of each bounded memo of a worker.
@@ -194,11 +194,16 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
+def _transducer(path: str) -> Transducer:
     rest_collector()
     return Transducer(MergeList(path))
 
 
+def transducer(path: str) -> Transducer:
+    hold(_transducer)
+    return _transducer(path)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text. A null text counts as empty and gives no ids; repeated rows stay."""
     path = path or tokenizer_path("byte_bpe_50k.json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -32,8 +33,11 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one in the warehouse where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+    """The folder that the cluster names in spark.checkpoint.dir: without it there is none that driver and executors share."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    return place
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -83,6 +87,26 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+#: Caches of operators that this worker holds.
+_HELD: list = []
+
+
+def hold(cache=None) -> None:
+    """For the start of a task: of the operators' caches its worker keeps this one, or none.
+
+    Workers outlive tasks, and the next stage needs the memory of the last one's memos.
+    """
+    gone = [c for c in _HELD if c is not cache]
+    _HELD[:] = [cache] if cache is not None else []
+    for c in gone:
+        c.cache_clear()
+    if gone:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed memory until told
+        if trim is not None:
+            trim(0)
+
+
 def rest_collector() -> None:
     """For workers that keep large memos: full passes of Python's cycle collector over them cost more than they find."""
     gc.set_threshold(200_000, 50, 1000)

@@ -19,7 +19,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyhouse.llm.common import ROW, Store, ids_and_texts, numbered
+from tallyhouse.llm.common import ROW, Store, hold, ids_and_texts, numbered
 from tallyhouse.llm.components import components
 
 #: Bands and their rows: a pair of similarity 0.8 is missed by all bands once in 2 million pairs.
@@ -119,6 +119,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        hold()
         salt = np.arange(BANDS, dtype=np.uint64)
         for b in batches:
             n, sets, bands, bits = [], [], [], []
@@ -200,6 +201,7 @@ def _similar(blocks: DataFrame, candidates: DataFrame, texts: DataFrame, width:
     def run(batches):
         import pyarrow as pa
 
+        hold()
         now, ids, sets, index, parent = None, [], [], None, {}
 
         def root(x):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyhouse.llm.bpe import Memo, printable_bytes
-from tallyhouse.llm.common import ids_and_texts, rest_collector, tokenizer_path
+from tallyhouse.llm.common import hold, ids_and_texts, rest_collector, tokenizer_path
 
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256, 128, 64)
@@ -93,9 +93,12 @@ class WordEncoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, (text or "").split())), "<u4")
 
 
-@lru_cache(maxsize=1)
+_word_encoder = lru_cache(maxsize=1)(WordEncoder)
+
+
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    hold(_word_encoder)
+    return _word_encoder(path)
 
 
 def pack_lengths(sizes: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import ROW, durable, ids_and_texts, row_key
+from tallyhouse.llm.common import ROW, durable, hold, ids_and_texts, row_key
 from tallyhouse.llm.label_model import LabelModel, logistic
 
 BASE = ("email", "ip", "card", "phone")
@@ -177,6 +177,7 @@ def find(docs: DataFrame) -> DataFrame:
     def propose(batches):
         import pyarrow as pa
 
+        hold()
         three = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
         for b in batches:
             base, loose, keys = [], [], []

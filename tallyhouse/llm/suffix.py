@@ -23,7 +23,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import Store, ids_and_texts, row_key
+from tallyhouse.llm.common import Store, hold, ids_and_texts, row_key
 from tallyhouse.llm.minhash import _mix
 
 LENGTH, GRAM = 400, 192
@@ -205,6 +205,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def grams(batches):
         import pyarrow as pa
 
+        hold()
         for b in batches:
             found = [anchors(_bytes(t), length, gram)[0] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["gram"])
@@ -212,6 +213,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def regions(batches):
         import pyarrow as pa
 
+        hold()
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -236,6 +238,8 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
+        hold()
+
         def batch(rows):
             types = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["gram", "region", "times", "regions", "doc_id", "at", "left", "right"])
@@ -266,6 +270,8 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         """Rows come ordered by gram and part; whole groups are sorted together, several at a time."""
         import pyarrow as pa
 
+        hold()
+
         def decide(rows):
             numbers: dict = {}
             found = repeated_starts([(numbers.setdefault((r["gram"], r["part"]), len(numbers)), r["left"], r["right"]) for r in rows], width)
@@ -305,6 +311,8 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         """Strings that the parts can't decide: in crowded parts all of them, else those that end near the gram."""
         import pyarrow as pa
 
+        hold()
+
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["digest", "gram", "doc_id", "start", "times"])
 
@@ -369,6 +377,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        hold()
         for b in batches:
             rows = [_left(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tallyhouse.llm.bpe import MergeList
-from tallyhouse.llm.common import ids_and_texts, tokenizer_path
+from tallyhouse.llm.common import hold, ids_and_texts, tokenizer_path
 
 MAGIC = b"ZIDS\x01"
 #: The id that ends each document.
@@ -62,9 +62,12 @@ class Encoder:
         return ids.tobytes() + END.to_bytes(4, "little")
 
 
-@lru_cache(maxsize=1)
+_encoder = lru_cache(maxsize=1)(Encoder)
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    hold(_encoder)
+    return _encoder(path)
 
 
 def _files(folder: str):

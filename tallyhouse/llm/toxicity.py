@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import ROW, durable, row_key
+from tallyhouse.llm.common import ROW, durable, hold, row_key
 from tallyhouse.llm.label_model import LabelModel, logistic
 
 #: Labelled rows of either class that are looked at to learn terms and to train the classifier: those least by a hash of doc_id.
@@ -80,6 +80,7 @@ def learn_terms(examples: DataFrame) -> list[str]:
     def sign(batches):
         import pyarrow as pa
 
+        hold()
         for b in batches:
             keys = [xxhash.xxh128_digest(" ".join(sorted(set(WORD.findall((t or "").lower())))).encode("utf-8", "surrogatepass")) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], ["text", "toxic", "key"])
@@ -92,6 +93,7 @@ def learn_terms(examples: DataFrame) -> list[str]:
     def count(batches):
         import pyarrow as pa
 
+        hold()
         seen = (Counter(), Counter())
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -167,6 +169,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def features(batches):
         import pyarrow as pa
 
+        hold()
         for b in batches:
             found, plain, hidden, pattern = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -197,6 +200,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def judge(batches):
         import pyarrow as pa
 
+        hold()
         n = len(weights) - 5
         for b in batches:
             z = []
