@@ -281,8 +281,9 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                     continue
                 if r["large"]:
                     offsets = [o for o in offsets if BESIDE <= o <= width - 1 - BESIDE]
-                out += [(r["doc_id"], r["at"] - o) for o in offsets]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["doc_id", "start"])
+                if offsets:  # all strings of a piece hold its gram, so what they cover is one span
+                    out.append((r["doc_id"], r["at"] - max(offsets), r["at"] - min(offsets) + length))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["doc_id", "start", "end"])
 
         def key(r):
             return r["gram"], r["part"]
@@ -305,7 +306,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             yield decide(held + own)
 
     columns = ["gram", "part", "large", "times", "doc_id", "at", "left", "right"]
-    by_sorting = pieces.where("not crowded").select(*columns).repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(sort, "doc_id long, start long")
+    by_sorting = pieces.where("not crowded").select(*columns).repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(sort, "doc_id long, start long, end long")
 
     def windows(batches):
         """Strings that the parts can't decide: in crowded parts all of them, else those that end near the gram."""
@@ -314,7 +315,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         hold()
 
         def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["digest", "gram", "doc_id", "start", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["digest", "gram", "doc_id", "at", "start", "times"])
 
         rows = []
         for b in batches:
@@ -324,21 +325,19 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 for o in range(max(0, width - 1 - len(right)), len(left) + 1):
                     if r["crowded"] or not BESIDE <= o <= width - 1 - BESIDE:
                         side = left[len(left) - o :] + right[: width - 1 - o]
-                        rows.append((xxhash.xxh3_64_intdigest(side, o) - (1 << 63), r["gram"], r["doc_id"], r["at"] - o, r["times"]))
+                        rows.append((xxhash.xxh3_64_intdigest(side, o) - (1 << 63), r["gram"], r["doc_id"], r["at"], r["at"] - o, r["times"]))
                 if len(rows) >= SLICE:
                     yield batch(rows)
                     rows = []
         if rows:
             yield batch(rows)
 
-    strings = pieces.where("large").select("gram", "crowded", "times", "doc_id", "at", "left", "right").mapInArrow(windows, "digest long, gram long, doc_id long, start long, times long")
+    strings = pieces.where("large").select("gram", "crowded", "times", "doc_id", "at", "left", "right").mapInArrow(windows, "digest long, gram long, doc_id long, at long, start long, times long")
     counted = store.put(strings.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "digest"))
-    by_counting = strings.where("times = 1").join(counted, ["gram", "digest"], "left_semi").select("doc_id", "start")
-
-    starts = by_sorting.unionByName(by_counting).select("doc_id", F.col("start").alias("start"), (F.col("start") + length).alias("end"))
+    by_counting = strings.where("times = 1").join(counted, ["gram", "digest"], "left_semi").groupBy("doc_id", "at").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("at")
     whole = seen.join(distinct.where("times > 1").select("gram", "region"), ["gram", "region"], "left_semi")
     whole = whole.select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
-    found = store.put(whole.unionByName(starts).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    found = store.put(whole.unionByName(by_sorting).unionByName(by_counting).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     store.drop_all_but(found)
     return found
 
