@@ -190,7 +190,9 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     yes = [*[(0.4, 0.0)] * LEXICONS, (0.5, 0.0), (0.05, 0.0), (0.8, 0.0), (0.0, 0.02)]
     no = [*[(0.005, 0.0)] * LEXICONS, (0.005, 0.0), (0.002, 0.0), (0.003, 0.0), (0.0, 0.97)]
     model = LabelModel(0.1, yes, no, strength=200).fit([read(r["pattern"]) for r in tally], [r["n"] for r in tally])
-    sample = seen.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("found", "plain", "hidden", "pattern").collect()  # bounded by LABELLED
+    # One row of each labelled id, whatever number repeats it: the first by its features, so at most 2 * LABELLED rows.
+    first = F.min(F.struct("found", "plain", "hidden", "pattern")).alias("r")
+    sample = seen.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("r.*").collect()
     patterns = sorted({r["pattern"] for r in tally} | {r["pattern"] for r in sample})
     posterior = dict(zip(patterns, model.posterior([read(p) for p in patterns]).tolist()))
     if not sample:  # nothing labelled: every pattern once stands in
