@@ -11,6 +11,7 @@ each query's own region; a second one the regions that the test leaves open.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -165,20 +166,27 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
 
     is_query: a condition on vec_id. score: Euclidean distance in double precision; ties go to the smaller vec_id. With
     fewer candidates all are returned. Vectors that are null, zero, empty or hold null or non-finite components, and rows
-    without vec_id, take no part; vectors are compared with those of the commonest length. Rows of one vec_id must be equal.
+    without vec_id, take no part. A vector is compared with those of its own length, each length by an index of its own.
+    Of rows that share a vec_id, the one whose vector has the least digest stands for it.
     """
     usable = as_bytes(vectors, id_col, vector_col).where("key is not null and vec_id is not null").select("vec_id", "key", "v")
+    one = usable.groupBy("vec_id").agg(F.min(F.struct("key", "v")).alias("r")).select("vec_id", "r.*")
+    base = durable(one)
+    lengths = sorted(r["n"] for r in base.select(F.length("v").alias("n")).distinct().collect())  # dimensions of the models in use
+    found = [_search(base.where(F.length("v") == n), n // 8, is_query, k) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(base: DataFrame, dim: int, is_query, k: int) -> DataFrame:
+    """search() over (vec_id, key, v) of one length and unique ids."""
     limit = chi_square_quantile(SURE)
     # Of equal vectors, the k + 1 smallest ids can be among results; each task keeps no more before they meet.
     first = Window.partitionBy("key").orderBy("vec_id")
-    base = durable(usable)
     some = sample(base)
-    dim = some.shape[1]
-    base = base.where(F.length("v") == 8 * dim).dropDuplicates(["vec_id"]) if dim else base.where("false")
     kept = base.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("vec_id", "v")
     project = directions(dim)
     count = base.count()
-    nodes = regions(some @ project, max(1, min(REGIONS, -(-count // REGION)))) if dim else [(None, 0, None, None)]
+    nodes = regions(some @ project, max(1, min(REGIONS, -(-count // REGION))))
 
     def deal(batches):
         import pyarrow as pa
