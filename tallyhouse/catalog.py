@@ -730,6 +730,27 @@ def q1_thresholds(s, d):
     return Q.amount_filter(D.order_transactions(s, d), config).select("transaction_id", "final_amount")
 
 
+@query("""select event_id, strftime(ts, '%H:%M:%S') time_of_day, case event_id % 5 when 0 then false when 1 then false when 2 then false when 3 then true else value > 0 end positive from events""")
+def fn_time_positive(s, d):
+    """Time of day of text, and whether text is a number above 0."""
+    at = lambda k: F.pmod("event_id", F.lit(5)) == k
+    text = F.when(at(0), "-1.5").when(at(1), "none").when(at(2), F.lit(None)).when(at(3), " 0.01 ").otherwise(F.col("value").cast("string"))
+    return D.table(s, d, "events").select("event_id", C.time_text(C.strict_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).alias("time_of_day"), C.is_positive(text).alias("positive"))
+
+
+@query("select user_id % 50 as k, count(*) n from events where event_type <> 'error' group by all")
+def flt_null_user(s, d):
+    """Purchases by user, those of nobody left out."""
+    rows = D.table(s, d, "events").select(F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"))
+    return L.has_key(rows, "user_id").groupBy(F.pmod("user_id", F.lit(50)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select store_name, tpv, null::varchar birthdate from ({Q3_SQL})")
+def val_aligned(s, d):
+    """Results brought to the columns that a check expects."""
+    return V.aligned(q3_tpv(s, d), ["store_name", "tpv", "birthdate"])
+
+
 class Spread(A.Accumulator):
     """Count, sum and sum of squares of whole cents, which give the mean and the deviation exactly to the last step."""
 

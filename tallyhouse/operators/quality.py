@@ -12,8 +12,8 @@ def near(a: Column, b: Column, atol: float, rtol: float = 0.0) -> Column:
 
 
 def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Just these columns in this order; those that df lacks are null."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+    """Just these columns in this order; those that df lacks are null, as text."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def mismatches(actual: DataFrame, expected: DataFrame, keys: list[str], value: str | None = None, atol: float = 0.0, rtol: float = 0.0) -> DataFrame:
