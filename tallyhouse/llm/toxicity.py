@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-Terms (words, and fronts of words) that toxic examples have and clean ones lack form learned lexicons; with a list of
-insults, patterns of disguised spelling, and densities they make the voters. The label model estimates the voters'
+Terms (words, fronts of words, and fronts that several distinct words share) that toxic examples have and clean ones lack
+form learned lexicons by their source; with a list of insults, patterns of disguised spelling, and densities they make the
+voters. The label model estimates the voters'
 accuracies and correlations from vote counts over the whole corpus. A linear classifier of term features is trained on
 its posteriors and scores every document.
 """
@@ -25,6 +26,8 @@ RARE = 0.004
 LEXICONS = 8
 WORD = re.compile(r"[^\W_]+")
 FRONTS = (4, 5, 6)
+#: Numbers of distinct words with one front that make terms of their own: some fronts are rare, but toxic only in numbers.
+REPEATED = (2, 3, 4)
 #: Common insults.
 INSULTS = frozenset("idiot idiots moron morons scum worthless pathetic clown clowns loser losers trash garbage disgusting stupid dumb imbecile jerk retard bastard bitch asshole fuck fucking shit cunt whore slut".split())
 DISGUISE = str.maketrans("013457@$!", "oieastasi")
@@ -34,11 +37,10 @@ VOTERS = (*(f"lexicon_{k}" for k in range(LEXICONS)), "insults", "disguised", "s
 
 
 def terms_of(text: str) -> set[str]:
-    """Distinct lower-cased words, and their fronts marked by ^."""
+    """Distinct lower-cased words, their fronts marked by ^, and fronts of k distinct words by k^."""
     words = set(WORD.findall(text.lower()))
-    for n in FRONTS:
-        words |= {"^" + w[:n] for w in words if len(w) > n and w[0] != "^"}
-    return words
+    fronts = Counter(w[:n] for n in FRONTS for w in words if len(w) > n)
+    return words | {"^" + f for f in fronts} | {f"{k}^{f}" for f, n in fronts.items() for k in REPEATED if n >= k}
 
 
 def features_of(text: str, terms: dict[str, int]) -> tuple[list[int], int, int]:
@@ -46,15 +48,17 @@ def features_of(text: str, terms: dict[str, int]) -> tuple[list[int], int, int]:
     words = set(WORD.findall(text.lower()))
     found = [terms[w] for w in words.intersection(terms)]
     for n in FRONTS:
-        found += [terms[w] for w in {"^" + w[:n] for w in words if len(w) > n}.intersection(terms)]
+        fronts = Counter([w[:n] for w in words if len(w) > n])
+        found += [terms[f] for f in map("^".__add__, fronts) if f in terms]
+        found += [terms[f] for front, many in fronts.items() if many > 1 for k in REPEATED if many >= k and (f := f"{k}^{front}") in terms]
     plain = len(words & INSULTS)
     hidden = {re.sub(r"[*]", "", m.group().lower()).translate(DISGUISE) for m in DISGUISED.finditer(text)} | {re.sub(r"[ .*_-]", "", m.group()).lower() for m in SPACED.finditer(text)}
     return sorted(found), plain, len((hidden & INSULTS) - words)
 
 
-def vote(found: list[int], plain: int, hidden: int) -> tuple[int | None, ...]:
-    """Votes of VOTERS; terms are dealt to the lexicons in turn."""
-    in_lexicon = {t % LEXICONS for t in found}
+def vote(found: list[int], plain: int, hidden: int, lexicon: list[int]) -> tuple[int | None, ...]:
+    """Votes of VOTERS; lexicon has that of each term."""
+    in_lexicon = {lexicon[t] for t in found}
     hits = len(found) + plain + hidden
     return (*((1 if k in in_lexicon else None) for k in range(LEXICONS)), 1 if plain else None, 1 if hidden else None, 1 if len(found) + plain + hidden >= 2 else None, 0 if not hits else None)
 
@@ -112,19 +116,46 @@ def learn_terms(examples: DataFrame) -> list[str]:
     counts = examples.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share, base = F.col("toxic") / max(n_toxic, 1), F.col("clean") / max(n_clean, 1)
     good = counts.where((F.col("clean") <= 0.02 * F.col("toxic")) & (F.col("toxic") >= 4) & (share >= RARE) & (share >= 30 * base + 2.0 / max(n_clean, 1)))
-    return [r["term"] for r in good.orderBy(F.desc("toxic"), F.asc("clean"), "term").collect()]
+    return apart([(r["term"], r["toxic"], r["clean"]) for r in good.orderBy(F.desc("toxic"), F.asc("clean"), "term").collect()])
+
+
+def parts_of(term: str) -> tuple[int, str]:
+    """(number of words, word or front) of a term; 0 for a whole word."""
+    head, mark, front = term.rpartition("^")
+    return (int(head or 1), front) if mark else (0, term)
+
+
+def apart(counted: list[tuple[str, int, int]]) -> list[str]:
+    """Terms of (term, toxic, clean) without fronts that a longer term has in just as many examples: they say the same once more."""
+    said = set()
+    for term, *n in counted:
+        k, body = parts_of(term)
+        said |= {(max(k, 1), body[:m], *n) for m in FRONTS if len(body) > m}
+    return [term for term, *n in counted if not ((k := parts_of(term))[0] and (*k, *n) in said)]
+
+
+def lexicon_of(terms: list[str]) -> list[int]:
+    """The lexicon of each term, by its source: words, fronts, fronts of several words; the commoner half of each apart, and
+    words dealt to two lexicons in either half. terms come by falling reach."""
+    kinds = [min(parts_of(t)[0], 2) for t in terms]
+    size, met, out = Counter(kinds), Counter(), []
+    for kind in kinds:
+        rest = int(2 * met[kind] >= size[kind])
+        out.append(2 * rest + met[0] % 2 if kind == 0 else 4 + 2 * (kind - 1) + rest)
+        met[kind] += 1
+    return out
 
 
-def _row(found: list[int], plain: int, hidden: int, n: int) -> np.ndarray:
+def _row(found: list[int], plain: int, hidden: int, n: int, lexicon: list[int]) -> np.ndarray:
     """Features of the classifier: a flag for each term, and bounded counts."""
     x = np.zeros(n + 4)
     x[found] = 1
     hits = len(found) + plain + hidden
-    x[n:] = float(plain > 0), float(hidden > 0), min(hits, 4) / 4, min(len({t % LEXICONS for t in found}), 4) / 4
+    x[n:] = float(plain > 0), float(hidden > 0), min(hits, 4) / 4, min(len({lexicon[t] for t in found}), 4) / 4
     return x
 
 
-def _train(rows, labels_of: dict[str, float], n: int) -> np.ndarray:
+def _train(rows, labels_of: dict[str, float], n: int, lexicon: list[int]) -> np.ndarray:
     """Weights for soft labels by vote pattern, over distinct feature rows."""
     counts = Counter((tuple(r["found"]), min(r["plain"], 1), min(r["hidden"], 1), labels_of[r["pattern"]]) for r in rows)
     if not counts:
@@ -135,7 +166,7 @@ def _train(rows, labels_of: dict[str, float], n: int) -> np.ndarray:
     place = {t: i for i, t in enumerate(used)}
     x = np.zeros((len(keys), len(used) + 4), np.float32)
     for i, (found, plain, hidden, _) in enumerate(keys):
-        full = _row(list(found), plain, hidden, n)
+        full = _row(list(found), plain, hidden, n, lexicon)
         x[i, [place[t] for t in found]] = 1
         x[i, len(used) :] = full[n:]
     w = logistic(x, np.array([k[3] for k in keys]), np.array([counts[k] for k in keys], float), l2=0.5)
@@ -164,7 +195,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     examples = docs.join(F.broadcast(chosen), "doc_id")
     terms = learn_terms(examples) if n_toxic and n_clean else []
-    number = {t: i for i, t in enumerate(terms)}
+    number, lexicon = {t: i for i, t in enumerate(terms)}, lexicon_of(terms)
 
     def features(batches):
         import pyarrow as pa
@@ -177,7 +208,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found.append(f[0])
                 plain.append(f[1])
                 hidden.append(f[2])
-                pattern.append("".join("-" if v is None else str(v) for v in vote(*f)))
+                pattern.append("".join("-" if v is None else str(v) for v in vote(*f, lexicon)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(plain, pa.int32()), pa.array(hidden, pa.int32()), pa.array(pattern, pa.string()), b.column(2)],
                 ["doc_id", "found", "plain", "hidden", "pattern", ROW],
@@ -197,7 +228,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     posterior = dict(zip(patterns, model.posterior([read(p) for p in patterns]).tolist()))
     if not sample:  # nothing labelled: every pattern once stands in
         sample = [{"found": [], "plain": int(p[LEXICONS] == "1"), "hidden": int(p[LEXICONS + 1] == "1"), "pattern": p} for p in patterns]
-    weights = _train(sample, posterior, len(terms))
+    weights = _train(sample, posterior, len(terms), lexicon)
 
     def judge(batches):
         import pyarrow as pa
@@ -208,7 +239,7 @@ def row_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             z = []
             for found, plain, hidden in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 hits = len(found) + plain + hidden
-                few = min(hits, 4) / 4, min(len({t % LEXICONS for t in found}), 4) / 4
+                few = min(hits, 4) / 4, min(len({lexicon[t] for t in found}), 4) / 4
                 z.append(weights[found].sum() + weights[n] * (plain > 0) + weights[n + 1] * (hidden > 0) + weights[n + 2] * few[0] + weights[n + 3] * few[1] + weights[n + 4])
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -60, 60)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), b.column(5)], ["doc_id", "held_out", "score", "predicted", ROW])

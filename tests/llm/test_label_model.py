@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tallyhouse.llm import toxicity
 from tallyhouse.llm.label_model import LabelModel
 
 RNG = np.random.default_rng(12)
@@ -44,3 +45,14 @@ def test_a_copy_is_found_and_counts_for_less():
 def test_no_patterns_leave_the_start():
     model = LabelModel(0.2, [(0.6, 0.1)], [(0.1, 0.6)]).fit([], [])
     assert model.prior == 0.2 and abs(model.table[1, 0, 2] - 0.6) < 1e-9
+
+
+def test_terms_of_several_words_and_nested_fronts():
+    """A front that several distinct words share is a term of its own; fronts that say the same as a longer term go."""
+    found = toxicity.terms_of("Achlicht achlichen achlichen achlichau x")
+    assert {"^achl", "2^achlic", "3^achlic"} <= found and "4^achlic" not in found and "achlicht" in found
+    kept = toxicity.apart([("3^achl", 9, 0), ("3^achli", 9, 0), ("3^achlic", 9, 0), ("^achl", 12, 1), ("^ount", 6, 0), ("ounting", 6, 0), ("2^achl", 9, 0)])
+    assert kept == ["3^achlic", "^achl", "ounting", "2^achl"]
+    numbers = {t: k for k, t in enumerate(kept)}
+    assert toxicity.features_of("achlicht achlichen achlichau ounting", numbers)[0] == [0, 1, 2, 3]
+    assert toxicity.lexicon_of(["a", "b", "c", "d", "^aaaa", "^bbbb", "2^aaaa", "3^aaaa"]) == [0, 1, 2, 3, 4, 5, 6, 7]
