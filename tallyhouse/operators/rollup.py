@@ -1,7 +1,8 @@
 """Totals kept over files that come, change and go: partial totals by file, of which only changed ones are made again.
 
 Tables below a folder: partials/file=<digest of the path>, sums by the caller's keys of one source file, and its stamp;
-manifest/number=N, the files that count, written after their partials. A file that changed replaces its own partials and
+listing/number=N, the files as they were found, which stays the same whatever executor is lost; manifest/number=N, the
+files that count, written after their partials. A file that changed replaces its own partials and
 no others, by dynamic partition overwrite. If a run is lost between the two writes, the next one does the same again.
 Partials that no manifest row names with the same stamp do not count: files that are gone, or that have no rows left.
 """
@@ -39,22 +40,20 @@ def refresh(spark: SparkSession, source: str, folder: str, partial: Callable[[Da
     turns of at most at_once, whose paths the driver lists; all others are not opened.
     """
     number, known = manifest(spark, folder)
-    now = present(spark, source, pattern).persist()
-    try:
-        changed = now.join(known, ["path", "file", "stamp"], "left_anti").persist()
-        turns, done = (changed.count() + at_once - 1) // at_once, 0
-        for turn in range(turns):
-            some = changed.where(F.pmod(F.xxhash64("path"), F.lit(turns)) == turn)
-            paths = [r["path"] for r in some.collect()]
+    listing = f"{folder}/listing/number={number + 1}"
+    present(spark, source, pattern).write.mode("overwrite").parquet(listing)
+    now = spark.read.schema(MANIFEST).parquet(listing)
+    changed = now.join(known, ["path", "file", "stamp"], "left_anti")
+    turns, done = -(-changed.count() // at_once), 0
+    for turn in range(turns):
+        some = changed.where(F.pmod(F.xxhash64("path"), F.lit(turns)) == turn).select("path", "file", "stamp")
+        paths = [r["path"] for r in some.collect()]  # about at_once
+        if paths:
             rows = (read or (lambda p: spark.read.parquet(*p)))(paths)
-            named = rows.withColumn("file", F.md5(F.col("_metadata.file_path")))
-            sums = partial(named).join(F.broadcast(some.select("file", "stamp")), "file") if len(paths) <= 1000 else partial(named).join(some.select("file", "stamp"), "file")
+            sums = partial(rows.withColumn("file", F.md5(F.col("_metadata.file_path")))).join(some.select("file", "stamp"), "file")
             sums.repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{folder}/partials")
             done += len(paths)
-        changed.unpersist()
-        now.write.mode("overwrite").parquet(f"{folder}/manifest/number={number + 1}")
-    finally:
-        now.unpersist()
+    now.write.mode("overwrite").parquet(f"{folder}/manifest/number={number + 1}")
     return done
 
 

@@ -185,11 +185,18 @@ class ResultFiles(DataSource):
 def write_lines(lines: DataFrame, order: list[str], folder: str) -> None:
     """(client_id, file, line) and the columns of order: each file's lines in this order, whatever tasks they come from.
 
-    Replaces what the folder held. A client's large file is cut between tasks, which need not hold it whole.
+    Replaces what the folder held. A client's large file is cut between tasks, which need not hold it whole. Lines are
+    put down once before they are dealt, as finding the ranges takes a pass of its own over them.
     """
-    lines.sparkSession.dataSource.register(ResultFiles)
+    spark = lines.sparkSession
+    spark.dataSource.register(ResultFiles)
     keys = ["client_id", "file", *order, "line"]
+    unordered = f"{folder}/_unordered-{uuid.uuid4().hex}"
+    lines.select(*keys).write.parquet(unordered)
+    lines = spark.read.schema(lines.select(*keys).schema).parquet(unordered)
     lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("client_id", "file", "line").write.format("result_files").mode("overwrite").save(folder)
+    fs, root = filesystem(unordered)
+    fs.delete_dir(root)
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyhouse.config import QueryConfig
 from tallyhouse.operators import aggregate as A, filters as L, ranking as R
 from tallyhouse.operators.dimensions import Dimension, lookup
+from tallyhouse.sinks.result_files import filesystem
 from tallyhouse.sources import ingest as I
 from tallyhouse.streaming import keyed as K
 
@@ -131,6 +133,9 @@ def run_ranking(counts: DataFrame, folder: str, per: list[str], key: str, by: st
             best = spark.read.parquet(f"{folder}/ranking/number={number}")
             left = before.join(best, [*per, key], "left_anti").withColumn("rank", F.lit(None).cast("int"))
             best.exceptAll(before.select(*columns)).unionByName(left.select(*columns)).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+            fs, root = filesystem(folder)
+            with contextlib.suppress(FileNotFoundError):
+                fs.delete_dir(f"{root}/ranking/number={number - 2}")
         finally:
             new.unpersist()
 
