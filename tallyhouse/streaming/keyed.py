@@ -88,13 +88,14 @@ class Barrier(StatefulProcessor):
         data = [m for m in data if m[2] > after]
         if data:
             self.messages.appendList(data)
+        marks = {name: late for name, seqs in marks.items() if (late := [s for s in seqs if s > after])}
         for name, seqs in marks.items():
             known = self.marks.getValue((name,))[0] if self.marks.containsKey((name,)) else []
             self.marks.updateValue((name,), (sorted({*known, *seqs}),))
         if not (marks or resets) or sent and sent[0] == since:
             return
-        first = sorted(min((s for s in v[0] if s > since), default=None) or NEVER for _, v in self.marks.iterator())
-        first = [s for s in first if s > since]
+        valid = [[s for s in seqs if s > since] for _, (seqs,) in self.marks.iterator()]
+        first = sorted(min(seqs) for seqs in valid if seqs)
         if len(first) < self.needed:
             return
         until = first[self.needed - 1]
@@ -238,7 +239,7 @@ def named(facts: DataFrame, dimension: DataFrame, ends: DataFrame, key: str, nam
     of_key = lambda salt: F.pmod(F.xxhash64("key") + salt, F.lit(parts)).cast("int")
     f = facts.select("client_id", F.lit("fact").alias("kind"), F.col(key).cast("string").alias("key"), none("long", "seq"), none("string", "name"), F.struct(*columns).alias("row"))
     f = f.withColumn("part", of_key(F.pmod(F.xxhash64(F.to_json("row")), F.lit(copies))))
-    d = dimension.select("client_id", F.lit("name").alias("kind"), F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("name").cast("string").alias("name"), none(row, "row"))
+    d = dimension.select("client_id", F.lit("name").alias("kind"), F.col("key").cast("string").alias("key"), F.coalesce(F.col("seq").cast("long"), F.lit(NEVER)).alias("seq"), F.col("name").cast("string").alias("name"), none(row, "row"))
     d = d.where("trim(key) <> '' and trim(name) <> ''").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda c: of_key(c))))
     e = ends.select("client_id", F.lit("end").alias("kind"), none("string", "key"), none("long", "seq"), none("string", "name"), none(row, "row"))
     e = e.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -61,6 +61,11 @@ def test_barrier_after_it_was_sent(spark, tmp_path):
     put(spark, [("a", "CLIENT_RESET", None, None, 10), ("a", "EOF", "x", None, 20), ("a", "EOF", "y", None, 21)], MESSAGES, tmp_path / "in")
     barrier(spark, tmp_path)
     assert sent(spark, tmp_path) == [("a", 3.0, 1), ("a", 5.0, 1)]
+    # Repeats of what was sent leave no state, and a seq of 0 is one like any other.
+    put(spark, [("a", "EOF", "x", None, 20), ("a", "data", "next", 3.0, 12), ("z", "data", "m", 1.0, -1), ("z", "EOF", "x", None, 0), ("z", "EOF", "y", None, 0)], MESSAGES, tmp_path / "in")
+    barrier(spark, tmp_path)
+    assert sent(spark, tmp_path) == [("a", 3.0, 1), ("a", 5.0, 1), ("z", 1.0, 1)]
+    assert state(spark, tmp_path / "run", "marks").count() == 0 and state(spark, tmp_path / "run", "messages").count() == 0
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -125,7 +130,7 @@ def test_facts_wait_for_their_dimension(spark, tmp_path):
     got = lambda: sorted((r["client_id"], r["k"] or "", r["n"], r["title"]) for r in spark.read.parquet(str(tmp_path / "run" / "out")).collect())
     hot = [("a", "x", k) for k in range(20)]
     put(spark, [*hot, ("a", "z", 100), ("a", None, 101), ("b", "x", 102), ("b", "x", 102)], fact, tmp_path / "facts")
-    put(spark, [("a", "x", "old", 1), ("a", "x", "new", 3), ("a", "x", "mid", 2), ("a", "q", " ", 9), ("b", "x", "of b", 1)], name, tmp_path / "names")
+    put(spark, [("a", "x", "old", 1), ("a", "x", "new", 3), ("a", "x", "mid", 2), ("a", "x", "unnumbered", None), ("a", "q", " ", 9), ("b", "x", "of b", 1)], name, tmp_path / "names")
     run()
     assert got() == []
     put(spark, [("a", "x", 200), ("a", "q", 201)], fact, tmp_path / "facts")
