@@ -102,9 +102,12 @@ def hold(cache=None) -> None:
         c.cache_clear()
     if gone:
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed memory until told
-        if trim is not None:
-            trim(0)
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed memory until told
+    if trim is not None:
+        trim(0)
 
 
 def rest_collector() -> None:

@@ -17,6 +17,8 @@ that, and all strings of a part that is still too large, are counted by their di
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -35,28 +37,33 @@ SORTED = 300_000
 SLICE = 20_000
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def suffix_array(text: Sequence[int]) -> list[int]:
     """Starts of the suffixes in ascending order; the text's last symbol must be its least and occur once."""
+    return list(_suffixes(text))
+
+
+def _suffixes(text: Sequence[int]) -> array:
+    """suffix_array() with all numbers in arrays of 32 bits, so that a symbol takes some 40 bytes in all."""
     n = len(text)
-    group = [0] * n
-    members: list[list[int]] = []
+    group = array("i", bytes(4 * n))
+    members: list[array] = []
     below: list[int] = []
     above: list[int] = []
     first = {c: g for g, c in enumerate(sorted(set(text)))}
     for g in range(len(first)):
-        members.append([])
+        members.append(array("i"))
         below.append(g - 1)
         above.append(g + 1 if g + 1 < len(first) else -1)
     for i, c in enumerate(text):
         g = group[i] = first[c]
         members[g].append(i)
     done = [False] * len(first)
-    previous = [-1] * n
+    previous = array("i", [-1]) * n
     g = len(first) - 1
     while g >= 0:
         own = [s for s in members[g] if group[s] == g]
         own.sort()
-        members[g] = own
+        members[g] = array("i", own)
         done[g] = True
         pointed: dict[int, int] = {}
         for s in own:
@@ -78,7 +85,7 @@ def suffix_array(text: list[int]) -> list[int]:
                     new = moved.get(h)
                     if new is None:
                         new = moved[h] = len(members)
-                        members.append([])
+                        members.append(array("i"))
                         done.append(False)
                         up = above[h]
                         below.append(h)
@@ -96,8 +103,8 @@ def suffix_array(text: list[int]) -> list[int]:
         if members[g] and done[g]:
             at += len(members[g])
         g = above[g]
-    order = [-1] * n
-    placed = [False] * n
+    order = array("i", [-1]) * n
+    placed = bytearray(n)
     order[0], placed[n - 1] = n - 1, True
     for i in range(n):
         j = order[i] - 1
@@ -113,20 +120,20 @@ def suffix_array(text: list[int]) -> list[int]:
 def repeated_starts(regions: list[tuple[int, bytes, bytes]], width: int) -> list[list[int]]:
     """For regions (gram's number, bytes left of the gram, bytes right of it): by region, how far left of the gram the
     strings of width symbols start that occur in another region too. A region's left and right hold just its own strings."""
-    parts, begins, at = [], [], 0
+    parts, begins, at = array("i"), [], 0
     for g, left, right in regions:
         part = [b + 2 for b in left] + [258 + g] + [b + 2 for b in right] + [1]
-        parts += part
+        parts.extend(part)
         begins.append(at)
         at += len(part)
     parts.append(0)
     chars = "".join(map(chr, parts))
-    owner = np.repeat(np.arange(len(regions)), np.diff([*begins, at])).tolist()
+    owner = array("i", np.repeat(np.arange(len(regions), dtype=np.int32), np.diff([*begins, at])).tobytes())
     lefts = [len(left) for _, left, _ in regions]
     ends = [b + len(left) + 1 + len(right) for b, (_, left, right) in zip(begins, regions)]
     good: list[set[int]] = [set() for _ in regions]
     last = None
-    for i in suffix_array(parts):
+    for i in _suffixes(parts):
         if i >= at:
             continue
         r = owner[i]
