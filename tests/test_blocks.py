@@ -40,3 +40,25 @@ def test_gate_holds_blocks(spark, tmp_path):
     spark.createDataFrame([("a", "y"), (None, "x"), (None, "y")], ends).write.mode("append").parquet(f"{tmp_path}/ends")
     run()
     assert same(spark.read.parquet(f"{tmp_path}/run/out").drop("batch", "number"), df)
+
+
+def test_barrier_holds_blocks_over_a_reset(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [("a", "data", rng.choice([None, "", f"m{rng.randrange(900)}"]), rng.choice([None, float(k % 11)]), k) for k in range(5000)]
+    put = lambda rows: spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: J.run_barrier(J.file_stream(spark, f"{tmp_path}/in", MESSAGES), f"{tmp_path}/run", 2, parts=2)
+    put(rng.sample(rows, len(rows)))
+    run()
+    assert state(spark, f"{tmp_path}/run", "messages").count() + state(spark, f"{tmp_path}/run", "blocks").count() < 100
+    put([("a", "CLIENT_RESET", None, None, 1000), ("a", "EOF", "x", None, 2000), ("a", "EOF", "y", None, 4000)])
+    run()
+    first, nameless = {}, []
+    for _, _, name, amount, seq in rows[1001:4001]:
+        first.setdefault(name, amount) if name else nameless.append(amount)
+    amounts = [*first.values(), *nameless]
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/run/out").select("amount", "n_rows").collect()] == [(sum(a or 0 for a in amounts), len(amounts))]
+    # What came after the last marker waits on, and is sent after another reset.
+    put([("a", "CLIENT_RESET", None, None, 4990), ("a", "EOF", "x", None, 6000), ("a", "EOF", "y", None, 6000)])
+    run()
+    left = {name or seq: amount for _, _, name, amount, seq in reversed(rows[4991:])}
+    assert sorted(r["n_rows"] for r in spark.read.parquet(f"{tmp_path}/run/out").collect()) == sorted([len(amounts), len(left)])
