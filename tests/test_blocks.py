@@ -62,3 +62,19 @@ def test_barrier_holds_blocks_over_a_reset(spark, tmp_path):
     run()
     left = {name or seq: amount for _, _, name, amount, seq in reversed(rows[4991:])}
     assert sorted(r["n_rows"] for r in spark.read.parquet(f"{tmp_path}/run/out").collect()) == sorted([len(amounts), len(left)])
+
+
+def test_named_facts_wait_in_blocks(spark, tmp_path):
+    df = spark.range(6000).selectExpr("'a' client_id", "cast(if(id % 9 = 0, null, id % 5) as int) k", "id", *ODD)
+    name, end = "client_id string, key string, name string, seq long", "client_id string"
+    df.write.parquet(f"{tmp_path}/facts")
+    spark.createDataFrame([("a", str(k), f"n{k}", 1) for k in range(4)], name).write.parquet(f"{tmp_path}/names")
+    spark.createDataFrame([], end).write.parquet(f"{tmp_path}/ends")
+    read = lambda f, schema: J.file_stream(spark, f"{tmp_path}/{f}", schema)
+    run = lambda: J.run_available(K.named(read("facts", df.schema), read("names", name), read("ends", end), "k", "title", "none", copies=2, parts=3), f"{tmp_path}/run")
+    run()
+    assert 0 < state(spark, f"{tmp_path}/run", "waiting").count() < 100
+    spark.createDataFrame([("a",)], end).write.mode("append").parquet(f"{tmp_path}/ends")
+    run()
+    want = df.withColumn("title", F.when(F.col("k") < 4, F.concat(F.lit("n"), F.col("k").cast("string"))).otherwise("none"))
+    assert same(spark.read.parquet(f"{tmp_path}/run/out").drop("batch", "number"), want)
