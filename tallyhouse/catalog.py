@@ -275,7 +275,8 @@ def val_q4_membership(s, d):
 
 def _stream(s, d, name):
     # A pattern, since the source takes a plain path for a folder while a table may be one file.
-    return J.file_stream(s, f"{d}/{name}.parque[t]", D.table(s, d, name).schema)
+    # By size, so that a table in many files takes no more batches than the same in one.
+    return J.file_stream(s, f"{d}/{name}.parque[t]", D.table(s, d, name).schema, size=256 << 20)
 
 
 def _events(stream):
