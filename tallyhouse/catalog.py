@@ -534,16 +534,17 @@ def snk_lines_q2_profit(s, d):
 def _item_text(s, d):
     """Items as one JSON message for each order, of which three in forty can't be read, and some rows of others."""
     item = F.struct(F.col("transaction_id").cast("string").alias("transaction_id"), F.when(F.pmod("item_id", F.lit(40)) == 7, "no number").otherwise(F.col("item_id").cast("string")).alias("item_id"), F.col("quantity").cast("string").alias("quantity"), F.lit("1.0").alias("unit_price"), F.col("subtotal").cast("string").alias("subtotal"))
-    sent = D.items(s, d).groupBy("transaction_id").agg(F.collect_list(item).alias("data"))
+    # In order: rows come to a task in none, and a message is to have the same text whenever it is made.
+    sent = D.items(s, d).groupBy("transaction_id").agg(F.sort_array(F.collect_list(item)).alias("data"))
     value = F.to_json(F.struct(F.lit("c1").alias("client_id"), F.col("transaction_id").cast("string").alias("message_uuid"), "data"))
     at = lambda k: F.pmod("transaction_id", F.lit(40)) == k
-    return sent.select(F.when(at(3), F.concat(F.lit("{"), value)).when(at(5), "").when(at(9), F.regexp_replace(value, '"data":', '"rows":')).otherwise(value).alias("value"))
+    return sent.select("transaction_id", F.when(at(3), F.concat(F.lit("{"), value)).when(at(5), "").when(at(9), F.regexp_replace(value, '"data":', '"rows":')).otherwise(value).alias("value"))
 
 
 def _messages_in_two_runs(s, d):
     """Messages as text files, read as a stream that stops after the first half and goes on where it stopped."""
     folder = J.fresh_folder(s, "messages")
-    text = _item_text(s, d).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+    text = _item_text(s, d).withColumn("half", F.pmod(F.xxhash64("transaction_id"), F.lit(2)))
     stream = lambda: J.file_stream(s, f"{folder}/in", "value string", "text", files=2)
     for half in (0, 1):
         text.where(F.col("half") == half).select("value").repartition(3).write.mode("append").text(f"{folder}/in")
