@@ -579,7 +579,7 @@ def agg_incremental(s, d):
     rows = D.items(s, d).withColumn("y", F.year("created_at"))
 
     def deliver(df):
-        df.repartition("y").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("y").parquet(f"{folder}/source")
+        df.hint("rebalance", "y").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("y").parquet(f"{folder}/source")
         U.refresh(s, f"{folder}/source", f"{folder}/kept", partial)
 
     def partial(df):

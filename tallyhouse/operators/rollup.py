@@ -18,6 +18,8 @@ from tallyhouse.operators.aggregate import merge_partials
 from tallyhouse.sources.ingest import listed
 
 MANIFEST = "path string, file string, stamp string"
+#: Bytes of partials that a task adds up at most, about.
+PART = 32 << 20
 
 
 def manifest(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
@@ -33,25 +35,27 @@ def present(spark: SparkSession, source: str, pattern: str = "*.parquet") -> Dat
     return files.select("path", F.md5("path").alias("file"), F.concat_ws("-", F.col("length"), F.unix_micros("modificationTime")).alias("stamp"))
 
 
-def refresh(spark: SparkSession, source: str, folder: str, partial: Callable[[DataFrame], DataFrame], read: Callable[[list[str]], DataFrame] | None = None, pattern: str = "*.parquet", at_once: int = 10_000) -> int:
+def refresh(spark: SparkSession, source: str, folder: str, partial: Callable[[DataFrame], DataFrame], read: Callable[[list[str]], DataFrame] | None = None, pattern: str = "*.parquet", at_once: int = 10_000, size: int = 1 << 30) -> int:
     """Brings the partials of a source's files up to date, and gives the number of files that were read.
 
     partial: from rows with the column file to partial totals by file and the caller's keys. Changed files are read in
-    turns of at most at_once, whose paths the driver lists; all others are not opened.
+    turns of about at_once files, whose paths the driver lists, or size bytes; all others are not opened. Partials of a
+    large file are written by several tasks.
     """
     number, known = manifest(spark, folder)
     listing = f"{folder}/listing/number={number + 1}"
     present(spark, source, pattern).write.mode("overwrite").parquet(listing)
     now = spark.read.schema(MANIFEST).parquet(listing)
     changed = now.join(known, ["path", "file", "stamp"], "left_anti")
-    turns, done = -(-changed.count() // at_once), 0
+    files, length = changed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.split("stamp", "-")[0].cast("long")), F.lit(0))).first()
+    turns, done = max(-(-files // at_once), min(files, -(-length // size))), 0
     for turn in range(turns):
         some = changed.where(F.pmod(F.xxhash64("path"), F.lit(turns)) == turn).select("path", "file", "stamp")
         paths = [r["path"] for r in some.collect()]  # about at_once
         if paths:
             rows = (read or (lambda p: spark.read.parquet(*p)))(paths)
             sums = partial(rows.withColumn("file", F.md5(F.col("_metadata.file_path")))).join(some.select("file", "stamp"), "file")
-            sums.repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{folder}/partials")
+            sums.hint("rebalance", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{folder}/partials")
             done += len(paths)
     now.write.mode("overwrite").parquet(f"{folder}/manifest/number={number + 1}")
     return done
@@ -66,4 +70,9 @@ def totals(spark: SparkSession, folder: str, keys: list[str], sums: list[str]) -
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         raise ValueError(f"{folder} holds no partial totals") from e
-    return merge_partials(partials.join(counted.select("file", "stamp"), ["file", "stamp"], "left_semi"), keys, sums)
+    partials = partials.join(counted.select("file", "stamp"), ["file", "stamp"], "left_semi")
+    length = listed(spark, f"{folder}/partials", "*.parquet").agg(F.sum("length")).first()[0] or 0
+    parts = -(-length // PART)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        partials = partials.repartition(parts, *keys)
+    return merge_partials(partials, keys, sums)
