@@ -273,10 +273,13 @@ def val_q4_membership(s, d):
     return V.outside_top(counts.where("user_id > 0 and user_id % 2 = 0").select("store_id", "user_id"), counts)
 
 
+#: Bytes of a batch, about: by size, so that rows in many files take no more batches than the same in one.
+BATCH = 256 << 20
+
+
 def _stream(s, d, name):
     # A pattern, since the source takes a plain path for a folder while a table may be one file.
-    # By size, so that a table in many files takes no more batches than the same in one.
-    return J.file_stream(s, f"{d}/{name}.parque[t]", D.table(s, d, name).schema, size=256 << 20)
+    return J.file_stream(s, f"{d}/{name}.parque[t]", D.table(s, d, name).schema, size=BATCH)
 
 
 def _events(stream):
@@ -610,7 +613,7 @@ def stream_named(s, d):
         df.where("false").write.parquet(f"{folder}/{name}")
 
     def run():
-        read = lambda name, df: J.file_stream(s, f"{folder}/{name}", df.schema)
+        read = lambda name, df: J.file_stream(s, f"{folder}/{name}", df.schema, size=BATCH)
         J.run_available(K.named(read("facts", events), read("stores", old), read("ends", ends), "store_id", "store_name", "Unknown Store"), folder)
 
     for k, parts in enumerate(([("facts", third(0)), ("stores", old)], [("facts", third(1)), ("stores", new)], [("ends", ends)], [("facts", third(2))])):

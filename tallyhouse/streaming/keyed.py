@@ -26,6 +26,8 @@ SETTINGS = {
 }
 #: Parts of one client's rows.
 PARTS = 64
+#: Tasks of a batch where the session has as many, on few cores too: more of them may come later.
+LEAST = 32
 #: Milliseconds after which state that nothing touched is forgotten: clients that never end leave nothing for good.
 FORGET = 30 * 24 * 3600 * 1000
 #: Messages of a client's part and batch that are kept as rows; more of them are kept in blocks.
@@ -36,11 +38,20 @@ APPEND = 100
 NEVER = -(2**63)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks of a batch: the session's, but no more than LEAST and two for each core.
+
+    Each opens a store and a worker in every batch, whether rows come or not. A query keeps the number it began with.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST, 2 * spark.sparkContext.defaultParallelism))
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession):
-    """Queries started inside have SETTINGS; the session's own are as before afterwards."""
-    before = {name: spark.conf.get(name, None) for name in SETTINGS}
-    for name, value in SETTINGS.items():
+    """Queries started inside have SETTINGS and tasks(); the session's own are as before afterwards."""
+    inside = {**SETTINGS, "spark.sql.shuffle.partitions": str(tasks(spark))}
+    before = {name: spark.conf.get(name, None) for name in inside}
+    for name, value in inside.items():
         spark.conf.set(name, value)
     try:
         yield

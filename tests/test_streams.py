@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tallyhouse import catalog
-from tallyhouse.streaming import jobs
+from tallyhouse.streaming import jobs, keyed
 
 FILES, ROWS = 12, 1200
 
@@ -53,3 +53,33 @@ def test_delivery_over_a_restart(spark, tmp_path):
     got = sorted(tuple(r) for r in jobs.delivered(spark, folder).select("client_id", "transaction_id", "final_amount").collect())
     assert got == [("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 2.0)]
     assert [r["transaction_id"] for r in jobs.delivered(spark, folder, "b").collect()] == [1]
+
+
+def test_facts_in_many_files_take_one_batch_a_run(spark, many_files, monkeypatch):
+    """Of 12 files that each of the three writings of facts makes, a batch took four."""
+    batches, run = [], jobs.run_available
+    monkeypatch.setattr(jobs, "run_available", lambda *a, **k: batches.append(len(run(*a, **k))))
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.mode("ignore").parquet(f"{many_files}/nation.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = catalog.queries()["stream_named"](spark, many_files).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert batches == [1, 1, 1, 1]
+    assert sorted(r["transaction_id"] for r in got) == list(range(ROWS))
+    assert {r["store_name"] for r in got if r["store_id"] == 7} == {"old NATION_7"}
+
+
+def test_keyed_queries_take_few_tasks(spark):
+    """Each task opens a store and a worker in every batch, so 200 of them cost more than the rows."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        for of_session, inside in (("200", "32"), ("3", "3")):
+            spark.conf.set(name, of_session)
+            with keyed.settings(spark):
+                assert spark.conf.get(name) == inside
+            assert spark.conf.get(name) == of_session
+    finally:
+        spark.conf.set(name, before)
