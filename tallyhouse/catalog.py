@@ -547,7 +547,9 @@ def _item_text(s, d):
 def _messages_in_two_runs(s, d):
     """Messages as text files, read as a stream that stops after the first half and goes on where it stopped."""
     folder = J.fresh_folder(s, "messages")
-    text = _item_text(s, d).withColumn("half", F.pmod(F.xxhash64("transaction_id"), F.lit(2)))
+    # Put down once: were it made anew for each half, a message could fall into both or none.
+    _item_text(s, d).withColumn("half", F.pmod(F.xxhash64("transaction_id"), F.lit(2))).select("half", "value").write.parquet(f"{folder}/made")
+    text = s.read.parquet(f"{folder}/made")
     stream = lambda: J.file_stream(s, f"{folder}/in", "value string", "text", files=2)
     for half in (0, 1):
         text.where(F.col("half") == half).select("value").repartition(3).write.mode("append").text(f"{folder}/in")
