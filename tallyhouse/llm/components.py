@@ -14,6 +14,8 @@ from tallyhouse.llm.common import Store
 
 #: Parts of a hub's edges. A hub has at least LEAST edges and a HUBS-th of all, so there are at most 2 * HUBS.
 PARTS, LEAST, HUBS = 64, 2000, 200
+#: Edges of a task that writes a step's result.
+A_TASK = 50_000
 
 
 def _met(edges: DataFrame, least: DataFrame, hubs: list[int]) -> DataFrame:
@@ -27,10 +29,10 @@ def _met(edges: DataFrame, least: DataFrame, hubs: list[int]) -> DataFrame:
 
 
 def _large_star(edges: DataFrame, hubs: list[int]) -> DataFrame:
-    """Edges (a, b), a > b: each vertex links its larger neighbours to the least of itself and its neighbours."""
+    """Edges (a, b), a > b, repeats among them: each vertex links its larger neighbours to the least of itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return _met(both, least, hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _met(both, least, hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, hubs: list[int]) -> DataFrame:
@@ -56,7 +58,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         hub = max(LEAST, edges_ // HUBS)
         hubs = [r["a"] for r in degrees.where(F.col("up") + F.col("down") > hub).select("a").collect()] if most > hub else []  # at most 2 * HUBS
-        large = store.put(_large_star(now, hubs))
-        now = store.put(_small_star(large, hubs))
+        # A step makes no more than two rows of an edge, so few edges need few tasks and files, whatever the shuffle has.
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges_ // A_TASK))
+        large = store.put(_large_star(now, hubs).coalesce(tasks))
+        now = store.put(_small_star(large, hubs).coalesce(tasks))
         store.drop_all_but(now)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
