@@ -4,7 +4,11 @@ Every string of `length` bytes holds an anchor: of its 192-byte grams, the one o
 anchors at equal places, so a string can only repeat within the group of its anchor's gram. Anchors whose gram occurs
 once drop out at once. An anchor answers for the strings for which it is the least one; together they cover a region of
 the text. Regions that are equal as a whole repeat as a whole, and need counting only. What is left is decided by suffix
-arrays over the distinct regions of a gram, the gram itself being one symbol.
+arrays over the distinct regions of a gram, the gram itself being one symbol. Bytes that a region shares with no other one
+of its gram, in their order from the gram, are in no string that repeats and are cut off before; what all strings of a gram
+then hold goes into that symbol too.
+
+Longer strings repeat only where shorter ones do, so they are looked for within the runs of those.
 
 Suffixes are sorted by linear grouping: groups of suffixes with one Lyndon prefix are refined in descending order through
 pointers to the previous smaller suffix, then the order within the groups is emitted in ascending order along the same
@@ -29,6 +33,8 @@ from tallyhouse.llm.common import Store, hold, ids_and_texts, row_key
 from tallyhouse.llm.minhash import _mix
 
 LENGTH, GRAM = 400, 192
+#: Words of a repeated passage, at least.
+WORDS = 50
 #: Starts of strings looked at in one step; distinct regions sorted together at most; bytes on either side that split larger groups.
 STEP, TOGETHER, BESIDE = 60_000, 4000, 3
 #: Bytes that groups have which are sorted together; a larger group is sorted alone.
@@ -117,11 +123,62 @@ def _suffixes(text: Sequence[int]) -> array:
     return order
 
 
-def repeated_starts(regions: list[tuple[int, bytes, bytes]], width: int) -> list[list[int]]:
-    """For regions (gram's number, bytes left of the gram, bytes right of it): by region, how far left of the gram the
-    strings of width symbols start that occur in another region too. A region's left and right hold just its own strings."""
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes a and b share from their start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def _shared(sides: list[bytes]) -> list[int]:
+    """How many bytes each of them shares from its start with any other one: the one before or after it in order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        n = _common(sides[i], sides[j])
+        out[i], out[j] = max(out[i], n), n
+    return out
+
+
+def shared_parts(regions: list[tuple[int, bytes, bytes]], width: int) -> list[tuple[int, int, tuple[int, bytes, bytes, int]]]:
+    """The regions (gram's number, bytes left of the gram, bytes right of it) that can share a string of width symbols with
+    another of their gram, as repeated_starts() takes them: place in the list, how much more the new gram has on the left, region.
+
+    They are cut to the bytes that others have beside the gram too, and the gram takes in what then all strings hold. The strings that
+    repeat stay whole.
+    """
+    groups: dict[int, list[int]] = {}
+    for k, r in enumerate(regions):
+        groups.setdefault(r[0], []).append(k)
+    out, numbers = [], {}
+    for g, own in groups.items():
+        lefts = _shared([regions[k][1][::-1] for k in own])
+        rights = _shared([regions[k][2] for k in own])
+        own = [(k, x, y) for k, x, y in zip(own, lefts, rights) if x + y >= width - 1]
+        if not own:
+            continue
+        more_left = max(0, width - 1 - max(y for _, _, y in own))
+        more_right = max(0, width - 1 - max(x for _, x, _ in own))
+        for k, x, y in own:
+            _, left, right = regions[k]
+            n = len(left)
+            gram = numbers.setdefault((g, left[n - more_left :], right[:more_right]), len(numbers))
+            out.append((k, more_left, (gram, left[n - x : n - more_left], right[more_right:y], width - more_left - more_right)))
+    return out
+
+
+def repeated_starts(regions: list[tuple[int, bytes, bytes, int]]) -> list[list[int]]:
+    """For regions (gram's number, bytes left of the gram, bytes right of it, width, the same for all of a gram): by region, how
+    far left of the gram the strings of width symbols start that occur in another region too. A region's left and right hold just its own strings."""
     parts, begins, at = array("i"), [], 0
-    for g, left, right in regions:
+    for g, left, right, _ in regions:
         part = [b + 2 for b in left] + [258 + g] + [b + 2 for b in right] + [1]
         parts.extend(part)
         begins.append(at)
@@ -129,14 +186,15 @@ def repeated_starts(regions: list[tuple[int, bytes, bytes]], width: int) -> list
     parts.append(0)
     chars = "".join(map(chr, parts))
     owner = array("i", np.repeat(np.arange(len(regions), dtype=np.int32), np.diff([*begins, at])).tobytes())
-    lefts = [len(left) for _, left, _ in regions]
-    ends = [b + len(left) + 1 + len(right) for b, (_, left, right) in zip(begins, regions)]
+    lefts = [len(r[1]) for r in regions]
+    ends = [b + len(left) + 1 + len(right) for b, (_, left, right, _) in zip(begins, regions)]
     good: list[set[int]] = [set() for _ in regions]
     last = None
     for i in _suffixes(parts):
         if i >= at:
             continue
         r = owner[i]
+        width = regions[r][3]
         if i - begins[r] > lefts[r] or i + width > ends[r]:
             continue
         now = chars[i : i + width]
@@ -200,21 +258,50 @@ def _bytes(text: str | None) -> bytes:
 
 
 def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row_key, spans array<struct<start, end>>) of the rows with bytes to remove; spans may overlap, in no order.
+    """(row_key, spans array<struct<start, end>>) of the rows with bytes to remove; spans are in order and do not meet.
 
     A byte is to be removed if a string of `length` bytes covers it that also starts anywhere else, be it in a row of the
     same id or of none.
     """
-    docs = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    width = length - gram + 1
-    store = Store(docs.sparkSession, "suffix")  # the sides of joins by gram are stored, so that Spark can split a hot one
+    texts = docs.select(row_key().alias("doc_id"), F.lit(0).alias("base"), F.col("text").cast("string").cast("binary").alias("text"))
+    return _find(texts, length, gram, Store(docs.sparkSession, "suffix"))
+
+
+def find_within(docs: DataFrame, shorter: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """What find() finds, if shorter is what it found in the same rows for a smaller length.
+
+    All of a repeated string's own strings repeat, so it lies in one of the spans of shorter, and so does each other place of it.
+    """
+    store = Store(docs.sparkSession, "suffix")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        hold()
+        for b in batches:
+            rows = [
+                (doc, x["start"], text[x["start"] : x["end"]])
+                for doc, text, spans in zip(*(c.to_pylist() for c in b.columns))
+                for x in spans
+                if x["end"] - x["start"] >= length
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "base", "text"])
+
+    runs = shorter.where(F.exists("spans", lambda x: x["end"] - x["start"] >= length))
+    texts = docs.select(row_key().alias("row_key"), F.col("text").cast("string").cast("binary").alias("text"))
+    return _find(store.put(texts.join(runs, "row_key").select("row_key", "text", "spans").mapInArrow(cut, "doc_id long, base int, text binary")), length, gram, store)
+
+
+def _find(docs: DataFrame, length: int, gram: int, store: Store) -> DataFrame:
+    """find() for (doc_id, base, text): text is what the row named doc_id has from byte base on."""
+    width = length - gram + 1  # the sides of joins by gram are stored, so that Spark can split a hot one
 
     def grams(batches):
         import pyarrow as pa
 
         hold()
         for b in batches:
-            found = [anchors(_bytes(t), length, gram)[0] for t in b.column(1).to_pylist()]
+            found = [anchors(t or b"", length, gram)[0] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["gram"])
 
     def regions(batches):
@@ -222,25 +309,24 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
         hold()
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = _bytes(text)
-                h, a, lo, hi = anchors(data, length, gram)
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for doc, base, data in zip(*(c.to_pylist() for c in b.columns)):
+                h, a, lo, hi = anchors(data or b"", length, gram)
                 digest = xxhash.xxh3_64_intdigest
                 region = np.array([digest(data[x:y]) for x, y in zip(lo.tolist(), (hi + length).tolist())], np.uint64)
-                for c, x in zip(cols, (h.view(np.int64), region.view(np.int64), np.full(len(h), doc), a, lo, hi)):
+                for c, x in zip(cols, (h.view(np.int64), region.view(np.int64), np.full(len(h), doc), np.full(len(h), base), a + base, lo + base, hi + base)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 3)], ["gram", "region", "doc_id", "at", "lo", "hi"]
+                [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 4)], ["gram", "region", "doc_id", "base", "at", "lo", "hi"]
             )
 
-    repeated = store.put(docs.mapInArrow(grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    seen = store.put(docs.mapInArrow(regions, "gram long, region long, doc_id long, at int, lo int, hi int").join(repeated.hint("merge"), "gram", "left_semi"))
-    distinct = store.put(seen.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at", "lo", "hi")).alias("one")))
+    repeated = store.put(docs.select("text").mapInArrow(grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    seen = store.put(docs.mapInArrow(regions, "gram long, region long, doc_id long, base int, at int, lo int, hi int").join(repeated.hint("merge"), "gram", "left_semi"))
+    distinct = store.put(seen.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "base", "at", "lo", "hi")).alias("one")))
     # Regions that occur once, and share their gram with another region, have to be looked into; the others are decided.
     mixed = store.put(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("regions"), F.min("times").alias("least")).where("regions > 1 and least = 1").select("gram", "regions"))
     asked = distinct.join(mixed, "gram").select("gram", "region", "times", "regions", "one.*")
-    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "region", "times", "regions", "at", "lo", "hi")).alias("asked"))
+    lists = asked.groupBy("doc_id", "base").agg(F.collect_list(F.struct("gram", "region", "times", "regions", "at", "lo", "hi")).alias("asked"))
 
     def cut(batches):
         import pyarrow as pa
@@ -253,18 +339,18 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
         rows = []
         for b in batches:
-            for doc, text, wanted in zip(*(b.column(k) for k in range(3))):
-                data = _bytes(text.as_py())
+            for doc, base, text, wanted in zip(*b.columns):
+                base, data = base.as_py(), text.as_py()
                 for r in wanted.as_py():
-                    a = r["at"]
-                    rows.append((r["gram"], r["region"], r["times"], r["regions"], doc.as_py(), a, data[r["lo"] : a], data[a + gram : r["hi"] + length]))
+                    a, lo, hi = r["at"] - base, r["lo"] - base, r["hi"] - base
+                    rows.append((r["gram"], r["region"], r["times"], r["regions"], doc.as_py(), r["at"], data[lo:a], data[a + gram : hi + length]))
                     if len(rows) == SLICE:
                         yield batch(rows)
                         rows = []
         if rows:
             yield batch(rows)
 
-    pieces = docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(cut, "gram long, region long, times long, regions long, doc_id long, at int, left binary, right binary")
+    pieces = docs.join(lists, ["doc_id", "base"]).select("doc_id", "base", "text", "asked").mapInArrow(cut, "gram long, region long, times long, regions long, doc_id long, at int, left binary, right binary")
     large = F.col("regions") > TOGETHER
     beside = F.when(large, F.concat(F.substring("left", F.greatest(F.length("left") - (BESIDE - 1), F.lit(1)), F.lit(BESIDE)), F.lit(b"|"), F.substring("right", 1, BESIDE))).otherwise(F.lit(b""))
     pieces = store.put(pieces.withColumn("large", large).withColumn("part", beside))
@@ -281,9 +367,10 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
         def decide(rows):
             numbers: dict = {}
-            found = repeated_starts([(numbers.setdefault((r["gram"], r["part"]), len(numbers)), r["left"], r["right"]) for r in rows], width)
+            kept = shared_parts([(numbers.setdefault((r["gram"], r["part"]), len(numbers)), r["left"], r["right"]) for r in rows], width)
             out = []
-            for r, offsets in zip(rows, found):
+            for (k, more, _), offsets in zip(kept, repeated_starts([region for _, _, region in kept])):
+                r, offsets = rows[k], [o + more for o in offsets]
                 if r["times"] > 1:
                     continue
                 if r["large"]:
@@ -344,7 +431,24 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     by_counting = strings.where("times = 1").join(counted, ["gram", "digest"], "left_semi").groupBy("doc_id", "at").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("at")
     whole = seen.join(distinct.where("times > 1").select("gram", "region"), ["gram", "region"], "left_semi")
     whole = whole.select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
-    found = store.put(whole.unionByName(by_sorting).unionByName(by_counting).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    spans = whole.unionByName(by_sorting).unionByName(by_counting).groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+    def join(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            spans, far = b.column(1), 1 << 40  # rows lie this far apart, so that one pass merges the spans of all
+            row = np.repeat(np.arange(b.num_rows), np.diff(spans.offsets.to_numpy())) * far
+            starts, ends = (spans.flatten().field(k).to_numpy() + row for k in range(2))
+            order = np.argsort(starts, kind="stable")
+            starts, reached = starts[order], np.maximum.accumulate(ends[order])
+            first = np.flatnonzero(np.append(True, starts[1:] > reached[:-1])) if len(starts) else starts
+            last = np.append(first[1:], len(starts)) - 1 if len(starts) else starts
+            offsets = np.searchsorted(starts[first] // far, np.arange(b.num_rows + 1))
+            runs = pa.StructArray.from_arrays([pa.array(starts[first] % far), pa.array(reached[last] % far)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)], ["row_key", "spans"])
+
+    found = store.put(spans.mapInArrow(join, "row_key long, spans array<struct<start: long, end: long>>"))
     store.drop_all_but(found)
     return found
 
@@ -374,10 +478,12 @@ def _left(text: str | None, spans, words: int = 0) -> tuple[bytes, bytes, list[t
     return data, b"".join([*parts, data[at:]]), cuts
 
 
-def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row: what find() leaves of its UTF-8 bytes; null counts as empty.
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, n_passages, passage_words) of every row: what find() leaves of its
+    UTF-8 bytes; null counts as empty.
 
-    text: the bytes that stay, without UTF-8 sequences that a cut leaves in part.
+    text: the bytes that stay, without UTF-8 sequences that a cut leaves in part. n_passages, passage_words: the runs of at least so
+    many words among the bytes that repeated strings of half the length cover, and their words; they stay, if no string of the whole length covers them.
     """
 
     def run(batches):
@@ -385,7 +491,9 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         hold()
         for b in batches:
-            rows = [_left(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            texts, spans, passages = (b.column(k).to_pylist() for k in (1, 2, 3))
+            rows = [_left(t, s) for t, s in zip(texts, spans)]
+            long = [[n for x in p or () if (n := len(d[x["start"] : x["end"]].split())) >= words] for (d, _, _), p in zip(rows, passages)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -394,13 +502,17 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     pa.array([len(c) for _, _, c in rows], pa.int64()),
                     pa.array([hashlib.sha256(k).hexdigest() for _, k, _ in rows], pa.string()),
                     pa.array([k.decode("utf-8", "ignore") for _, k, _ in rows], pa.string()),
+                    pa.array([len(x) for x in long], pa.int64()),
+                    pa.array([sum(x) for x in long], pa.int64()),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passages", "passage_words"],
             )
 
     docs = ids_and_texts(docs)
-    joined = docs.withColumn("row_key", row_key()).join(find(docs, length), "row_key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    shorter = find(docs, length // 2, gram // 2)
+    found = shorter.withColumnRenamed("spans", "passages").join(find_within(docs, shorter, length, gram), "row_key", "left")
+    joined = docs.withColumn("row_key", row_key()).join(found, "row_key", "left").select("doc_id", "text", "spans", "passages")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_passages long, passage_words long")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
